@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +26,28 @@ def local_session(cores: int | str = 8, memory: str = "12g", partitions: int | N
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the session names in spark.checkpoint.dir.
+
+    A machine-local one is used only where none is named and the master runs in this process, as in tests.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), "tallyforge-shared")
+    return named
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder of spark.checkpoint.dir, so that a lost executor costs no recomputation.
+    """The rows of ``df`` as a table written to the shared folder, so that a lost executor costs no recomputation.
 
-    The folder named by the session is used; a machine-local one is set only where none is named and the
-    master runs in this process, as in tests.
+    A written table is smaller than a checkpoint, is read by the columns that are needed, and has a known size, so that
+    later joins are planned by it. It is removed when the driver ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local["):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            named = os.path.join(tempfile.gettempdir(), "tallyforge-checkpoints")
-        sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
