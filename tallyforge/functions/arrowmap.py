@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import tallyforge
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+# functions travel to the executors by value, so that the package need not be installed there
+cloudpickle.register_pickle_by_value(tallyforge)
+
 
 def flat_map(
     df: DataFrame,
