@@ -44,6 +44,17 @@ def quoted(text: str) -> str:
     return "r'" + text + "'" if "'" not in text else 'r"' + text + '"'
 
 
+def lets(bindings: list[tuple[str, str]], body: str) -> str:
+    """``body`` with names bound to values one after another.
+
+    A bound name is evaluated once and stays one when the optimizer moves the expression, where a chain of columns would be
+    substituted into each of its uses.
+    """
+    for name, value in reversed(bindings):
+        body = f"transform(array({value}), {name} -> {body})[0]"
+    return body
+
+
 def blank_trim(x: str) -> str:
     return f"trim(translate({x}, '\\u00a0\\t\\n\\r', '    '))"
 

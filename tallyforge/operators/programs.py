@@ -155,13 +155,12 @@ def operation(question: str = "question") -> str:
 
 
 def induced(examples: DataFrame, context: str = "cast(null as string)") -> DataFrame:
-    """``prepared`` rows with op, two, part, margin, same, single and induced: the program rules make of a question, or null.
+    """``examples`` with op and induced: the operation a question asks for and the program that rules make of it, or null.
 
     The operation named by the question picks the operands: margin rows, part and total, the values of two years, or a
     single value; where it can't be served, a difference over the years at hand, a lookup, or numbers of the question.
     """
-    ready = T.with_single_value(T.with_same_row(T.with_margin_values(T.with_part_of_total(T.with_two_values(T.prepared(examples), context)))))
-    q = "lower(trim(question))"
+    q = "asked"
 
     def text(v: str) -> str:
         return f"regexp_replace(regexp_replace(cast(cast({v} as decimal(30, 6)) as string), r'0+$', ''), r'\\.$', '')"
@@ -201,7 +200,12 @@ def induced(examples: DataFrame, context: str = "cast(null as string)") -> DataF
         f"when single is not null and {q} rlike r'(?:what (?:is|was|were|are)|how (?:much|many))\\b' and not {q} rlike 'change|difference|increase|decrease|percentage|percent|ratio|growth|decline|total|sum|average|compared|more|less' then array(concat('add(', {text('single')}, ', const_0)')) "
         f"when two.source = 'question' then array({call('subtract', 'two.v_new', 'two.v_old')}) end"
     )
-    return ready.withColumn("op", F.expr(operation())).withColumn("induced", F.expr(by_op))
+    found_all = T.looked_up(
+        f"named_struct('two', {T.two_values(context)}, 'part', {T.part_of_total()}, 'margin', {T.margin_values()}, 'same', {T.same_row_values()}, 'single', {T.single_value()})"
+    )
+    bound = [("s", "_found"), *((n, f"s.{n}") for n in ("two", "part", "margin", "same", "single")), ("asked", "lower(trim(question))"), ("op", operation())]
+    out = examples.withColumn("_found", F.expr(found_all)).withColumn("_i", F.expr(X.lets(bound, f"named_struct('op', op, 'program', {by_op})")))
+    return out.select("*", F.col("_i.op").alias("op"), F.col("_i.program").alias("induced")).drop("_i", "_found")
 
 
 def majority(values: str, tolerance: float = 0.01) -> str:

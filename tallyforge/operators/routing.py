@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions import expressions as X
 from tallyforge.functions.expressions import quoted
 
 ROUTES = ("numerical", "temporal", "causal", "factual")
@@ -74,26 +75,33 @@ def features(question: str = "question") -> str:
     return f"array({', '.join(f'cast({p} as double)' for p in parts)})"
 
 
+def probe(question: str = "question", mean: list[float] | None = None, std: list[float] | None = None) -> str:
+    """struct(p, joint, primary_type, modules) of a question; p has the routes in order."""
+    mean, std = mean or [0.0] * 16, std or [1.0] * 16
+    scaled = [f"((f[{i}] - {m}D) / {s + 1e-8}D)" for i, (m, s) in enumerate(zip(mean, std))]
+    logits = ", ".join(" + ".join(f"({w}D * {x})" for w, x in zip(WEIGHTS[r], scaled) if w) for r in ROUTES)
+    names = ", ".join(f"'{r}'" for r in ROUTES)
+    active = f"filter(transform(array({names}), (r, i) -> if(p[i] >= greatest(0.15D, 0.5D * array_max(p)), r, null)), r -> r is not null)"
+    return X.lets(
+        [
+            ("f", features(question)),
+            ("l", f"array({logits})"),
+            ("e", "transform(l, x -> exp(x - array_max(l)))"),
+            ("p", f"if(coalesce(trim({question}), '') = '', array(0.25D, 0.25D, 0.25D, 0.25D), transform(e, x -> x / (aggregate(e, 0D, (s, y) -> s + y) + 1e-10D)))"),
+            ("joint", f"if(coalesce(trim({question}), '') = '', 0D, greatest(least(1D, p[1] * p[2] * 16), if(f[9] > 0.5, 0.6D, 0D)))"),
+            ("base", active),
+        ],
+        f"named_struct('p', p, 'joint', joint, 'primary_type', array({names})[array_position(p, array_max(p)) - 1], 'modules', if(joint >= 0.3, concat(array_union(base, array('temporal', 'causal')), array('temporal_causal_joint')), if(size(base) = 0, array('factual'), base)))",
+    )
+
+
 def routed(questions: DataFrame, mean: list[float] | None = None, std: list[float] | None = None) -> DataFrame:
     """Columns p_numerical … p_factual, joint, primary_type and modules for every row with a question.
 
     A null or blank question has 0.25 for each route and a joint score of 0. Ties go to the first route.
     """
-    mean, std = mean or [0.0] * 16, std or [1.0] * 16
-    f = questions.withColumn("_f", F.expr(features()))
-    scaled = [f"((_f[{i}] - {m}D) / {s + 1e-8}D)" for i, (m, s) in enumerate(zip(mean, std))]
-    f = f.select("*", *[F.expr(" + ".join(f"({w}D * {x})" for w, x in zip(WEIGHTS[r], scaled) if w)).alias(f"_{r}") for r in ROUTES])
-    top = f"greatest({', '.join(f'_{r}' for r in ROUTES)})"
-    f = f.select("*", *[F.expr(f"exp(_{r} - {top})").alias(f"_e_{r}") for r in ROUTES])
-    total = " + ".join(f"_e_{r}" for r in ROUTES)
-    f = f.select("*", *[F.expr(f"if(coalesce(trim(question), '') = '', 0.25D, _e_{r} / ({total} + 1e-10D))").alias(f"p_{r}") for r in ROUTES])
-    joint = "if(coalesce(trim(question), '') = '', 0D, greatest(least(1D, p_temporal * p_causal * 16), if(_f[9] > 0.5, 0.6D, 0D)))"
-    f = f.withColumn("joint", F.expr(joint)).withColumn("_top", F.expr(f"greatest({', '.join(f'p_{r}' for r in ROUTES)})"))
-    primary = " ".join(f"when p_{r} = _top then '{r}'" for r in ROUTES)
-    base = f"filter(array({', '.join(f'if(p_{r} >= greatest(0.15D, 0.5D * _top), {chr(39)}{r}{chr(39)}, null)' for r in ROUTES)}), m -> m is not null)"
-    modules = f"if(joint >= 0.3, concat(array_union({base}, array('temporal', 'causal')), array('temporal_causal_joint')), if(size({base}) = 0, array('factual'), {base}))"
-    f = f.withColumn("primary_type", F.expr(f"case {primary} end")).withColumn("modules", F.expr(modules))
-    return f.drop("_f", "_top", *[f"_{r}" for r in ROUTES], *[f"_e_{r}" for r in ROUTES])
+    r = questions.withColumn("_r", F.expr(probe("question", mean, std)))
+    return r.select("*", *[F.expr(f"_r.p[{i}]").alias(f"p_{x}") for i, x in enumerate(ROUTES)], "_r.joint", "_r.primary_type", "_r.modules").drop("_r")
 
 
 def fit_router(labelled: DataFrame, most: int = 100_000) -> object:

@@ -210,14 +210,18 @@ def prepared(examples: DataFrame) -> DataFrame:
     head: lower-case headers; body: data rows as (i from 1, label in lower case, n: number of each cell or null);
     ys: years of the question in written order; hy: distinct years of the header; kw: the question's keywords.
     """
-    return examples.select(
-        "*",
-        F.expr(f"transform({X.header_of(TABLE)}, h -> lower(h))").alias("head"),
-        F.expr(f"transform({X.rows_of(TABLE)}, x -> named_struct('i', x.i, 'label', {X.row_label('x.r')}, 'n', transform(x.r, v -> {X.financial_number('v')})))").alias("body"),
-        F.expr(question_years("question")).alias("ys"),
-        F.expr(header_years()).alias("hy"),
-        F.expr(X.keywords("question")).alias("kw"),
-    )
+    return examples.select("*", *[F.expr(value).alias(name) for name, value in shared_parts()])
+
+
+def shared_parts() -> list[tuple[str, str]]:
+    """The names and values of ``prepared``, to be bound as columns or within an expression."""
+    return [
+        ("head", f"transform({X.header_of(TABLE)}, h -> lower(h))"),
+        ("body", f"transform({X.rows_of(TABLE)}, x -> named_struct('i', x.i, 'label', {X.row_label('x.r')}, 'n', transform(x.r, v -> {X.financial_number('v')})))"),
+        ("ys", question_years("question")),
+        ("hy", header_years()),
+        ("kw", X.keywords("question")),
+    ]
 
 
 def header_years(table: str = TABLE) -> str:
@@ -279,8 +283,8 @@ def values_for_years(year1: str, year2: str) -> str:
     return f"transform(array(named_struct('a', cast({column_of(year1)} as int), 'b', cast({column_of(year2)} as int))), c -> {best})[0]"
 
 
-def with_two_values(ready: DataFrame, context: str = "cast(null as string)") -> DataFrame:
-    """``prepared`` rows with two: struct(v_new, v_old, source).
+def two_values(context: str = "cast(null as string)") -> str:
+    """struct(v_new, v_old, source), or null.
 
     The last two years of the question, else its first two the other way, else the newest two of the header, else two
     numbers of the question (for tables of three rows or more), else two of the context.
@@ -289,22 +293,23 @@ def with_two_values(ready: DataFrame, context: str = "cast(null as string)") ->
     def free(text: str) -> str:
         return f"filter({X.numbers(text)}, n -> not (n = floor(n) and array_contains(transform(ys, y -> cast(y as double)), n)))"
 
-    staged = ready.select(
-        "*",
-        F.expr(f"if(size(ys) >= 2, {values_for_years('element_at(ys, -1)', 'element_at(ys, -2)')}, null)").alias("_last"),
-        F.expr(f"if(size(ys) >= 2, {values_for_years('ys[0]', 'ys[1]')}, null)").alias("_first"),
-        F.expr(f"if(size(ys) < 2 and size(hy) >= 2, {values_for_years('element_at(hy, -1)', 'element_at(hy, -2)')}, null)").alias("_newest"),
-        F.expr(free("question")).alias("_written"),
-        F.expr(free(f"coalesce({context}, '')")).alias("_context"),
-    )
     two = (
-        "case when _last is not null then named_struct('v_new', _last.v1, 'v_old', _last.v2, 'source', 'years') "
-        "when _first is not null then named_struct('v_new', _first.v1, 'v_old', _first.v2, 'source', 'years reversed') "
-        "when _newest is not null then named_struct('v_new', _newest.v1, 'v_old', _newest.v2, 'source', 'header') "
-        f"when size({TABLE}) >= 3 and size(_written) >= 2 then named_struct('v_new', _written[0], 'v_old', _written[1], 'source', 'question') "
-        "when size(_context) >= 2 then named_struct('v_new', _context[0], 'v_old', _context[1], 'source', 'context') end"
+        "case when last2 is not null then named_struct('v_new', last2.v1, 'v_old', last2.v2, 'source', 'years') "
+        "when first2 is not null then named_struct('v_new', first2.v1, 'v_old', first2.v2, 'source', 'years reversed') "
+        "when newest is not null then named_struct('v_new', newest.v1, 'v_old', newest.v2, 'source', 'header') "
+        f"when size({TABLE}) >= 3 and size(written) >= 2 then named_struct('v_new', written[0], 'v_old', written[1], 'source', 'question') "
+        "when size(around) >= 2 then named_struct('v_new', around[0], 'v_old', around[1], 'source', 'context') end"
+    )
+    return X.lets(
+        [
+            ("last2", f"if(size(ys) >= 2, {values_for_years('try_element_at(ys, -1)', 'try_element_at(ys, -2)')}, null)"),
+            ("first2", f"if(size(ys) >= 2, {values_for_years('get(ys, 0)', 'get(ys, 1)')}, null)"),
+            ("newest", f"if(size(ys) < 2 and size(hy) >= 2, {values_for_years('try_element_at(hy, -1)', 'try_element_at(hy, -2)')}, null)"),
+            ("written", free("question")),
+            ("around", free(f"coalesce({context}, '')")),
+        ],
+        two,
     )
-    return staged.withColumn("two", F.expr(two)).drop("_last", "_first", "_newest", "_written", "_context")
 
 
 CONTENT_STOP = "what was the is are were how much did in of for from to and a as percentage percent total due".split()
@@ -315,73 +320,81 @@ def _content(question: str, stop: list[str]) -> str:
     return f"array_except({X.letters(f'lower({question})')}, array({','.join(repr(w) for w in stop)}))"
 
 
-def with_part_of_total(ready: DataFrame) -> DataFrame:
-    """``prepared`` rows with part: struct(part, total) from two rows of one column, or null.
+def part_of_total() -> str:
+    """struct(part, total) from two rows of one column, or null.
 
     The column is the one of the last year named, else a total column, else the first. The part is the row that fits
     best; the total is the first total row of another size, else the row named after 'of', else the runner-up.
     """
     by_total = "nullif(array_position(transform(head, (h, i) -> i > 0 and contains(h, 'total')), true), 0) - 1"
+    by_year = column_of("try_element_at(ys, -1)")
     of = r"regexp_extract(lower(question), r'(?:percent(?:age)?|share|portion|fraction)\s+of\s+(.+?)(?:\s+(?:is|was|are|were|that|due)|\s*\?|$)', 1)"
-    staged = ready.select(
-        "*",
-        F.expr(f"cast(case when size(ys) > 0 and coalesce({column_of('try_element_at(ys, -1)')}, 1) <> 1 then {column_of('try_element_at(ys, -1)')} else coalesce({by_total}, 1) end as int)").alias("_at"),
-        F.expr(_content("question", CONTENT_STOP)).alias("_words"),
-        F.expr(_content(of, CONTENT_STOP)).alias("_aim"),
+    score = "-(size(array_intersect(" + X.letters("x.label") + ", words)) + 0.5D * size(filter(words, k -> contains(x.label, k))))"
+    total = "get(filter(fit, s -> contains(s.l, 'total') and abs(s.v) <> abs(fit[0].v)), 0).v"
+    shared = "size(array_intersect(" + X.letters("s.l") + ", aim))"
+    named = f"array_max(transform(filter(fit, s -> abs(s.v) <> abs(fit[0].v) and {shared} > 0), s -> named_struct('m', {shared}, 's', -s.s, 'at', -s.i, 'v', s.v))).v"
+    return X.lets(
+        [
+            ("at_year", f"cast({by_year} as int)"),
+            ("place", f"cast(if(coalesce(at_year, 1) <> 1, at_year, coalesce({by_total}, 1)) as int)"),
+            ("words", _content("question", CONTENT_STOP)),
+            ("aim", _content(of, CONTENT_STOP)),
+            ("fit", f"array_sort(transform(filter(body, x -> get(x.n, place) is not null), x -> named_struct('s', cast({score} as double), 'i', x.i, 'v', get(x.n, place), 'l', x.label)))"),
+        ],
+        f"if(size({TABLE}) >= 3 and size(fit) >= 2, named_struct('part', fit[0].v, 'total', coalesce({total}, {named}, fit[1].v)), null)",
     )
-    score = "-(size(array_intersect(" + X.letters("x.label") + ", _words)) + 0.5D * size(filter(_words, k -> contains(x.label, k))))"
-    staged = staged.withColumn("_rows", F.expr(f"array_sort(transform(filter(body, x -> get(x.n, _at) is not null), x -> named_struct('s', cast({score} as double), 'i', x.i, 'v', get(x.n, _at), 'l', x.label)))"))
-    total = "get(filter(_rows, s -> contains(s.l, 'total') and abs(s.v) <> abs(_rows[0].v)), 0).v"
-    shared = "size(array_intersect(" + X.letters("s.l") + ", _aim))"
-    named = f"array_max(transform(filter(_rows, s -> abs(s.v) <> abs(_rows[0].v) and {shared} > 0), s -> named_struct('m', {shared}, 's', -s.s, 'at', -s.i, 'v', s.v))).v"
-    part = f"if(size({TABLE}) >= 3 and size(_rows) >= 2, named_struct('part', _rows[0].v, 'total', coalesce({total}, {named}, _rows[1].v)), null)"
-    return staged.withColumn("part", F.expr(part)).drop("_at", "_words", "_aim", "_rows")
 
 
 REVENUE_TERMS = "net revenue|total revenue|revenue|net sales|total sales|sales"
 
 
-def with_margin_values(ready: DataFrame) -> DataFrame:
-    """``prepared`` rows with margin: struct(numerator, denominator), or null.
+def margin_values() -> str:
+    """struct(numerator, denominator), or null.
 
     The numerator is the row that fits the keywords best; the denominator the first row named after 'of', else the first
     revenue row, else the largest other row, of the same column.
     """
     known = f"get(filter(transform(reverse(ys), y -> {column_of('y')}), c -> c is not null), 0)"
     hint = r"regexp_extract(lower(question), r'(?:percent(?:age)?|margin|rate)\s+of\s+(.+?)(?:\s*\?|$|\s+in\b|\s+for\b)', 1)"
-    staged = ready.select(
-        "*",
-        F.expr(f"cast(case when size(ys) > 0 then coalesce({known}, 1) else coalesce({column_of('try_element_at(hy, -1)')}, 1) end as int)").alias("_at"),
-        F.expr(X.letters(hint)).alias("_hint"),
-    )
     score = "size(array_intersect(" + X.letters("x.label") + ", array_distinct(kw))) + 0.8D * size(filter(array_distinct(kw), k -> length(k) > 3 and contains(x.label, k)))"
-    staged = staged.withColumn("_rows", F.expr(f"transform(filter(body, x -> get(x.n, _at) is not null), x -> named_struct('s', round(cast({score} as double), 6), 'at', -x.i, 'v', get(x.n, _at), 'l', x.label))"))
-    staged = staged.withColumn("_top", F.expr("array_max(_rows)")).withColumn("_others", F.expr("filter(_rows, s -> s.l <> _top.l)"))
-    named = "get(filter(_others, s -> size(array_intersect(" + X.letters("s.l") + ", _hint)) > 0), 0).v"
-    revenue = f"get(filter(_others, s -> s.l rlike '{REVENUE_TERMS}'), 0).v"
-    largest = "array_max(transform(_others, s -> named_struct('a', abs(s.v), 'v', s.v))).v"
-    staged = staged.withColumn("_below", F.expr(f"coalesce({named}, {revenue}, {largest})"))
-    margin = f"if(size({TABLE}) >= 3 and size(_rows) >= 2 and _below <> 0, named_struct('numerator', _top.v, 'denominator', _below), null)"
-    return staged.withColumn("margin", F.expr(margin)).drop("_at", "_hint", "_rows", "_top", "_others", "_below")
-
-
-def with_same_row(ready: DataFrame) -> DataFrame:
-    """``prepared`` rows with same: struct(a, b), the first two numbers of the row that shares most words with the question, or null."""
-    staged = ready.withColumn("_words", F.expr(_content("question", SAME_ROW_STOP)))
-    score = "size(array_intersect(" + X.letters("x.label") + ", _words))"
+    named = "get(filter(others, s -> size(array_intersect(" + X.letters("s.l") + ", hint)) > 0), 0).v"
+    revenue = f"get(filter(others, s -> s.l rlike '{REVENUE_TERMS}'), 0).v"
+    largest = "array_max(transform(others, s -> named_struct('a', abs(s.v), 'v', s.v))).v"
+    return X.lets(
+        [
+            ("place", f"cast(if(size(ys) > 0, coalesce({known}, 1), coalesce({column_of('try_element_at(hy, -1)')}, 1)) as int)"),
+            ("hint", X.letters(hint)),
+            ("fit", f"transform(filter(body, x -> get(x.n, place) is not null), x -> named_struct('s', round(cast({score} as double), 6), 'at', -x.i, 'v', get(x.n, place), 'l', x.label))"),
+            ("top", "array_max(fit)"),
+            ("others", "filter(fit, s -> s.l <> top.l)"),
+            ("below", f"coalesce({named}, {revenue}, {largest})"),
+        ],
+        f"if(size({TABLE}) >= 3 and size(fit) >= 2 and below <> 0, named_struct('numerator', top.v, 'denominator', below), null)",
+    )
+
+
+def same_row_values() -> str:
+    """struct(a, b): the first two numbers of the row that shares most words with the question, or null."""
+    score = "size(array_intersect(" + X.letters("x.label") + ", words))"
     best = f"array_max(filter(transform(body, x -> named_struct('s', {score}, 'at', -x.i, 'n', x.n)), s -> s.s > 0 and size(s.n) >= 3)).n"
-    staged = staged.withColumn("_v", F.expr(f"transform(array({best}), n -> {_numbers('n')})[0]"))
-    return staged.withColumn("same", F.expr("if(size(_v) >= 2, named_struct('a', _v[0], 'b', _v[1]), null)")).drop("_words", "_v")
+    return X.lets(
+        [("words", _content("question", SAME_ROW_STOP)), ("best", best), ("found", _numbers("best"))],
+        "if(size(found) >= 2, named_struct('a', found[0], 'b', found[1]), null)",
+    )
 
 
-def with_single_value(ready: DataFrame) -> DataFrame:
-    """``prepared`` rows with single: the value of the best row under the last year named, else under the last column with a number."""
+def single_value() -> str:
+    """The value of the best row under the last year named, else under the last column with a number."""
     known = f"get(filter(transform(reverse(ys), y -> {column_of('y')}), c -> c is not null), 0)"
     numeric = "array_max(filter(sequence(0, size(head)), j -> j > 0 and j < size(head) and exists(body, x -> get(x.n, j) is not null)))"
-    staged = ready.withColumn("_at", F.expr(f"cast(coalesce({known}, {numeric}) as int)"))
     score = "size(array_intersect(" + X.letters("x.label") + ", array_distinct(kw))) + 0.5D * size(filter(kw, k -> contains(x.label, k)))"
-    best = f"array_max(filter(transform(body, x -> named_struct('s', cast({score} as double), 'at', -x.i, 'fits', _at < size(x.n), 'v', get(x.n, _at))), s -> s.s > 0 and s.fits)).v"
-    return staged.withColumn("single", F.expr(best)).drop("_at")
+    best = f"array_max(filter(transform(body, x -> named_struct('s', cast({score} as double), 'at', -x.i, 'fits', place < size(x.n), 'v', get(x.n, place))), s -> s.s > 0 and s.fits)).v"
+    return X.lets([("place", f"cast(coalesce({known}, {numeric}) as int)")], best)
+
+
+def looked_up(expression: str) -> str:
+    """A lookup expression over the table and question columns of a row, with what it shares bound once."""
+    return X.lets(shared_parts(), expression)
 
 
 def alignment(text: str, table: str = TABLE) -> str:

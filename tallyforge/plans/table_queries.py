@@ -339,17 +339,17 @@ def values_for_years(spark: SparkSession, folder: str) -> DataFrame:
 
 @register()
 def two_values(spark: SparkSession, folder: str) -> DataFrame:
-    return T.with_two_values(T.prepared(examples(spark, folder))).filter("two is not null").select("row_id", "two.*")
+    return examples(spark, folder).selectExpr("row_id", f"{T.looked_up(T.two_values())} AS v").filter("v is not null").select("row_id", "v.*")
 
 
 @register()
 def part_of_total(spark: SparkSession, folder: str) -> DataFrame:
-    return T.with_part_of_total(T.prepared(examples(spark, folder))).filter("part is not null").select("row_id", "part.*")
+    return examples(spark, folder).selectExpr("row_id", f"{T.looked_up(T.part_of_total())} AS v").filter("v is not null").select("row_id", "v.*")
 
 
 @register()
 def margin_values(spark: SparkSession, folder: str) -> DataFrame:
-    return T.with_margin_values(T.prepared(examples(spark, folder))).filter("margin is not null").select("row_id", "margin.*")
+    return examples(spark, folder).selectExpr("row_id", f"{T.looked_up(T.margin_values())} AS v").filter("v is not null").select("row_id", "v.*")
 
 
 _SAME = ",".join(f"'{w}'" for w in T.SAME_ROW_STOP)
@@ -364,12 +364,12 @@ _SAME = ",".join(f"'{w}'" for w in T.SAME_ROW_STOP)
     SELECT row_id, v[1] AS a, v[2] AS b FROM v WHERE len(v) >= 2"""
 )
 def same_row_values(spark: SparkSession, folder: str) -> DataFrame:
-    return T.with_same_row(T.prepared(examples(spark, folder))).filter("same is not null").select("row_id", "same.*")
+    return examples(spark, folder).selectExpr("row_id", f"{T.looked_up(T.same_row_values())} AS v").filter("v is not null").select("row_id", "v.*")
 
 
 @register()
 def single_value(spark: SparkSession, folder: str) -> DataFrame:
-    return T.with_single_value(T.prepared(examples(spark, folder))).selectExpr("row_id", "single AS value").filter("value is not null")
+    return examples(spark, folder).selectExpr("row_id", f"{T.looked_up(T.single_value())} AS value").filter("value is not null")
 
 
 @register(
