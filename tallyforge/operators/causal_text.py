@@ -164,8 +164,8 @@ def relation(sentence: str) -> str:
     late = f"size({years('c')}) > 0 and size({years('e')}) > 0 and array_min({years('c')}) > array_max({years('e')})"
     body = X.lets(
         [
-            ("w", f"{ways}[k]"),
-            ("mech", f"{kinds}[k]"),
+            ("w", f"get({ways}, k)"),
+            ("mech", f"get({kinds}, k)"),
             ("g", "array(regexp_extract(s, p, 1), regexp_extract(s, p, 2), if(w = 'm', regexp_extract(s, p, if(w = 'm', 3, 2)), ''))"),
             ("c", span("if(w = 'c', g[0], g[1])")),
             ("e", span("if(w = 'e', g[0], if(w = 'm', g[2], g[1]))")),
@@ -177,7 +177,7 @@ def relation(sentence: str) -> str:
         f"'confidence', round({strength('c', 'e', 's', 'mech')} * if(late, 0.05D, 1D) * if(dull, 0.1D, 1D) * if(way = 0, 0.7D, 1D), 6), "
         f"'lag', {lag_hint('s')}, 'polarity', {polarity("lower(concat(c, ' ', e))")}, 'flags', filter(array(if(late, 'temporal_violation', null), if(dull, 'low_relevance', null), if(way = -1, 'flipped', null), if(way = 0, 'unverified', null)), x -> x is not null)))",
     )
-    return X.lets([("s", sentence), ("k", which), ("p", f"{patterns}[k]")], f"if(k is null, null, {body})")
+    return X.lets([("s", sentence), ("k", which), ("p", f"get({patterns}, k)")], f"if(k is null, null, {body})")
 
 
 def relations(sentences: DataFrame, keys: list[str]) -> DataFrame:
@@ -188,10 +188,12 @@ def relations(sentences: DataFrame, keys: list[str]) -> DataFrame:
 
 def multi_hop(sentences: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, hop, cause, effect): the two links of sentences that tell a chain of three."""
-    first = quoted("(?i)" + _VERBS + r"\s.+(?:which|thereby|thus|and|ultimately|eventually)\s")
-    which = f"case when not sentence rlike {first} then null " + " ".join(f"when sentence rlike {quoted('(?i)' + p)} then {i}" for i, p in enumerate(HOPS)) + " end"
+    # words that every pattern needs are looked for first, without backtracking
+    joint = quoted(r"(?i)\b(?:in turn|then|subsequently|thereby|thus|ultimately|eventually)\s")
+    hop = " ".join(f"when sentence rlike {quoted('(?i)' + p)} then {i}" for i, p in enumerate(HOPS))
+    which = f"case when not (sentence rlike {joint} and sentence rlike {quoted('(?i)' + _VERBS)}) then null {hop} end"
     patterns = f"array({', '.join(quoted('(?i)' + p) for p in HOPS)})"
-    s = sentences.select(*keys, "sentence", F.expr(which).alias("k")).filter("k is not null").withColumn("p", F.expr(f"{patterns}[k]"))
+    s = sentences.select(*keys, "sentence", F.expr(which).alias("k")).filter("k is not null").withColumn("p", F.expr(f"get({patterns}, k)"))
     a, b, c = (span(f"regexp_extract(sentence, p, {i})") for i in (1, 2, 3))
     return s.select(*keys, F.expr(f"inline(array(named_struct('hop', 1, 'cause', {a}, 'effect', {b}), named_struct('hop', 2, 'cause', {b}, 'effect', {c})))"))
 
@@ -288,7 +290,7 @@ def discourse(s1: str, s2: str) -> str:
         f"+ 0.8D * if(b rlike {quoted(CONTINUITY)} or exists({nouns}, n -> contains(b, n)), 1D, 0D) + 1.0D * if(t rlike {quoted(ADJACENCY)}, 1D, 0D) + 0.7D * {terms} + 0.3D - 2.0D * {contrast}"
     )
     way = "case when v[0] + v[3] > v[1] + v[2] + 0.2D then 'forward' when v[1] + v[2] > v[0] + v[3] + 0.2D then 'backward' else 'ambiguous' end"
-    sense = f"case when k is not null then {senses}[k] when score >= 0.5 then 'contingency.cause' when t rlike {quoted(ADJACENCY)} then 'temporal' when {contrast} > 0 then 'comparison.contrast' else 'entity relation' end"
+    sense = f"case when k is not null then get({senses}, k) when score >= 0.5 then 'contingency.cause' when t rlike {quoted(ADJACENCY)} then 'temporal' when {contrast} > 0 then 'comparison.contrast' else 'entity relation' end"
     return X.lets(
         [
             ("a", s1),
@@ -299,7 +301,7 @@ def discourse(s1: str, s2: str) -> str:
             ("score", f"1D / (1D + exp(-({logit})))"),
             ("sense", sense),
         ],
-        f"if(t is null, null, named_struct('relation', sense, 'explicit', k is not null, 'connective', {names}[k], 'is_causal', startswith(sense, 'contingency.cause'), "
+        f"if(t is null, null, named_struct('relation', sense, 'explicit', k is not null, 'connective', get({names}, k), 'is_causal', startswith(sense, 'contingency.cause'), "
         f"'confidence', round(if(k is not null, 0.85D, if(sense = 'contingency.cause', least(1D, score * if({shared}, 1.05D, 1D)), 1D - score)), 4), 'score', round(score, 4), 'direction', {way}))",
     )
 

@@ -174,5 +174,5 @@ def graph_metrics(relations: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, num_edges, num_nodes, density, mean_confidence) of relations (keys, cause, effect, confidence)."""
     ends = relations.select(*keys, "confidence", F.expr("lower(trim(cause))").alias("c"), F.expr("lower(trim(effect))").alias("e"))
     nodes = ends.select(*keys, F.explode(F.array("c", "e")).alias("n")).filter("n <> ''").groupBy(*keys).agg(F.countDistinct("n").alias("num_nodes"))
-    edges = ends.groupBy(*keys).agg(F.count("*").alias("num_edges"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    edges = ends.groupBy(*keys).agg(F.count("*").alias("num_edges"), F.round(F.avg("confidence"), 8).alias("mean_confidence"))
     return edges.join(nodes, keys, "left").na.fill(0, ["num_nodes"]).withColumn("density", F.expr("round(num_edges / greatest(1, num_nodes * (num_nodes - 1)), 6)"))

@@ -192,7 +192,7 @@ def sweep(rows: DataFrame, variable: str, outcome: str, keys: list[str], steps:
     """(keys, delta, outcome) of an intervention from -50 to +50 percent in ``steps`` steps on a non-zero variable."""
     deltas = F.array(*[F.lit(round(-0.5 + i / max(steps - 1, 1), 6)) for i in range(steps)])
     e = rows.filter(f"o_{variable} <> 0").withColumn("delta", F.explode(deltas)).withColumn("v", F.lit(variable)).withColumn("x", F.expr(f"o_{variable} * (1 + delta)"))
-    return intervened(e, "o_", "d_", "v", "x").select(*keys, "delta", F.round(f"d_{outcome}", 4).alias("outcome"))
+    return intervened(e, "o_", "d_", "v", "x").select(*keys, "delta", F.round(f"d_{outcome}", 6).alias("outcome"))
 
 
 def fragile(swept: DataFrame, keys: list[str]) -> DataFrame:

@@ -148,7 +148,7 @@ def event_type(text: str) -> str:
 
 
 def event_span(text: str) -> str:
-    return f"regexp_replace(trim(regexp_replace(regexp_replace({text}, r'\\s+', ' '), r'^[\\s,;:.]+|[\\s,;:.]+$', '')), r'(?i)^(?:the|a|an)\\s+', '')"
+    return f"regexp_replace(trim(regexp_replace(regexp_replace({text}, r'[\\s\\u00a0]+', ' '), r'^[\\s,;:.]+|[\\s,;:.]+$', '')), r'(?i)^(?:the|a|an)\\s+', '')"
 
 
 def event_relation(sentence: str) -> str:
@@ -173,9 +173,9 @@ def event_relation(sentence: str) -> str:
             ("l", f"if({swap}, {event_span('substr(r0, instr(r0, chr(44)) + 1)')}, l0)"),
             ("r", f"if({swap}, {event_span('substr(r0, 1, instr(r0, chr(44)) - 1)')}, r0)"),
         ],
-        f"if(length(l) >= 5 and length(r) >= 3, named_struct('left', l, 'right', r, 'rel', {rels}[k], 'signal', g, 'confidence', round({confidence}, 4)), null)",
+        f"if(length(l) >= 5 and length(r) >= 3, named_struct('left', l, 'right', r, 'rel', get({rels}, k), 'signal', g, 'confidence', round({confidence}, 4)), null)",
     )
-    return X.lets([("s", sentence), ("k", which), ("p", f"{patterns}[k]"), ("g", f"{names}[k]")], f"if(k is null, null, {body})")
+    return X.lets([("s", sentence), ("k", which), ("p", f"get({patterns}, k)"), ("g", f"get({names}, k)")], f"if(k is null, null, {body})")
 
 
 def relations(sentences: DataFrame, keys: list[str]) -> DataFrame:

@@ -122,7 +122,7 @@ def event_types(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _clean(x: str) -> str:
-    return rf"regexp_replace(trim(regexp_replace(regexp_replace({x}, '\s+', ' ', 'g'), '^[\s,;:.]+|[\s,;:.]+$', '', 'g')), '(?i)^(?:the|a|an)\s+', '')"
+    return rf"regexp_replace(trim(regexp_replace(regexp_replace({x}, '[\s\x{{A0}}]+', ' ', 'g'), '^[\s,;:.]+|[\s,;:.]+$', '', 'g')), '(?i)^(?:the|a|an)\s+', '')"
 
 
 _SIG_K = "CASE " + " ".join(f"WHEN regexp_matches(sentence, {_q('(?i)' + p)}) THEN {i + 1}" for i, (_, p, _) in enumerate(M.BY_LENGTH)) + " END"
@@ -332,7 +332,7 @@ def causal_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     f"""WITH {_CAUSAL}, en AS (SELECT row_id, confidence, lower(trim(cause)) AS c, lower(trim(effect)) AS e FROM rel), nn AS (SELECT row_id, count(DISTINCT n) AS num_nodes FROM (SELECT row_id, c AS n FROM en UNION ALL SELECT row_id, e FROM en) WHERE n <> '' GROUP BY row_id),
-    ed AS (SELECT row_id, count(*) AS num_edges, round(avg(confidence), 6) AS mean_confidence FROM en GROUP BY row_id) SELECT ed.row_id, num_edges, mean_confidence, num_nodes, round(num_edges / greatest(1, num_nodes * (num_nodes - 1)), 6) AS density FROM ed JOIN nn USING (row_id)"""
+    ed AS (SELECT row_id, count(*) AS num_edges, round(avg(confidence), 8) AS mean_confidence FROM en GROUP BY row_id) SELECT ed.row_id, num_edges, mean_confidence, num_nodes, round(num_edges / greatest(1, num_nodes * (num_nodes - 1)), 6) AS density FROM ed JOIN nn USING (row_id)"""
 )
 def causal_graph_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return E.graph_metrics(C.relations(sentences(spark, folder), ["row_id"]), ["row_id"])
@@ -486,7 +486,7 @@ def scm_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
     return S.sensitivity(_observed(spark, folder), "gross_profit", ["row_id"]).filter("variable in ('revenue', 'input_costs')").select("row_id", "variable", "elasticity")
 
 
-@register(f"WITH {_OBS} SELECT row_id, delta, round((1 + delta) * revenue - {_Z['input_costs']}, 4) AS outcome FROM o, (VALUES (-0.5), (-0.25), (0.0), (0.25), (0.5)) d(delta) WHERE revenue <> 0".replace("SELECT row_id, delta", "SELECT row_id, CAST(delta AS DOUBLE) AS delta"))
+@register(f"WITH {_OBS} SELECT row_id, delta, round((1 + delta) * revenue - {_Z['input_costs']}, 6) AS outcome FROM o, (VALUES (-0.5), (-0.25), (0.0), (0.25), (0.5)) d(delta) WHERE revenue <> 0".replace("SELECT row_id, delta", "SELECT row_id, CAST(delta AS DOUBLE) AS delta"))
 def scm_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return S.sweep(_observed(spark, folder), "revenue", "gross_profit", ["row_id"])
 
