@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions import arrowmap  # noqa: F401  registers the package to travel by value
+from tallyforge.functions import expressions as X
 from tallyforge.operators import table_ops as T
+from tallyforge.session import cut_lineage
 
 K1, B = 1.5, 0.75
 DENSE_WEIGHT, BM25_WEIGHT, FUSION_K, NUMBER_BOOST = 0.7, 0.3, 20, 1.3
@@ -20,112 +24,170 @@ def tokens(text: str) -> str:
     return f"regexp_extract_all(lower({text}), r'[\\p{{L}}\\p{{N}}_]+', 0)"
 
 
+def counted_terms(words: str) -> str:
+    """Array of (term, tf) of an array of words: in sorted order a term's count is the distance to the next term's place."""
+    return X.lets(
+        [("srt", f"sort_array({words})"), ("dst", "array_distinct(srt)"), ("pos", "transform(dst, w -> array_position(srt, w))")],
+        "transform(dst, (w, i) -> named_struct('term', w, 'tf', cast(coalesce(get(pos, i + 1), size(srt) + 1) - pos[i] as int)))",
+    )
+
+
 def postings(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, term, tf, doc_len) of documents (keys, text): terms are counted within the row, before anything is shuffled."""
+    """(keys, doc_len, term, tf) of documents (keys, text): terms are counted within the row, before anything is shuffled."""
     staged = docs.select(*keys, F.expr(tokens("coalesce(text, '')")).alias("t"))
-    counted = "transform(array_distinct(t), w -> named_struct('term', w, 'tf', size(filter(t, x -> x = w))))"
-    return staged.select(*keys, F.size("t").alias("doc_len"), F.expr(f"explode({counted})").alias("p")).select(*keys, "doc_len", "p.term", "p.tf")
+    return staged.select(*keys, F.size("t").alias("doc_len"), F.expr(f"explode({counted_terms('t')})").alias("p")).select(*keys, "doc_len", "p.term", "p.tf")
 
 
 def query_terms(queries: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, term, qtf) of queries (keys, text); repeated terms count again."""
-    staged = queries.select(*keys, F.expr(tokens("coalesce(text, '')")).alias("t"))
-    return staged.select(*keys, F.expr("explode(transform(array_distinct(t), w -> named_struct('term', w, 'qtf', size(filter(t, x -> x = w)))))").alias("p")).select(*keys, "p.term", "p.qtf")
+    return postings(queries, keys).select(*keys, "term", F.col("tf").alias("qtf"))
+
+
+def _best(best: tuple[np.ndarray, np.ndarray], scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row of scores (rows: queries, columns: ids) together with those found before; ties to the lower id."""
+    s, i = np.hstack([best[0], scores]), np.hstack([best[1], np.broadcast_to(ids, scores.shape)])
+    order = np.lexsort((i, -s), axis=1)[:, :k]
+    return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def _emit(names: list[int], best: tuple[np.ndarray, np.ndarray], id_name: str, positive: bool) -> pa.RecordBatch:
+    n = best[0].shape[1]
+    q, i, s = np.repeat(names, n), best[1].ravel(), best[0].ravel()
+    if positive:
+        q, i, s = q[s > 0], i[s > 0], s[s > 0]
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", id_name, "score"])
+
+
+def _blocks(queries: DataFrame, block: int) -> list[DataFrame]:
+    """Queries in hash buckets of about half of ``block`` each: what is sent to the tasks at once has a bound."""
+    parts = max(1, -(-queries.count() // max(1, block // 2)))
+    bucketed = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    return [bucketed.filter(F.col("_b") == b).drop("_b") for b in range(parts)]
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
     """(query_id, doc_id, score, rank) of the ``k`` best of documents (doc_id, text) for each query (query_id, text).
 
-    Only documents that share a term with the query are scored (others score 0 and are left out). The join is on the term;
-    what is shuffled is one row per query term and posting, summed before the ranking. Empty texts count as documents of
-    length 0. Ties go to the lower doc_id.
+    Only documents that share a term with the query are scored (others score 0 and are left out). The weights of a block
+    of queries go to the tasks; each task adds up the scores of its own documents and sends its k best of each query, so
+    that what is shuffled doesn't grow with the postings. Empty texts count as documents of length 0. Ties go to the
+    lower doc_id.
     """
-    post = postings(docs, ["doc_id"])
-    size = docs.agg(F.count("*").cast("double").alias("n"), F.sum(F.expr(f"size({tokens('coalesce(text, chr(0))')})")).alias("t"))
-    n, avg = size.select("n").scalar(), size.select(F.expr("t / n")).scalar()
+    size = docs.agg(F.count("*").cast("double").alias("n"), F.sum(F.expr(f"size({tokens('coalesce(text, chr(0))')})")).alias("t")).collect()[0]
+    n, avg = size.n, (size.t or 0) / max(size.n, 1)
     wanted = query_terms(queries, ["query_id"])
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
-    weighted = wanted.join(idf, "term")
-    part = F.expr(f"qtf * idf * tf * {K1 + 1}")
-    scored = post.join(weighted, "term").select("query_id", "doc_id", (part / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avg))).alias("s"))
-    total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return total.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    distinct = docs.select(F.expr(f"explode(array_distinct({tokens('text')}))").alias("term"))
+    df = distinct.join(wanted.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
+    weights = wanted.join(df, "term").select("query_id", F.struct("term", (F.col("qtf") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).alias("w")).alias("t"))
+    weights = cut_lineage(weights.groupBy("query_id").agg(F.collect_list("t").alias("terms")))  # a query has as many terms as words
+    counted = docs.select("doc_id", F.expr(tokens("coalesce(text, '')")).alias("t"))
+    found = None
+    for part in _blocks(weights, block):
+        rows = part.collect()  # at most about ``block`` queries
+        if not rows:
+            continue
+        by_term: dict[str, tuple[list[int], list[float]]] = {}
+        for at, r in enumerate(rows):
+            for t in r["terms"]:
+                to = by_term.setdefault(t["term"], ([], []))
+                to[0].append(at)
+                to[1].append(t["w"])
+        shared = docs.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], {t: (np.array(i), np.array(w)) for t, (i, w) in by_term.items()}))
+
+        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, weight = shared.value
+            best = np.zeros((len(names), 0)), np.zeros((len(names), 0), dtype=np.int64)
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    piece = batch.slice(start, 256)
+                    scores = np.zeros((piece.num_rows, len(names)))
+                    for j, words in enumerate(piece.column(1).to_pylist()):
+                        norm = K1 * (1 - B + B * len(words) / avg) if avg else K1
+                        for term, tf in Counter(words).items():
+                            if (hit := weight.get(term)) is not None:
+                                scores[j, hit[0]] += hit[1] * (tf * (K1 + 1) / (tf + norm))
+                    best = _best(best, np.round(scores.T, 6), piece.column(0).to_numpy(zero_copy_only=False), k)
+            yield _emit(names, best, "doc_id", True)
+
+        own = counted.mapInArrow(near, "query_id bigint, doc_id bigint, score double")
+        found = own if found is None else found.unionByName(own)
+    return _ranked(docs, found, "doc_id", k)
 
 
-def passages(examples: DataFrame) -> DataFrame:
-    """(row_id, doc_idx, type, text): summary, structured form and rows of the table, then non-blank paragraphs, numbered from 0.
+def _ranked(like: DataFrame, found: DataFrame | None, id_name: str, k: int) -> DataFrame:
+    if found is None:
+        return like.sparkSession.createDataFrame([], f"query_id bigint, {id_name} bigint, score double, rank int")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_name)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-    Built within the row, so numbering needs no window.
-    """
+
+def passage_array() -> str:
+    """Array of (type, text) of an example: structured form and rows of its table, then its non-blank paragraphs."""
     rows = T._pairs(T.TABLE, "concat({h}, ': ', {v})", "'-', '—'", 0)
     row_texts = f"transform(filter({rows}, p -> size(p.pairs) > 0), p -> concat(p.label, ' - ', array_join(p.pairs, ', ')))"
     tables = f"if(size({T.TABLE}) > 0, concat(array({T.linearize_structured()}), {row_texts}), cast(array() as array<string>))"
     paragraphs = "filter(transform(concat(coalesce(pre_text, array()), coalesce(post_text, array())), p -> trim(p)), p -> p <> '')"
-    both = f"concat(transform({tables}, t -> named_struct('type', 'table', 'text', t)), transform({paragraphs}, t -> named_struct('type', 'text', 'text', t)))"
-    return examples.selectExpr("row_id", f"posexplode({both}) AS (doc_idx, d)").selectExpr("row_id", "doc_idx", "d.type", "d.text")
+    return f"concat(transform({tables}, t -> named_struct('type', 'table', 'text', t)), transform({paragraphs}, t -> named_struct('type', 'text', 'text', t)))"
+
+
+def passages(examples: DataFrame) -> DataFrame:
+    """(row_id, doc_idx, type, text) of every passage of every example, numbered from 0 within the row."""
+    return examples.selectExpr("row_id", f"posexplode({passage_array()}) AS (doc_idx, d)").selectExpr("row_id", "doc_idx", "d.type", "d.text")
+
+
+def number_boost(question: str = "question") -> str:
+    return f"if({question} rlike r'\\d[\\d,.]+', {NUMBER_BOOST}D, 1D)"
 
 
-def local_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(row_id, doc_idx, type, bm25, cosine) of every passage of a row for the row's query (row_id, text).
+def scored_passages(examples: DataFrame, query: str = "question") -> DataFrame:
+    """(row_id, boost, scored): for every example an array of (i, type, bm25, cosine) of its passages for its query.
 
-    Each row is an index of its own, so every aggregate and window is keyed by row_id. The dense score is the cosine of
-    term counts, the place where an encoder plugs in.
+    Each example is an index of its own that lies in one row, so nothing is shuffled: term counts, document frequencies
+    and scores are array expressions over the row. The dense score is the cosine of term counts, the place where an
+    encoder plugs in. A null query scores 0 everywhere.
     """
-    lengths = docs.select("row_id", "doc_idx", "type", F.expr(f"size({tokens('text')})").alias("doc_len"))
-    stats = lengths.groupBy("row_id").agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
-    post = postings(docs, ["row_id", "doc_idx"])
-    df = post.groupBy("row_id", "term").agg(F.count("*").alias("df"))
-    wanted = query_terms(queries, ["row_id"]).join(df, ["row_id", "term"]).join(stats, "row_id")
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    hit = post.join(wanted.withColumn("idf", idf), ["row_id", "term"])
-    scored = hit.groupBy("row_id", "doc_idx").agg(
-        F.sum(F.expr(f"qtf * idf * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * doc_len / avg_len))")).alias("bm25"),
-        F.sum(F.expr("cast(qtf * tf as double)")).alias("dot"),
-    )
-    norms = post.groupBy("row_id", "doc_idx").agg(F.sqrt(F.sum(F.expr("cast(tf * tf as double)"))).alias("norm"))
-    q_norm = query_terms(queries, ["row_id"]).groupBy("row_id").agg(F.sqrt(F.sum(F.expr("cast(qtf * qtf as double)"))).alias("q_norm"))
-    out = lengths.join(scored, ["row_id", "doc_idx"], "left").join(norms, ["row_id", "doc_idx"], "left").join(q_norm, "row_id", "left")
-    return out.select(
-        "row_id",
-        "doc_idx",
-        "type",
-        F.round(F.coalesce("bm25", F.lit(0.0)), 6).alias("bm25"),
-        F.round(F.coalesce(F.expr("dot / (norm * q_norm)"), F.lit(0.0)), 6).alias("cosine"),
-    )
 
+    def tf(words: str, w: str) -> str:
+        return f"(size({words}) - size(array_remove({words}, {w})))"
 
-def fused(scores: DataFrame, boosted: DataFrame, kind: str, k: int) -> DataFrame:
+    read = examples.select(
+        "row_id",
+        F.expr(number_boost(query)).alias("boost"),
+        F.expr(f"coalesce({tokens(query)}, array())").alias("q"),
+        F.expr(f"transform({passage_array()}, d -> named_struct('type', d.type, 'toks', {tokens('d.text')}))").alias("docs"),
+    )
+    terms = f"transform(array_distinct(q), w -> named_struct('w', w, 'n', {tf('q', 'w')}, 'df', size(filter(docs, d -> array_contains(d.toks, w)))))"
+    read = read.select("row_id", "boost", "docs", F.expr(terms).alias("terms"), F.expr("aggregate(docs, 0D, (s, d) -> s + size(d.toks)) / size(docs)").alias("avg_len"))
+    counts = f"transform(terms, t -> named_struct('t', t, 'tf', {tf('d.toks', 't.w')}))"
+    idf = "ln((size(docs) - c.t.df + 0.5D) / (c.t.df + 0.5D) + 1)"
+    bm = f"aggregate(cs, 0D, (s, c) -> s + if(c.tf = 0, 0D, c.t.n * {idf} * c.tf * {K1 + 1}D / (c.tf + {K1}D * ({1 - B}D + {B}D * size(d.toks) / avg_len))))"
+    dot = "aggregate(cs, 0D, (s, c) -> s + c.t.n * c.tf)"
+    norm = f"sqrt(aggregate({counted_terms('d.toks')}, 0D, (s, x) -> s + x.tf * x.tf) * aggregate(terms, 0D, (s, t) -> s + t.n * t.n))"
+    one = X.lets([("cs", counts), ("nm", norm)], f"named_struct('i', i, 'type', d.type, 'bm25', round({bm}, 6), 'cosine', if(nm = 0, 0D, round({dot} / nm, 6)))")
+    return read.select("row_id", "boost", F.expr(f"transform(docs, (d, i) -> {one})").alias("scored"))
+
+
+def fused(scored: DataFrame, kind: str, k: int) -> DataFrame:
     """(row_id, doc_idx, type, score, rank): the ``k`` best passages of a type by weighted reciprocal ranks.
 
     Both rankings run over all types first and count from 0; candidates are the first max(5 k, passages of the type) of
-    each. ``boosted`` (row_id, boost) has 1.3 where the query holds a number. Ties go to the lower doc_idx.
+    each. The word ranking is boosted where the query holds a number. Ties go to the lower doc_idx.
     """
-    by = Window.partitionBy("row_id")
-    ranked = scores.select(
-        "*",
-        (F.row_number().over(by.orderBy(F.desc("cosine"), "doc_idx")) - 1).alias("rd"),
-        (F.row_number().over(by.orderBy(F.desc("bm25"), "doc_idx")) - 1).alias("rb"),
-        F.greatest(F.lit(5 * k), F.sum((F.col("type") == kind).cast("int")).over(by)).alias("candidates"),
+    by = "transform(array_sort(transform(scored, s -> named_struct('v', -s.{0}, 'i', s.i))), x -> x.i)"
+    ranked = scored.select(
+        "row_id", "boost", "scored", F.expr(by.format("cosine")).alias("d"), F.expr(by.format("bm25")).alias("b"), F.expr(f"greatest({5 * k}, size(filter(scored, s -> s.type = '{kind}')))").alias("most")
     )
-    d = F.expr(f"if(rd < candidates, {DENSE_WEIGHT}D / ({FUSION_K} + rd), 0D)")
-    b = F.expr(f"if(rb < candidates, {BM25_WEIGHT}D * boost / ({FUSION_K} + rb), 0D)")
-    total = ranked.join(boosted, "row_id").filter("rd < candidates or rb < candidates").filter(F.col("type") == kind)
-    total = total.select("row_id", "doc_idx", "type", F.round(d + b, 9).alias("score"))
-    return total.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "doc_idx"))).filter(F.col("rank") <= k)
-
-
-def number_boost(question: str = "question") -> str:
-    return f"if({question} rlike r'\\d[\\d,.]+', {NUMBER_BOOST}D, 1D)"
+    part = "if(array_position({0}, s.i) <= most, {1} / ({2} + array_position({0}, s.i) - 1), 0D)"
+    score = f"round({part.format('d', f'{DENSE_WEIGHT}D', FUSION_K)} + {part.format('b', f'{BM25_WEIGHT}D * boost', FUSION_K)}, 9)"
+    best = f"slice(array_sort(filter(transform(filter(scored, s -> s.type = '{kind}'), s -> named_struct('v', -{score}, 'i', s.i)), x -> x.v < 0)), 1, {k})"
+    out = ranked.selectExpr("row_id", f"posexplode({best}) AS (at, x)")
+    return out.selectExpr("row_id", "x.i AS doc_idx", f"'{kind}' AS type", "-x.v AS score", "at + 1 AS rank")
 
 
 def retrieve(examples: DataFrame, query: str = "question", k_table: int = 3, k_text: int = 5) -> DataFrame:
     """The best table and text passages of every example for its query column."""
-    docs = passages(examples)
-    scores = local_scores(docs, examples.selectExpr("row_id", f"{query} AS text"))
-    boost = examples.selectExpr("row_id", f"{number_boost(query)} AS boost")
-    return fused(scores, boost, "table", k_table).unionByName(fused(scores, boost, "text", k_text))
+    scored = scored_passages(examples, query)
+    return fused(scored, "table", k_table).unionByName(fused(scored, "text", k_text))
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
@@ -135,41 +197,28 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
     own k best of a block by a matrix product, so that tasks send k rows a query and not all pairs. Null and zero vectors
     are left out. A query's own vector counts as any other. Ties go to the lower vec_id.
     """
-    spark = vectors.sparkSession
     able = "embedding is not null and exists(embedding, x -> x <> 0)"
-    ids = queries.filter(able).select("query_id", "embedding")
-    parts = max(1, -(-ids.count() // block))
-    bucketed = ids.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(2 * parts)).cast("int"))
     found = None
-    for b in range(2 * parts):
-        rows = bucketed.filter(F.col("b") == b).collect()  # a hash bucket of about block / 2 queries
+    for part in _blocks(queries.filter(able).select("query_id", "embedding"), block):
+        rows = part.collect()  # at most about ``block`` vectors
         if not rows:
             continue
         q = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], q))
+        shared = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], q / np.linalg.norm(q, axis=1, keepdims=True)))
 
         def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
-            best_s, best_i = np.full((len(names), 0), 0.0), np.zeros((len(names), 0), dtype=np.int64)
+            best = np.zeros((len(names), 0)), np.zeros((len(names), 0), dtype=np.int64)
             for batch in batches:
-                v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-                if not len(v):
-                    continue
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
-                own = np.broadcast_to(np.asarray(batch.column(0).to_pylist(), dtype=np.int64), (len(names), len(v)))
-                best_s, best_i = np.hstack([best_s, np.round(q @ v.T, 6)]), np.hstack([best_i, own])
-                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n), pa.int64()), pa.array(best_i.ravel(), pa.int64()), pa.array(best_s.ravel(), pa.float64())], names=["query_id", "vec_id", "score"])
+                if batch.num_rows:
+                    v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+                    v /= np.linalg.norm(v, axis=1, keepdims=True)
+                    best = _best(best, np.round(q @ v.T, 6), batch.column(0).to_numpy(zero_copy_only=False), k)
+            yield _emit(names, best, "vec_id", False)
 
         own = vectors.filter(able).select("vec_id", "embedding").mapInArrow(near, "query_id bigint, vec_id bigint, score double")
         found = own if found is None else found.unionByName(own)
-    if found is None:
-        return spark.createDataFrame([], "query_id bigint, vec_id bigint, score double, rank int")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return _ranked(vectors, found, "vec_id", k)
 
 
 def hashed_vector(text: str, dim: int = 64) -> str:

@@ -246,9 +246,7 @@ _PASSAGES = f"""{D.CELLS}, k AS (SELECT row_id, row_idx, trim(replace(coalesce(r
 )
 def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     """The five best text passages of every example by rank fusion."""
-    e = examples(spark, folder)
-    scores = R.local_scores(R.passages(e), e.selectExpr("row_id", "question AS text"))
-    return R.fused(scores, e.selectExpr("row_id", f"{R.number_boost()} AS boost"), "text", 5).drop("type")
+    return R.fused(R.scored_passages(examples(spark, folder)), "text", 5).drop("type")
 
 
 @register()

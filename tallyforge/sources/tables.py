@@ -4,7 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+SMALL = 1_000_000  #: bytes under which a table is left in the tasks it is read by
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a dataset folder; a table is a file or a folder of files."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give work to half of them or fewer, as a single small file does.
+
+    Tables of more files than that, all large ones, are left as they are read, so nothing is shuffled there. Columns and
+    filters still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < SMALL or 2 * plan.toRdd().getNumPartitions() > cores:
+        return df
+    return df.repartition(cores)

@@ -12,17 +12,22 @@ def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 16) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/event[s].parquet")
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Events with a watermark, which streams keep on instants only."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def windowed(events: DataFrame, width: str = "1 day", slide: str | None = None, late: str = "2 days") -> DataFrame:
     """(start, event_type, n, total) by window; on a stream, events later than ``late`` are left out and state is dropped behind it."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    g = events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    g = _timed(events, late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 days") -> DataFrame:
     """(user_id, start, end, n) of a user's events less than ``gap`` apart."""
-    g = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
-    return g.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    g = _timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return g.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n")
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
