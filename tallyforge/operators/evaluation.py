@@ -48,8 +48,8 @@ def report(rows: DataFrame) -> DataFrame:
         """
         SELECT CASE grouping_id(run_name, primary_type) WHEN 3 THEN 'overall' WHEN 2 THEN 'type' WHEN 1 THEN 'run' ELSE 'run and type' END AS level,
                run_name, primary_type, count(*) AS count, sum(cast(answered AS int)) AS total, sum(cast(answered AND matched AS int)) AS correct,
-               round(avg(if(answered, cast(matched AS double), NULL)), 6) AS accuracy, round(avg(confidence), 6) AS mean_confidence,
-               round(avg(n_iterations), 6) AS mean_iterations, round(avg(time_seconds), 4) AS mean_seconds
+               round(avg(if(answered, cast(matched AS double), NULL)), 6) AS accuracy, round(avg(confidence), 9) AS mean_confidence,
+               round(avg(n_iterations), 9) AS mean_iterations, round(avg(time_seconds), 9) AS mean_seconds
         FROM _report_rows GROUP BY GROUPING SETS ((), (run_name), (primary_type), (run_name, primary_type))
         """
     )

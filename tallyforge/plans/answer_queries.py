@@ -278,7 +278,7 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     f"""WITH {_SCORED} SELECT CASE GROUPING(run_name) * 2 + GROUPING(primary_type) WHEN 3 THEN 'overall' WHEN 2 THEN 'type' WHEN 1 THEN 'run' ELSE 'run and type' END AS level, run_name, primary_type, count(*) AS count, CAST(sum(CAST(answered AS INT)) AS BIGINT) AS total,
-        CAST(sum(CAST(answered AND matched AS INT)) AS BIGINT) AS correct, round(avg(CASE WHEN answered THEN CAST(matched AS DOUBLE) END), 6) AS accuracy, round(avg(confidence), 6) AS mean_confidence, round(avg(n_iterations), 6) AS mean_iterations, round(avg(time_seconds), 4) AS mean_seconds
+        CAST(sum(CAST(answered AND matched AS INT)) AS BIGINT) AS correct, round(avg(CASE WHEN answered THEN CAST(matched AS DOUBLE) END), 6) AS accuracy, round(avg(confidence), 9) AS mean_confidence, round(avg(n_iterations), 9) AS mean_iterations, round(avg(time_seconds), 9) AS mean_seconds
     FROM sc GROUP BY GROUPING SETS ((), (run_name), (primary_type), (run_name, primary_type))"""
 )
 def eval_report(spark: SparkSession, folder: str) -> DataFrame:
