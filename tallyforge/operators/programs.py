@@ -209,11 +209,14 @@ def induced(examples: DataFrame, context: str = "cast(null as string)") -> DataF
 
 
 def majority(values: str, tolerance: float = 0.01) -> str:
-    """The first member of the largest cluster of an array of numbers; a member is within the tolerance of its cluster's first."""
-    near = f"if(abs(c.ref) < 1e-9D, abs(v) < 1e-9D, abs(c.ref - v) / abs(c.ref) < {tolerance}D)"
+    """The first member of the largest cluster of an array of (x, n), numbers and how often they stand; a member is within the tolerance of its cluster's first.
+
+    Equal numbers always meet the same cluster, so they may be counted before.
+    """
+    near = f"if(abs(c.ref) < 1e-9D, abs(v.x) < 1e-9D, abs(c.ref - v.x) / abs(c.ref) < {tolerance}D)"
     hit = f"get(filter(transform(acc, (c, i) -> if({near}, i, null)), i -> i is not null), 0)"
-    put = f"if({hit} is null, concat(acc, array(named_struct('ref', v, 'n', 1))), transform(acc, (c, i) -> if(i = {hit}, named_struct('ref', c.ref, 'n', c.n + 1), c)))"
-    clusters = f"aggregate(filter({values}, v -> v is not null), cast(array() as array<struct<ref: double, n: int>>), (acc, v) -> {put})"
+    put = f"if({hit} is null, concat(acc, array(named_struct('ref', v.x, 'n', cast(v.n as bigint)))), transform(acc, (c, i) -> if(i = {hit}, named_struct('ref', c.ref, 'n', c.n + v.n), c)))"
+    clusters = f"aggregate(filter({values}, v -> v.x is not null), cast(array() as array<struct<ref: double, n: bigint>>), (acc, v) -> {put})"
     return f"transform(array({clusters}), k -> get(filter(k, c -> c.n = array_max(transform(k, x -> x.n))), 0).ref)[0]"
 
 

@@ -237,6 +237,71 @@ def robustness(rows: DataFrame, treatment: str, outcome: str, keys: list[str], s
     return g.withColumn("robust", F.expr("sign_consistent and monotonic"))
 
 
+def scenario(rows: DataFrame, changes: dict[str, Column], made: str = "s_") -> DataFrame:
+    """Rows with ``made``<variable> after setting several variables at once; only what lies below one of them is recomputed.
+
+    Missing variables above are filled from their equations first, in topological order.
+    """
+    out = rows
+    for n in order():
+        filled = F.expr(equation(n, "f_").replace(f"f_{n}", f"o_{n}")) if n in EQUATIONS else F.lit(None).cast("double")
+        out = out.withColumn(f"f_{n}", F.coalesce(F.col(f"o_{n}"), filled))
+    below = set().union(*(DESCENDANTS[v] for v in changes))
+    for n in order():
+        value = changes[n] if n in changes else F.expr(equation(n, made).replace(f"{made}{n}", f"f_{n}")) if n in below and n in EQUATIONS else F.col(f"f_{n}")
+        out = out.withColumn(f"{made}{n}", value)
+    return out
+
+
+def effects(rows: DataFrame, keys: list[str], before: str = "o_", after: str = "d_") -> DataFrame:
+    """(keys, variable, baseline, counterfactual, change_pct) of the variables below do_var that were observed and not 0."""
+    each = F.array(*[F.struct(F.lit(n).alias("variable"), F.col(f"{before}{n}").alias("baseline"), F.col(f"{after}{n}").alias("counterfactual"), F.array(*[F.lit(a) for a in sorted(ANCESTORS[n])]).alias("above")) for n in NODES if ANCESTORS[n]])
+    e = rows.select(*keys, "do_var", F.explode(each).alias("e")).filter("e.baseline <> 0 and array_contains(e.above, do_var)")
+    pct = "round((e.counterfactual - e.baseline) / abs(e.baseline) * 100, 2)"
+    return e.select(*keys, "e.variable", F.round("e.baseline", 4).alias("baseline"), F.round("e.counterfactual", 4).alias("counterfactual"), F.expr(pct).alias("change_pct"))
+
+
+def explained(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, explanation): the intervention and its three largest effects in words."""
+    e = effects(rows, keys)
+    # at most as many effects as the model has variables
+    g = e.groupBy(*keys).agg(F.sort_array(F.collect_list(F.expr("struct(-abs(change_pct) AS o, variable, change_pct)"))).alias("x"))
+    told = "array_join(transform(slice(x, 1, 3), y -> format_string('%s by %.2f%%', y.variable, y.change_pct)), ', ')"
+    said = rows.select(*keys, "do_var", "do_val").join(g, keys, "left")
+    return said.select(*keys, F.expr(f"concat(format_string('Setting %s to %.4f ', do_var, do_val), if(x is null, 'changes nothing observed', concat('changes ', {told})))").alias("explanation"))
+
+
+def contrast(rows: DataFrame, actual: str, other: str, keys: list[str], most: int = 5) -> DataFrame:
+    """(keys, variable, factual, without_actual, with_other): the variables that tell two causes apart most, at most ``most`` a row.
+
+    One cause is set to 0, the other raised by a fifth.
+    """
+    a = intervened(rows.withColumn("v", F.lit(actual)).withColumn("x", F.lit(0.0)), "o_", "a_", "v", "x")
+    b = intervened(a.withColumn("v", F.lit(other)).withColumn("x", F.col(f"o_{other}") * 1.2), "o_", "b_", "v", "x")
+    names = sorted(DESCENDANTS[actual] | DESCENDANTS[other])
+    each = ", ".join(f"if(o_{n} is null, null, named_struct('d', -abs(o_{n} - coalesce(a_{n}, 0D)), 'variable', '{n}', 'factual', round(o_{n}, 4), 'without_actual', round(a_{n}, 4), 'with_other', round(b_{n}, 4)))" for n in names)
+    x = b.select(*keys, F.expr(f"explode(slice(array_sort(filter(array({each}), e -> e is not null)), 1, {most}))").alias("e"))
+    return x.select(*keys, "e.variable", "e.factual", "e.without_actual", "e.with_other")
+
+
+def marginal(rows: DataFrame, treatment: str, outcome: str, keys: list[str], delta: float = 0.01) -> DataFrame:
+    """(keys, marginal): the change of an outcome per unit of a treatment, by a finite difference."""
+    e = rows.withColumn("v", F.lit(treatment)).withColumn("x0", F.coalesce(f"o_{treatment}", F.lit(0.0))).withColumn("x1", F.expr(f"x0 + {delta}"))
+    both = intervened(intervened(e, "o_", "b_", "v", "x0"), "o_", "m_", "v", "x1")
+    return both.select(*keys, F.round((F.coalesce(f"m_{outcome}", F.lit(0.0)) - F.coalesce(f"b_{outcome}", F.lit(0.0))) / delta, 4).alias("marginal"))
+
+
+def identification_table(spark: SparkSession) -> DataFrame:
+    """(treatment, outcome, backdoor, backdoor_valid, frontdoor, frontdoor_valid, separated) of every pair of variables: 702 rows."""
+    rows = []
+    for x in NODES:
+        for y in NODES:
+            if x != y:
+                (b, bv), (f, fv) = backdoor(x, y), frontdoor(x, y)
+                rows.append((x, y, ",".join(b), bv, ",".join(f), fv, separated(x, y, set())))
+    return spark.createDataFrame(rows, "treatment string, outcome string, backdoor string, backdoor_valid boolean, frontdoor string, frontdoor_valid boolean, separated boolean")
+
+
 def resolved(name: str) -> str:
     """The variable whose words overlap most with a name; the name itself if none does. Ties go to the first by name."""
     words = f"array_distinct(split(translate(lower({name}), '_', ' '), r'\\s+'))"

@@ -149,9 +149,10 @@ def dsl_validate(spark: SparkSession, folder: str) -> DataFrame:
 def majority_vote(spark: SparkSession, folder: str) -> DataFrame:
     """The most consistent prediction per example, clustered in the order of pred_id."""
     p = table(spark, folder, "predictions").selectExpr("row_id", "pred_id", f"{X.financial_number('predicted')} AS x").filter("x is not null")
-    # one example's predictions are bounded by its runs; only number and id are gathered
-    g = p.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("pred_id", "x"))).alias("v"))
-    return g.selectExpr("row_id", f"{P.majority('transform(v, p -> p.x)')} AS answer", "size(v) AS votes")
+    # counted by value first: one example may hold a third of all predictions, but few different answers
+    counted = p.groupBy("row_id", "x").agg(F.count("*").alias("n"), F.min("pred_id").alias("first"))
+    g = counted.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("first", "x", "n"))).alias("v"))
+    return g.selectExpr("row_id", f"{P.majority('v')} AS answer", "aggregate(v, 0L, (s, e) -> s + e.n) AS votes")
 
 
 # Routing
@@ -249,6 +250,36 @@ def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     return R.fused(R.scored_passages(examples(spark, folder)), "text", 5).drop("type")
 
 
+@register(f"WITH {_PASSAGES} SELECT row_id, CAST(doc_idx AS INTEGER) AS doc_idx, type, text FROM docs")
+def example_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage of every example as it is indexed."""
+    return R.passages(examples(spark, folder))
+
+
+@register()
+def retrieve_again(spark: SparkSession, folder: str) -> DataFrame:
+    """Retrieval for a query widened by the first gap of an answer, as the loop does."""
+    from tallyforge.operators import evidence as V
+
+    years = r"regexp_extract_all(question, r'\b((?:19|20)\d{2})\b', 1)"
+    e = examples(spark, folder).withColumn("widened", F.expr(V.reformulated("question", "'no_result'", years, "cast(array() as array<string>)", 1)))
+    return R.retrieve(e, "widened")
+
+
+@register(
+    r"""SELECT doc_id, regexp_replace(trim(regexp_replace(trim(string_split(trim(text), chr(10))[1]), '(?i)^(?:the answer is|answer:|result:|the result is)', '')), '\.+$', '') AS answer FROM documents WHERE trim(text) <> '' AND NOT contains(text, chr(13)) AND NOT contains(text, chr(160))"""
+)
+def reply_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """First lines of texts as a model's reply is read."""
+    d = table(spark, folder, "documents").filter("trim(text) <> '' and not contains(text, '\r') and not contains(text, '\u00a0')")
+    return d.selectExpr("doc_id", f"{X.first_line_answer('text')} AS answer")
+
+
+@register()
+def prompts(spark: SparkSession, folder: str) -> DataFrame:
+    return examples(spark, folder).filter("question is not null").selectExpr("row_id", f"{P.pot_prompt()} AS prompt")
+
+
 @register()
 def retrieve_all(spark: SparkSession, folder: str) -> DataFrame:
     return R.retrieve(examples(spark, folder))

@@ -512,6 +512,76 @@ def cf_robustness(spark: SparkSession, folder: str) -> DataFrame:
     return S.robustness(_observed(spark, folder), "revenue", "gross_profit", ["row_id"])
 
 
+@register(
+    f"""WITH {_OBS} SELECT row_id, round(revenue * 1.1 - input_costs * 0.95, 4) AS gross_profit, round(revenue * 1.1 - input_costs * 0.95 - coalesce(depreciation, {_Z['capex']} * 0.2) - {_Z['sga_expense']}, 4) AS operating_income FROM o WHERE revenue IS NOT NULL AND input_costs IS NOT NULL"""
+)
+def scm_scenario(spark: SparkSession, folder: str) -> DataFrame:
+    """Profits with revenue a tenth higher and costs of sales a twentieth lower."""
+    o = _observed(spark, folder).filter("o_revenue is not null and o_input_costs is not null")
+    s = S.scenario(o, {"revenue": F.col("o_revenue") * 1.1, "input_costs": F.col("o_input_costs") * 0.95})
+    return s.selectExpr("row_id", "round(s_gross_profit, 4) AS gross_profit", "round(s_operating_income, 4) AS operating_income")
+
+
+@register(f"WITH {_OBS} SELECT row_id, 1.0 AS marginal FROM o WHERE abs({_Z['revenue']}) < 1e6")
+def scm_marginal(spark: SparkSession, folder: str) -> DataFrame:
+    """A unit of revenue is a unit of gross profit, where floats resolve a hundredth."""
+    o = _observed(spark, folder).filter("abs(coalesce(o_revenue, 0)) < 1e6")
+    return S.marginal(o, "revenue", "gross_profit", ["row_id"])
+
+
+@register(
+    f"""WITH RECURSIVE e(a, b) AS (VALUES {_EDGE_VALUES}), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), n AS (SELECT a AS n FROM e UNION SELECT b FROM e)
+    SELECT x.n AS treatment, y.n AS outcome, coalesce((SELECT string_agg(e.a, ',' ORDER BY e.a) FROM e WHERE e.b = x.n AND NOT EXISTS (SELECT 1 FROM r WHERE r.a = x.n AND r.b = e.a)), '') AS backdoor,
+        NOT EXISTS (SELECT 1 FROM (SELECT a, b FROM r UNION SELECT n, n FROM n) p JOIN (SELECT a, b FROM r UNION SELECT n, n FROM n) q ON p.a = q.a WHERE p.b = x.n AND q.b = y.n) AS separated
+    FROM n x, n y WHERE x.n <> y.n"""
+)
+def scm_identification(spark: SparkSession, folder: str) -> DataFrame:
+    """Adjustment sets of every pair, and whether nothing links it: two variables are linked if one is above both or they are one."""
+    return S.identification_table(spark).select("treatment", "outcome", "backdoor", "separated")
+
+
+@register(
+    f"""WITH {_OBS}, d AS (SELECT *, revenue * 1.2 - {_Z['input_costs']} AS gp FROM o WHERE revenue IS NOT NULL), f AS (SELECT *, gp - {_Z['depreciation']} - {_Z['sga_expense']} AS oi FROM d), g AS (SELECT *, (oi - {_Z['interest_expense']}) * (1 - {_Z['tax_rate']}) AS ni FROM f)
+    SELECT row_id, 'gross_profit' AS variable, round(gross_profit, 4) AS baseline, round(gp, 4) AS counterfactual FROM g WHERE gross_profit <> 0 UNION ALL SELECT row_id, 'operating_income', round(operating_income, 4), round(oi, 4) FROM g WHERE operating_income <> 0
+    UNION ALL SELECT row_id, 'net_income', round(net_income, 4), round(ni, 4) FROM g WHERE net_income <> 0"""
+)
+def cf_effects(spark: SparkSession, folder: str) -> DataFrame:
+    """What a fifth more revenue changes among the observed profits."""
+    o = _observed(spark, folder).filter("o_revenue is not null").withColumn("do_var", F.lit("revenue")).withColumn("do_val", F.col("o_revenue") * 1.2)
+    return S.effects(S.intervened(o), ["row_id"]).filter("variable in ('gross_profit', 'operating_income', 'net_income')").drop("change_pct")
+
+
+@register()
+def cf_explanations(spark: SparkSession, folder: str) -> DataFrame:
+    o = _observed(spark, folder).filter("o_revenue is not null").withColumn("do_var", F.lit("revenue")).withColumn("do_val", F.col("o_revenue") * 1.2)
+    return S.explained(cut_lineage(S.intervened(o)), ["row_id"])
+
+
+@register()
+def cf_contrast(spark: SparkSession, folder: str) -> DataFrame:
+    """What tells revenue from costs of sales as a cause."""
+    return S.contrast(_observed(spark, folder), "revenue", "input_costs", ["row_id"])
+
+
+@register(
+    "WITH "
+    + _SPANS
+    + f""", r AS (SELECT a.k, a.e AS src, b.e AS tgt, {_ALLEN} AS rel FROM sp a JOIN sp b ON a.k = b.k AND a.e <> b.e)
+    SELECT k, src, tgt, CASE WHEN rel IN ('before','meets','overlaps') THEN 1 WHEN rel IN ('after','met_by','overlapped_by') THEN -1 ELSE 0 END AS precedence,
+        CASE WHEN rel IN ('before','meets','overlaps','during','equal','starts','started_by') THEN 0.0 END AS lo, CASE WHEN rel IN ('after','met_by','overlapped_by','contains','equal','starts','started_by') THEN 0.0 END AS hi FROM r"""
+)
+def allen_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Precedence and bounds that the relations of spans give; open bounds are null."""
+    order = "case rel " + " ".join(f"when '{k}' then {v}" for k, v in M.PRECEDENCE.items()) + " else 0 end"
+    b = allen_intervals(spark, folder).selectExpr("k", "src", "tgt", f"{order} AS precedence", f"{M.stn_bounds('rel')} AS b")
+    return b.selectExpr("k", "src", "tgt", "precedence", "if(b.lo = double('-Infinity'), null, b.lo) AS lo", "if(b.hi = double('Infinity'), null, b.hi) AS hi")
+
+
+@register()
+def causal_priors(spark: SparkSession, folder: str) -> DataFrame:
+    return C.priors(table(spark, folder, "documents"), ["doc_id"])
+
+
 @register()
 def cf_queries(spark: SparkSession, folder: str) -> DataFrame:
     """Interventions on every example's accounts as parsed from what-if questions about them."""

@@ -88,7 +88,7 @@ def test_operation(spark):
 
 
 def test_majority(spark):
-    assert one(spark, programs.majority("v"), v=(1.0, 2.0, 1.005, 2.0, 2.001)) == 2.0
+    assert one(spark, programs.majority("transform(v, x -> named_struct('x', x, 'n', 1L))"), v=(1.0, 2.0, 1.005, 2.0, 2.001)) == 2.0
 
 
 def test_allen_table_against_intervals():
@@ -200,3 +200,55 @@ def test_json_dataset(spark, tmp_path):
     assert r["q"].program == ["add(1, 2)", "divide(#0, 3)"] and r["q"].answer == "1.5" and r["q"].gold_evidence == ["t"] and r["q"].split == "dev"
     assert r["r"].answer == "7" and r["r"].id.startswith("finqa_") and r["r"].program == []
     assert json_dataset.load_dataset(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_router_fit(spark):
+    from tallyforge.operators import routing
+
+    rows = [("why did revenue fall because of costs?", "causal"), ("what was the percentage change in sales?", "numerical")] * 20
+    model = routing.fit_router(spark.createDataFrame(rows, "question string, label string"))
+    out = model.transform(spark.createDataFrame([(rows[0][0], "causal"), (rows[1][0], "numerical")], "question string, label string").withColumn("features", __import__("pyspark").ml.functions.array_to_vector(F.expr(routing.features()))))
+    assert [r.prediction == r.y for r in out.collect()] == [True, True]
+
+
+def test_pairs_cells_and_scenario(spark):
+    from tallyforge.sources import json_dataset
+
+    e = spark.createDataFrame([("sales in 2020", "revenue of 2020", ["cost 2019", "cost 2020", "none", "late 2018"])], "anchor string, positive string, negatives array<string>")
+    assert [(r.other, r.label) for r in json_dataset.contrastive_pairs(e).collect()] == [("revenue of 2020", 1), ("cost 2019", 0), ("none", 0)]
+    v = spark.createDataFrame([(1, 2, [1.0, 0.0, 0.0, 0.0])], "row_idx int, col_idx int, embedding array<double>")
+    got = T.place_cells(v, 4).collect()[0].embedding
+    want = np.array([1, 0, 0, 0]) + 0.1 * np.array([math.sin(1), math.cos(1 / 10000**0.25), math.sin(2 / 10000**0.5), math.cos(2 / 10000**0.75)])
+    assert np.allclose(got, want / np.linalg.norm(want))
+    o = scm.observed_columns(spark.createDataFrame([(1, {"revenue": 100.0, "input_costs": 40.0, "gross_profit": 60.0})], "row_id long, observed map<string, double>"))
+    s = scm.scenario(o, {"revenue": F.lit(200.0), "input_costs": F.lit(50.0)}).collect()[0]
+    assert s.s_gross_profit == 150.0 and s.s_operating_income == 150.0
+    d = o.withColumn("do_var", F.lit("revenue")).withColumn("do_val", F.lit(120.0))
+    assert scm.explained(scm.intervened(d), ["row_id"]).collect()[0].explanation.startswith("Setting revenue to 120.0000 changes gross_profit by 33.33%")
+
+
+def test_loop_over_rows(spark):
+    from tallyforge.operators import evidence
+
+    names = "success has_result has_program is_pot implausible n_entities has_trend has_temporal_context has_constraints n_relations has_causal_context has_discourse has_granger modules".split()
+    kinds = {"n_entities": "int", "n_relations": "int", "modules": "array<string>"}
+    schema = "k int, " + ", ".join(f"{n} {kinds.get(n, 'boolean')}" for n in names)
+    full, none = (True, True, True, True, False, 3, True, True, True, 2, True, True, True), (False, False, False, False, False, 0, False, False, False, 0, False, False, False)
+    rows = spark.createDataFrame([(1, *full, ["numerical", "temporal"]), (2, *none, ["numerical"]), (3, *none, ["temporal", "causal"]), (4, *none, [])], schema)
+    a = {r.k: (r.confidence, r.gaps) for r in evidence.assessed(rows).collect()}
+    assert a[1] == (1.0, []) and a[2] == (0.0, ["execution_failure", "no_result"]) and a[4] == (0.5, []) and a[3][1] == ["insufficient_entities", "no_trend", "no_relations"]
+
+    def again(left, i):
+        return evidence.assessed(left.drop("confidence", "gaps").withColumn("success", F.lit(i >= 2) & (F.col("k") == 2)).withColumn("has_result", F.lit(i >= 2) & (F.col("k") == 2)))
+
+    out = {r.k: (r.termination, r.iterations) for r in evidence.rounds(evidence.assessed(rows), again).collect()}
+    assert out == {1: ("threshold_met_initial", 1), 2: ("threshold_met", 3), 3: ("plateau", 3), 4: ("plateau", 3)}
+
+
+def test_exact_median(spark):
+    rng = np.random.default_rng(3)
+    rows = [(str(i % 3), float(x)) for i, x in enumerate(np.round(rng.normal(size=5001), 3))] + [(None, 1.0), (None, 4.0), ("0", None), ("9", None)] + [("h", 7.0)] * 2000
+    got = {r.k: r.m for r in evaluation.exact_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", "m").collect()}
+    for k in ("0", "1", "2", "h", None):
+        assert abs(got[k] - np.median([v for a, v in rows if a == k and v is not None])) < 1e-12
+    assert "9" not in got
