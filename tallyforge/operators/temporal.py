@@ -332,7 +332,7 @@ def pruned(edges: DataFrame, keys: list[str]) -> DataFrame:
     """``edges`` (keys, src, tgt, rel, confidence) without the less confident direction of conflicting pairs; at a tie the first by src stays."""
     bad = conflicts(edges, keys).filter("problem = 'conflicting precedence'").select(*keys, F.col("src").alias("a"), F.col("tgt").alias("b"))
     own = edges.withColumn("a", F.least("src", "tgt")).withColumn("b", F.greatest("src", "tgt")).join(bad.distinct(), [*keys, "a", "b"])
-    w = Window.partitionBy(*keys, "a", "b").orderBy("confidence", F.desc("src"))
+    w = Window.partitionBy(*keys, "a", "b").orderBy("confidence", F.desc("src"), "rel")
     losers = own.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*keys, "src", "tgt")
     return edges.join(losers, [*keys, "src", "tgt"], "left_anti")
 

@@ -285,7 +285,14 @@ def retrieve_all(spark: SparkSession, folder: str) -> DataFrame:
     return R.retrieve(examples(spark, folder))
 
 
-@register()
+@register(
+    """WITH RECURSIVE e AS (SELECT row_id, list_filter(coalesce(pre_text, []), lambda p: p IS NOT NULL) AS a, list_filter(coalesce(post_text, []), lambda p: p IS NOT NULL) AS b FROM finqa_examples),
+    u AS (SELECT row_id, a, unnest(range(len(b))) AS i, unnest(b) AS f FROM e), v AS (SELECT row_id, i, trim(f) AS f FROM u WHERE trim(f) <> '' AND NOT list_contains(list_transform(a, lambda x: left(lower(trim(x)), 200)), left(lower(trim(f)), 200))
+        QUALIFY row_number() OVER (PARTITION BY row_id, left(lower(trim(f)), 200) ORDER BY i) = 1), n AS (SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY i) AS k, f FROM v),
+    r AS (SELECT row_id, 0 AS k, array_to_string(a, ' ') AS t, false AS full_up FROM e
+        UNION ALL SELECT r.row_id, n.k, CASE WHEN length(r.t) + length(n.f) + 1 <= 3500 THEN r.t || ' ' || n.f WHEN 3500 - length(r.t) - 1 > 50 THEN r.t || ' ' || left(n.f, 3500 - length(r.t) - 1) ELSE r.t END, length(r.t) + length(n.f) + 1 > 3500 FROM r JOIN n ON n.row_id = r.row_id AND n.k = r.k + 1 WHERE NOT r.full_up)
+    SELECT row_id, CAST(length(trim(t, ' ')) AS INTEGER) AS n_chars, trim(t, ' ') AS context FROM r QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY k DESC) = 1"""
+)
 def context_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Leading paragraphs with those after the table appended."""
     e = examples(spark, folder).selectExpr("row_id", "filter(coalesce(pre_text, array()), p -> p is not null) AS a", "filter(coalesce(post_text, array()), p -> p is not null) AS b")

@@ -245,7 +245,14 @@ def precedence_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     return M.conflicts(_typed_edges(spark, folder).select("row_id", "src", "tgt", "rel").distinct(), ["row_id"])
 
 
-@register()
+@register(
+    f"""WITH {_RELS}, te AS (SELECT row_id, {_EVENT.replace('sentence', 'l')} AS src, {_EVENT.replace('sentence', 'r')} AS tgt, rel, round(least(1.0, 0.6 + CASE WHEN signal IN ({', '.join(_q(s) for s in M.STRONG)}) THEN 0.15 ELSE 0 END
+        + CASE CAST({_ANCH.format('l')} AS INT) + CAST({_ANCH.format('r')} AS INT) WHEN 2 THEN 0.15 WHEN 1 THEN 0.05 ELSE 0 END + least(0.1, 0.02 * ({_FIN}))), 4) AS confidence FROM er),
+    g AS (SELECT row_id, src, tgt, rel, max(confidence) AS confidence FROM te GROUP BY ALL),
+    bad AS (SELECT DISTINCT a.row_id, a.src AS x, a.tgt AS y FROM g a JOIN g b ON a.row_id = b.row_id AND a.src = b.tgt AND a.tgt = b.src WHERE a.src < a.tgt AND {_PREC.format('a.rel')} * {_PREC.format('b.rel')} = 1),
+    lose AS (SELECT g.row_id, g.src, g.tgt FROM g JOIN bad ON bad.row_id = g.row_id AND bad.x = least(g.src, g.tgt) AND bad.y = greatest(g.src, g.tgt) QUALIFY row_number() OVER (PARTITION BY g.row_id, bad.x, bad.y ORDER BY g.confidence, g.src DESC, g.rel) = 1)
+    SELECT g.* FROM g WHERE NOT EXISTS (SELECT 1 FROM lose l WHERE l.row_id = g.row_id AND l.src = g.src AND l.tgt = g.tgt)"""
+)
 def pruned_edges(spark: SparkSession, folder: str) -> DataFrame:
     e = _typed_edges(spark, folder).groupBy("row_id", "src", "tgt", "rel").agg(F.max("confidence").alias("confidence"))
     return M.pruned(e, ["row_id"])

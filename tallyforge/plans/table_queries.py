@@ -261,9 +261,20 @@ def column_relevance_topk(spark: SparkSession, folder: str) -> DataFrame:
     return r.selectExpr("row_id", "r.col_index", "cast(r.score as double) AS score")
 
 
-@register()
+@register(
+    f"""WITH {D.CELLS}, q AS (SELECT row_id, question, table_cells AS t, {D.words3('question')} AS w, list_distinct(regexp_extract_all(question, '[0-9]+\\.?[0-9]*')) AS n, regexp_matches(lower(question), '\\b(year|quarter|trend|change|growth)\\b') AS asked FROM finqa_examples),
+    tx AS (SELECT row_id, row_idx, any_value(label) AS label, lower(string_agg(raw, ' ' ORDER BY col_idx)) AS txt FROM cells GROUP BY row_id, row_idx),
+    rs AS (SELECT tx.row_id, tx.row_idx, round(0.3 * len(list_intersect(q.w, {D.words3('tx.txt')})) + 0.5 * len(list_intersect(q.n, list_distinct(regexp_extract_all(tx.txt, '[0-9]+\\.?[0-9]*')))) + CASE WHEN len(list_filter(q.w, lambda x: length(x) > 3 AND contains(tx.label, x))) > 0 THEN 0.4 ELSE 0 END, 6) AS score FROM tx JOIN q USING (row_id)),
+    rp AS (SELECT row_id, list(row_idx) AS rows FROM (SELECT row_id, row_idx FROM rs WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, row_idx) <= 5) GROUP BY row_id),
+    h AS (SELECT row_id, unnest(range(len(head))) AS col_idx, unnest(head) AS header FROM heads),
+    cs AS (SELECT h.row_id, h.col_idx, round(0.4 * len(list_intersect(q.w, {D.words3('h.header')})) + CASE WHEN q.asked AND regexp_matches(h.header, '\\b(19|20)[0-9][0-9]\\b|Q[1-4]|FY[0-9][0-9]') THEN 0.3 ELSE 0 END + CASE WHEN len(list_filter(regexp_extract_all(q.question, '((?:19|20)[0-9][0-9])', 1), lambda y: contains(h.header, y))) > 0 THEN 0.5 ELSE 0 END, 6) AS score FROM h JOIN q USING (row_id)),
+    cp AS (SELECT row_id, list(col_idx) FILTER (col_idx <> 0) AS cols FROM (SELECT row_id, col_idx FROM cs WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, col_idx) <= 5) GROUP BY row_id),
+    p AS (SELECT q.row_id, q.t, CASE WHEN rp.rows IS NULL THEN range(least(len(t), 11)) ELSE list_sort(list_concat([0], rp.rows))[1:11] END AS r, CASE WHEN cp.cols IS NULL THEN range(least(len(t[1]), 8)) ELSE list_sort(list_concat([0], cp.cols))[1:8] END AS c FROM q LEFT JOIN rp USING (row_id) LEFT JOIN cp USING (row_id) WHERE len(q.t) >= 2)
+    SELECT row_id, CAST(len(r) AS INTEGER) AS n_rows, array_to_string(list_transform(r, lambda i: array_to_string(list_transform(c, lambda j: coalesce(t[i + 1][j + 1], '')), '|')), ' / ') AS sub FROM p"""
+)
 def subtable(spark: SparkSession, folder: str) -> DataFrame:
-    return examples(spark, folder).selectExpr("row_id", f"{T.subtable()} AS sub").selectExpr("row_id", "size(sub) AS n_rows", "to_json(sub) AS sub")
+    e = examples(spark, folder).filter("size(table_cells) >= 2").selectExpr("row_id", f"{T.subtable()} AS sub")
+    return e.selectExpr("row_id", "size(sub) AS n_rows", "array_join(transform(sub, r -> array_join(r, '|')), ' / ') AS sub")
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
@@ -311,7 +322,14 @@ def table_value(spark: SparkSession, folder: str) -> DataFrame:
     return _asked(spark, folder).selectExpr("row_id", f"{T.table_value('asked', 'cast(fiscal_year as string)')} AS value").filter("value is not null")
 
 
-@register()
+@register(
+    f"""WITH {D.CELLS}, {_ASKED}, h AS (SELECT row_id, unnest(range(len(head))) AS col_idx, lower(unnest(head)) AS header FROM heads), w AS (SELECT row_id, row_idx, len(r) AS w FROM trows),
+    c AS (SELECT h.row_id, h.col_idx FROM h JOIN asked a USING (row_id) WHERE h.header = CAST(a.fiscal_year AS VARCHAR) OR (contains(h.header, CAST(a.fiscal_year AS VARCHAR)) AND list_contains(regexp_split_to_array(h.header, '\\s+'), CAST(a.fiscal_year AS VARCHAR)))
+        QUALIFY row_number() OVER (PARTITION BY h.row_id ORDER BY h.header = CAST(a.fiscal_year AS VARCHAR) DESC, h.col_idx) = 1),
+    r AS (SELECT k.row_id, k.row_idx, c.col_idx FROM cells k JOIN asked a USING (row_id) JOIN c USING (row_id) JOIN w USING (row_id, row_idx) WHERE k.col_idx = 0 AND a.asked <> '' AND c.col_idx < w.w AND (contains(k.label, a.asked) OR contains(a.asked, k.label))
+        QUALIFY row_number() OVER (PARTITION BY k.row_id ORDER BY k.row_idx) = 1)
+    SELECT row_id, {D.financial('raw')} AS value FROM cells JOIN r USING (row_id, row_idx, col_idx) WHERE {D.financial('raw')} IS NOT NULL"""
+)
 def fuzzy_value(spark: SparkSession, folder: str) -> DataFrame:
     return _asked(spark, folder).selectExpr("row_id", f"{T.fuzzy_value('asked', 'cast(fiscal_year as string)')} AS value").filter("value is not null")
 
@@ -337,17 +355,55 @@ def values_for_years(spark: SparkSession, folder: str) -> DataFrame:
     return e.selectExpr("row_id", f"{T.values_for_years('element_at(ys, -1)', 'element_at(ys, -2)')} AS v").filter("v is not null").select("row_id", "v.*")
 
 
-@register()
+@register(
+    f"""WITH {D.CELLS}, {_YEARS2}, h AS (SELECT row_id, unnest(range(len(head))) AS col_idx, lower(unnest(head)) AS header FROM heads),
+    hy AS (SELECT row_id, list_sort(list_distinct(flatten(list_transform(head, lambda h: regexp_extract_all(h, '\\b((?:19|20)[0-9][0-9])\\b', 1))))) AS hy FROM heads),
+    q AS (SELECT yq.row_id, ys, hy, {D.keywords('question')} AS kw, question FROM yq LEFT JOIN hy USING (row_id)),
+    y AS (SELECT row_id, 1 AS pr, 'years' AS source, ys[len(ys)] AS y1, ys[len(ys) - 1] AS y2, kw FROM q WHERE len(ys) >= 2 UNION ALL SELECT row_id, 2, 'years reversed', ys[1], ys[2], kw FROM q WHERE len(ys) >= 2
+        UNION ALL SELECT row_id, 3, 'header', hy[len(hy)], hy[len(hy) - 1], kw FROM q WHERE len(ys) < 2 AND len(hy) >= 2),
+    k AS (SELECT y.*, (SELECT min(col_idx) FROM h WHERE h.row_id = y.row_id AND contains(h.header, y.y1)) AS c1, (SELECT min(col_idx) FROM h WHERE h.row_id = y.row_id AND contains(h.header, y.y2)) AS c2 FROM y),
+    r AS (SELECT k.row_id, k.pr, k.source, a.row_idx, a.label, {D.financial('a.raw')} AS v1, {D.financial('b.raw')} AS v2, k.kw FROM k JOIN cells a ON a.row_id = k.row_id AND a.col_idx = k.c1 JOIN cells b ON b.row_id = k.row_id AND b.row_idx = a.row_idx AND b.col_idx = k.c2),
+    s AS (SELECT *, len(list_filter(kw, lambda x: contains(label, x))) + len(list_intersect({D.letters('label')}, list_distinct(kw))) + 0.5 * len(list_filter(kw, lambda x: length(x) > 3 AND contains(label, x))) AS score FROM r WHERE v1 IS NOT NULL AND v2 IS NOT NULL),
+    b AS (SELECT row_id, pr, v1, v2, source FROM s QUALIFY row_number() OVER (PARTITION BY row_id, pr ORDER BY score DESC, CASE WHEN regexp_matches(label, 'total|net|gross|revenue|income') THEN 0 ELSE 1 END, row_idx) = 1),
+    n AS (SELECT q.row_id, list_filter(list_transform(regexp_extract_all(q.question, '[-+]?\\$?[0-9][0-9,]*\\.?[0-9]*%?'), lambda n: {D.financial('n')}), lambda n: n IS NOT NULL AND NOT (n = floor(n) AND list_contains(list_transform(ys, lambda y: CAST(y AS DOUBLE)), n))) AS f FROM q JOIN finqa_examples e ON e.row_id = q.row_id AND len(e.table_cells) >= 3),
+    u AS (SELECT * FROM b UNION ALL SELECT row_id, 9, f[1], f[2], 'question' FROM n WHERE len(f) >= 2)
+    SELECT row_id, v1 AS v_new, v2 AS v_old, source FROM u QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY pr) = 1"""
+)
 def two_values(spark: SparkSession, folder: str) -> DataFrame:
     return examples(spark, folder).selectExpr("row_id", f"{T.looked_up(T.two_values())} AS v").filter("v is not null").select("row_id", "v.*")
 
 
-@register()
+_CONTENT = ",".join(f"'{w}'" for w in T.CONTENT_STOP)
+
+
+@register(
+    f"""WITH {D.CELLS}, {_YEARS2}, h AS (SELECT row_id, unnest(range(len(head))) AS col_idx, lower(unnest(head)) AS header FROM heads),
+    q AS (SELECT yq.row_id, (SELECT min(col_idx) FROM h WHERE h.row_id = yq.row_id AND contains(h.header, ys[len(ys)])) AS by_year, (SELECT min(col_idx) FROM h WHERE h.row_id = yq.row_id AND col_idx > 0 AND contains(h.header, 'total')) AS by_total,
+        list_filter({D.letters('lower(question)')}, lambda w: w NOT IN ({_CONTENT})) AS words, list_filter({D.letters("regexp_extract(lower(question), '(?:percent(?:age)?|share|portion|fraction)\\s+of\\s+(.+?)(?:\\s+(?:is|was|are|were|that|due)|\\s*\\?|$)', 1)")}, lambda w: w NOT IN ({_CONTENT})) AS aim
+        FROM yq JOIN (SELECT row_id AS rid FROM finqa_examples WHERE len(table_cells) >= 3) ON rid = yq.row_id),
+    p AS (SELECT *, CASE WHEN coalesce(by_year, 1) <> 1 THEN by_year ELSE coalesce(by_total, 1) END AS place FROM q),
+    f AS (SELECT p.row_id, c.row_idx, c.label, {D.financial('c.raw')} AS v, len(list_intersect({D.letters('c.label')}, p.words)) + 0.5 * len(list_filter(p.words, lambda x: contains(c.label, x))) AS s, len(list_intersect({D.letters('c.label')}, p.aim)) AS m FROM p JOIN cells c ON c.row_id = p.row_id AND c.col_idx = p.place),
+    g AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY s DESC, row_idx) AS n FROM f WHERE v IS NOT NULL), t AS (SELECT row_id, v FROM g WHERE n = 1),
+    a AS (SELECT g.row_id, g.v FROM g JOIN t USING (row_id) WHERE contains(g.label, 'total') AND abs(g.v) <> abs(t.v) QUALIFY row_number() OVER (PARTITION BY g.row_id ORDER BY g.n) = 1),
+    b AS (SELECT g.row_id, g.v FROM g JOIN t USING (row_id) WHERE m > 0 AND abs(g.v) <> abs(t.v) QUALIFY row_number() OVER (PARTITION BY g.row_id ORDER BY g.m DESC, g.n) = 1)
+    SELECT t.row_id, t.v AS part, coalesce(a.v, b.v, r.v) AS total FROM t JOIN g r ON r.row_id = t.row_id AND r.n = 2 LEFT JOIN a ON a.row_id = t.row_id LEFT JOIN b ON b.row_id = t.row_id"""
+)
 def part_of_total(spark: SparkSession, folder: str) -> DataFrame:
     return examples(spark, folder).selectExpr("row_id", f"{T.looked_up(T.part_of_total())} AS v").filter("v is not null").select("row_id", "v.*")
 
 
-@register()
+@register(
+    f"""WITH {D.CELLS}, {_YEARS2}, h AS (SELECT row_id, unnest(range(len(head))) AS col_idx, lower(unnest(head)) AS header FROM heads),
+    hy AS (SELECT row_id, list_sort(list_distinct(flatten(list_transform(head, lambda h: regexp_extract_all(h, '\\b((?:19|20)[0-9][0-9])\\b', 1))))) AS hy FROM heads),
+    q AS (SELECT yq.row_id, ys, hy, list_distinct({D.keywords('question')}) AS kw, {D.letters("regexp_extract(lower(question), '(?:percent(?:age)?|margin|rate)\\s+of\\s+(.+?)(?:\\s*\\?|$|\\s+in\\b|\\s+for\\b)', 1)")} AS hint FROM yq LEFT JOIN hy USING (row_id)),
+    o AS (SELECT row_id, unnest(range(len(ys))) AS n, unnest(ys) AS y FROM q), k AS (SELECT o.row_id, h.col_idx FROM o JOIN h USING (row_id) WHERE contains(h.header, o.y) QUALIFY row_number() OVER (PARTITION BY o.row_id ORDER BY o.n DESC, h.col_idx) = 1),
+    p AS (SELECT q.*, CASE WHEN len(ys) > 0 THEN coalesce(k.col_idx, 1) ELSE coalesce((SELECT min(col_idx) FROM h WHERE h.row_id = q.row_id AND contains(h.header, hy[len(hy)])), 1) END AS place FROM q LEFT JOIN k USING (row_id) JOIN finqa_examples e ON e.row_id = q.row_id AND len(e.table_cells) >= 3),
+    f AS (SELECT p.row_id, c.row_idx, c.label, {D.financial('c.raw')} AS v, p.hint, round(len(list_intersect({D.letters('c.label')}, p.kw)) + 0.8 * len(list_filter(p.kw, lambda x: length(x) > 3 AND contains(c.label, x))), 6) AS s FROM p JOIN cells c ON c.row_id = p.row_id AND c.col_idx = p.place),
+    g AS (SELECT * FROM f WHERE v IS NOT NULL), c2 AS (SELECT row_id FROM g GROUP BY row_id HAVING count(*) >= 2), t AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY s DESC, row_idx) = 1),
+    d AS (SELECT g.row_id, g.v, CASE WHEN len(list_intersect({D.letters('g.label')}, g.hint)) > 0 THEN 1 WHEN regexp_matches(g.label, '{T.REVENUE_TERMS}') THEN 2 ELSE 3 END AS kind, g.row_idx FROM g JOIN t USING (row_id) WHERE g.label <> t.label),
+    b AS (SELECT row_id, v FROM d QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY kind, CASE WHEN kind < 3 THEN row_idx ELSE 0 END, CASE WHEN kind = 3 THEN -abs(v) ELSE 0 END, CASE WHEN kind = 3 THEN -v ELSE 0 END) = 1)
+    SELECT t.row_id, t.v AS numerator, b.v AS denominator FROM t JOIN c2 USING (row_id) JOIN b USING (row_id) WHERE b.v <> 0"""
+)
 def margin_values(spark: SparkSession, folder: str) -> DataFrame:
     return examples(spark, folder).selectExpr("row_id", f"{T.looked_up(T.margin_values())} AS v").filter("v is not null").select("row_id", "v.*")
 
@@ -367,7 +423,15 @@ def same_row_values(spark: SparkSession, folder: str) -> DataFrame:
     return examples(spark, folder).selectExpr("row_id", f"{T.looked_up(T.same_row_values())} AS v").filter("v is not null").select("row_id", "v.*")
 
 
-@register()
+@register(
+    f"""WITH {D.CELLS}, {_YEARS2}, h AS (SELECT row_id, unnest(range(len(head))) AS col_idx, lower(unnest(head)) AS header FROM heads), q AS (SELECT row_id, ys, {D.keywords('question')} AS kw FROM yq), o AS (SELECT row_id, unnest(range(len(ys))) AS n, unnest(ys) AS y FROM q),
+    k AS (SELECT o.row_id, h.col_idx FROM o JOIN h USING (row_id) WHERE contains(h.header, o.y) QUALIFY row_number() OVER (PARTITION BY o.row_id ORDER BY o.n DESC, h.col_idx) = 1),
+    m AS (SELECT c.row_id, max(c.col_idx) AS col_idx FROM cells c JOIN heads USING (row_id) WHERE c.col_idx > 0 AND c.col_idx < len(head) AND {D.financial('c.raw')} IS NOT NULL GROUP BY c.row_id),
+    p AS (SELECT q.row_id, q.kw, coalesce(k.col_idx, m.col_idx) AS place FROM q LEFT JOIN k USING (row_id) LEFT JOIN m USING (row_id)),
+    s AS (SELECT t.row_id, t.row_idx, p.place, len(list_intersect({D.letters('c.label')}, list_distinct(p.kw))) + 0.5 * len(list_filter(p.kw, lambda x: contains(c.label, x))) AS score FROM trows t JOIN cells c ON c.row_id = t.row_id AND c.row_idx = t.row_idx AND c.col_idx = 0 JOIN p ON p.row_id = t.row_id WHERE p.place < len(t.r)),
+    b AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, row_idx) = 1)
+    SELECT b.row_id, {D.financial('c.raw')} AS value FROM b JOIN cells c ON c.row_id = b.row_id AND c.row_idx = b.row_idx AND c.col_idx = b.place WHERE {D.financial('c.raw')} IS NOT NULL"""
+)
 def single_value(spark: SparkSession, folder: str) -> DataFrame:
     return examples(spark, folder).selectExpr("row_id", f"{T.looked_up(T.single_value())} AS value").filter("value is not null")
 
