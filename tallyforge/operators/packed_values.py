@@ -49,6 +49,24 @@ def _call(s: str, at: int) -> int | None:
     return None
 
 
+def _closed_brackets(s: str, at: int) -> dict[int, int]:
+    """Ends of all bracket pairs from ``at`` on, by the place of the opening one: one pass, whatever stays open."""
+    ends: dict[int, int] = {}
+    stack: list[int] = []
+    i, n = at, len(s)
+    while i < n:
+        c = s[i]
+        if c == '"':
+            close = s.find('"', i + 1)
+            i = close if close >= 0 else i
+        elif c in "([":
+            stack.append(i)
+        elif c in ")]" and stack:
+            ends[stack.pop()] = i + 1
+        i += 1
+    return ends
+
+
 def _json(s: str, at: int) -> tuple[int, str] | None:
     """A value in double quotes with backslash escapes: its end and its text."""
     if s[at] != '"':
@@ -126,19 +144,23 @@ def _whole_calls(text: str) -> bool:
 def split_packed(field: str | None) -> Iterator[tuple[int, str, str, str | None]]:
     """(position, value, form, error) of every call packed in ``field``.
 
-    ``form`` is bare, json, doubled or python. A call without its closing bracket, or a quoted value without its
-    closing quote, ends the field: what stands from there is one value with ``error`` set and the scan goes on after
-    its name, so later values aren't lost. Null, blank and call-free fields give nothing.
+    ``form`` is bare, json, doubled or python. A call without its closing bracket is one value up to the next call, with
+    ``error`` unclosed, and the scan goes on after its name, so later values aren't lost; after a quote without its
+    partner, values have ``error`` quote. Null, blank and call-free fields give nothing.
     """
     if not field:
         return
     s, i, pos, n = field, 0, 0, len(field)
-    broken_quote = False
+    broken_quote, ends = False, None
+    refused = {"json": 0, "doubled": 0, "python": 0}  # a rule that failed isn't tried again within what it read
     while i < n:
         c = s[i]
         if c in "\"'":
             for form, rule in (("json", _json), ("doubled", _doubled), ("python", _python)):
+                if i < refused[form] or (form == "python") != (c == "'"):
+                    continue
                 got = rule(s, i)
+                refused[form] = got[0] - 1 if got else n
                 if got and _closed(s, got[0]) and _whole_calls(got[1]):
                     end, text = got
                     for _, value, _, error in split_packed(text):
@@ -148,12 +170,18 @@ def split_packed(field: str | None) -> Iterator[tuple[int, str, str, str | None]
                     break
             else:
                 broken_quote = broken_quote or c == '"'
+                while i + 2 < n and s[i + 1] == s[i + 2] == c:  # of a run of quotes the last may begin a value
+                    i += 1
                 i += 1
             continue
         if (c.isalpha() or c == "_") and not (i and (s[i - 1].isalnum() or s[i - 1] == "_")) and (m := NAME.match(s, i)):
-            end = _call(s, i)
+            end = _call(s, i) if ends is None else ends.get(m.end())
+            if end is None and ends is None:
+                ends = _closed_brackets(s, i)
+                end = ends.get(m.end())
             if end is None:
-                yield pos, s[i:].rstrip(), "bare", "unclosed"
+                after = NAME.search(s, m.end() + 1)
+                yield pos, s[i : after.start() if after else n].rstrip(" ,;|\t\r\n"), "bare", "unclosed"
                 pos += 1
                 i = m.end() + 1
                 continue

@@ -37,6 +37,14 @@ def test_errors_and_empties():
     assert values("add(1, (2) , multiply(3, 4)")[-1] == "multiply(3, 4)"
 
 
+def test_unclosed_calls_take_linear_time():
+    got = list(split_packed("add(" * 50_000))
+    assert len(got) == 50_000 and {v[3] for v in got} == {"unclosed"} and got[0][1] == "add("
+    got = list(split_packed("add(1, 2), divide(3, " + "multiply(5, 6), " * 3))
+    assert [v[1] for v in got] == ["add(1, 2)", "divide(3"] + ["multiply(5, 6)"] * 3
+    assert len(list(split_packed('"' * 100_000 + "add(1, 2)"))) == 1
+
+
 def test_long_field_takes_linear_time():
     s = ", ".join(["add(1, 2)"] * 20_000)
     assert len(values(s)) == 20_000
