@@ -49,7 +49,7 @@ def lines_of(text: str) -> list[str]:
 
 
 def likeness(line: str) -> str:
-    """What a closing line or heading has in common with its like: addresses and numbers are alike."""
+    """What a closing line or heading (at most SHORT characters) has in common with its like: addresses and numbers are alike."""
     return re.sub(r"\d+", "9", ADDRESS.sub("<address>", repaired(line)))
 
 
@@ -77,15 +77,16 @@ def _row_state(lines: list[str], at: int) -> str:
 def line_state(lines: list[str], at: int) -> str:
     """complete, open (no terminator), row, broken (characters or escapes), marked (an ellipsis) or bracket."""
     line = repaired(lines[at])
-    if BROKEN_TAIL.search(line) and not re.search(r"&\w+;$", line):
+    end = line[-SHORT:]  # what tells of the end stands there; patterns don't run over long lines
+    if BROKEN_TAIL.search(end) and not re.search(r"&\w+;$", end):
         return "broken"
     if line.startswith("|"):
         return _row_state(lines, at)
     if not LETTER.search(line) and not line[-1].isdigit():
         return "complete"
-    if MARKER.search(line) and LETTER.search(MARKER.sub("", line)):
+    if MARKER.search(end) and LETTER.search(line[: -len(end)] + MARKER.sub("", end)):
         return "marked"
-    if TERMINATOR.search(line):
+    if TERMINATOR.search(end):
         return "bracket" if open_brackets(line) > 0 and line[-1] in ".!?。！？" else "complete"
     if line[0] == "{" and line[-1] == "}" or line[0] in "([" and line[-1] in ")]" and open_brackets(line) == 0:
         return "complete"
@@ -105,7 +106,7 @@ def tail(text: str | None) -> list[tuple[int, str, str]]:
         state = line_state(lines, at)
         if depth and state == "open" and not _sentence_like(lines[at]):
             break  # a heading, name or label over lines that are known to close texts
-        out.append((depth, state, likeness(lines[at]) if state == "open" else ""))
+        out.append((depth, state, likeness(lines[at]) if state == "open" and len(lines[at]) <= SHORT else ""))
         if state != "open":
             break
     return out

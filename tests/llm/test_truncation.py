@@ -15,6 +15,8 @@ def test_states():
     assert open_brackets("a (b [c] d") == 1 and open_brackets("1) a") == 0
     assert lines_of("a<br/>b\r\n\n c\xa0") == ["a", "b", "c"] and line_state(["â€” â€”"], 0) == "complete"
     assert len(tail("word " * 200_000 + ".")) == 1
+    for long in ("a" + " " * 300_000 + "b", "x" * 300_000, "�" * 300_000, '"' * 300_000 + "a", "(" * 300_000 + "a.", "a@" * 150_000):
+        assert tail(long)[0][1] != "complete", long[:3]
 
 
 def corpus():
