@@ -1,13 +1,14 @@
-"""Same or near-same records across splits: a segment join under edit distance on canonical word strings.
+"""Same or near-same records across splits: a prefix-filter join, decided by edit distance, on canonical word strings.
 
 Agreement counts words with multiplicity and no order, so every field is put in canonical order first. On two canonical
 strings of n and m words the insert/delete distance is n + m less twice the number of common words; agreement of 0.75 is
 therefore a distance of at most a quarter of n + m, and banded dynamic programming decides it exactly.
 
-Candidates come from segments of the page (table and text). The words least likely to be shared by chance head the
-canonical order, and segments are cut where k edits leave room for another: single words where a word stands in few pages
-(a segment of one word then selects enough), pairs of neighbouring words elsewhere. A training page offers the substrings
-that can stand at the allowed positions: its own rare words and the pairs within its head.
+Candidates come from a prefix filter over a whole field: the table, or the text where a page's table has no words. Words
+are counted with their repetition and ordered by how many pairs of pages they would link, fewest first, over the whole
+corpus. Two fields that agree share a word within the first (1 - least) n + 1 of the smaller and the first
+(2 - 2 least) / (2 - least) m + 1 of the larger in that order, so no pair is lost whatever the pages hold. Sizes and a
+fingerprint of 128 bits that never overstates the distance leave out most pairs where they are joined.
 """
 
 from __future__ import annotations
@@ -27,10 +28,7 @@ from tallyforge.functions.arrowmap import flat_map
 from tallyforge.session import cut_lineage
 
 WORD = re.compile(r"[^\W_]+")
-HEAD = 14  #: words of each field that segments are cut from
-FEW_PAGES = 48  #: a word in at most so many pages makes a segment by itself
-SINGLES = 4  #: evaluation pages with fewer such words also have segments of two words
-PAIR_HEAD = 8  #: rarest words of a page that two-word segments are cut from
+HOT = 20_000_000  #: pairs of pages that one word links in one piece of the join; words that link more are salted
 FEW_QUESTIONS = 24  #: different questions of a page up to which all are compared
 GROUPS = 32  #: word groups of a field's outline
 
@@ -48,12 +46,19 @@ def field_words(value: Any) -> list[str]:
     return words("\n".join("\n".join(c for c in x if c) if isinstance(x, list) else x for x in value if x))
 
 
-def head(distinct: list[str], tag: str) -> list[int]:
-    """Numbers of the words least likely to be shared by chance: those with digits before others, long before short."""
-    order = sorted([w for w in distinct if not w.isalpha()], key=lambda w: (-len(w), w))[:HEAD]
-    if len(order) < HEAD:
-        order += sorted([w for w in distinct if w.isalpha()], key=lambda w: (-len(w), w))[: HEAD - len(order)]
-    return [_signed(xxhash.xxh64_intdigest((tag + w).encode("utf-8", "surrogatepass"))) for w in order]
+def elements(counts: Counter, tag: str) -> list[int]:
+    """Numbers of the words of a field, each repetition for itself: fields share as many numbers as words with multiplicity."""
+    return [_signed(xxhash.xxh64_intdigest(f"{tag}{i}:{w}".encode("utf-8", "surrogatepass"))) for w, n in counts.items() for i in range(n)]
+
+
+def fingerprint(counts: Counter) -> tuple[int, int]:
+    """Which of 64 word groups hold a word, and which hold two: differing bits are never more than the distance of the fields."""
+    once = twice = 0
+    for w, n in counts.items():
+        bit = 1 << zlib.crc32(w.encode("utf-8", "surrogatepass")) % 64
+        twice |= bit if n > 1 or once & bit else 0
+        once |= bit
+    return _signed(once), _signed(twice)
 
 
 def _signed(n: int) -> int:
@@ -105,7 +110,7 @@ def agree(a: list[str], b: list[str], least: float = 0.75) -> bool:
 
 
 def outlines(examples: DataFrame) -> DataFrame:
-    """One row per example of a split: its page's digest, sizes, outlines and head, and its question's canonical words."""
+    """One row per example of a split: its page's digest, sizes, outlines, fingerprint and elements, and its question's canonical words."""
 
     def make() -> Callable[..., Iterator[tuple]]:
         def each(row: int, split: str, question: str | None, table: Any, pre: Any) -> Iterator[tuple]:
@@ -114,7 +119,8 @@ def outlines(examples: DataFrame) -> DataFrame:
             p.sort()
             digest = hashlib.blake2b("\n".join((" ".join(t), " ".join(p))).encode("utf-8", "surrogatepass"), digest_size=16).digest()
             ct, cp = Counter(t), Counter(p)
-            yield row, split == "train", digest, len(t), len(p), outline(ct), outline(cp), head(list(ct), "t:") + head(list(cp), "p:"), " ".join(sorted(words(question)))
+            c, tag = (ct, "t") if t else (cp, "p")
+            yield row, split == "train", digest, len(t), len(p), outline(ct), outline(cp), *fingerprint(c), elements(c, tag), " ".join(sorted(words(question)))
 
         return each
 
@@ -123,44 +129,46 @@ def outlines(examples: DataFrame) -> DataFrame:
         known,
         ["row_id", "split", "question", "table_cells", "pre_text"],
         make,
-        "row_id bigint, train boolean, page binary, nt int, np int, ot array<tinyint>, op array<tinyint>, tokens array<bigint>, q string",
+        "row_id bigint, train boolean, page binary, nt int, np int, ot array<tinyint>, op array<tinyint>, once bigint, twice bigint, tokens array<bigint>, q string",
     )
 
 
-def _segments(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, pid) of the evaluation and of the training pages."""
+def _candidates(pages: DataFrame, least: float, hot: int) -> DataFrame:
+    """(pid_e, pid_t) of an evaluation and a training page whose tables (texts where tables are empty) may agree."""
     # a page's number and its two flags travel as one integer: postings are the bulk of what is shuffled
     postings = pages.select((F.col("pid") * 4 + F.col("train").cast("int") * 2 + F.col("eval").cast("int")).alias("pf"), F.explode("tokens").alias("token"))
-    df = postings.groupBy("token").agg(F.count("*").alias("n"), F.bit_or(F.col("pf").bitwiseAND(3)).alias("flags"))
-    ranked = postings.join(df, "token")
-    # at most 2 * HEAD words a page: the group is bounded whatever the data
-    heads = ranked.groupBy("pf").agg(F.sort_array(F.collect_list(F.struct("n", "token", "flags"))).alias("words"))
-    heads = heads.select(
-        F.expr("shiftright(pf, 2)").alias("pid"),
-        F.expr("(pf & 2) > 0").alias("train"),
-        F.expr("(pf & 1) > 0").alias("eval"),
-        F.expr(f"transform(filter(words, w -> w.n <= {FEW_PAGES} and w.flags = 3), w -> w.token)").alias("singles"),
-        F.expr(f"size(filter(words, w -> w.n <= {FEW_PAGES}))").alias("rare"),
-        F.expr(f"transform(slice(words, 1, {PAIR_HEAD}), w -> w.token)").alias("short"),
+    df = postings.groupBy("token").agg(F.sum(F.expr("pf & 1")).alias("e"), F.sum(F.expr("shiftright(pf & 2, 1)")).alias("t"))
+    # words of one side come first in the order: they need not be gathered, only counted
+    ranked = postings.join(df.selectExpr("token", "e * t AS links").filter("links > 0"), "token")
+    # a group is the words of one page's field
+    shared = ranked.groupBy("pf").agg(F.sort_array(F.collect_list(F.struct("links", "token"))).alias("words"))
+    sizes = pages.select("pid", F.expr("if(nt > 0, nt, np)").alias("n"), "nt", "np", "once", "twice")
+    shared = shared.withColumn("pid", F.expr("shiftright(pf, 2)")).join(sizes, "pid").withColumn("alone", F.expr("n - size(words)"))
+    short, long = f"cast({1 - least} * n + 1e-9 as int) + 1", f"cast({(2 - 2 * least) / (2 - least)} * n + 1e-9 as int) + 1"
+    shared = shared.withColumn("prefix", F.expr(f"slice(words, 1, greatest(0, {long} - alone))"))
+
+    def side(flag: int, name: str, salt: str) -> DataFrame:
+        rows = shared.filter(F.expr(f"(pf & {flag}) > 0")).select("pid", "n", "nt", "np", "once", "twice", "alone", F.posexplode("prefix").alias("at", "w"))
+        rows = rows.select("w.token", F.expr(f"alone + at < {short}").alias("in_short"), "pid", "n", "nt", "np", "once", "twice", F.expr(f"1 + w.links div {hot}").alias("pieces"))
+        return rows.withColumn("salt", F.expr(salt)).drop("pieces").select("token", "salt", *[F.col(c).alias(f"{c}_{name}") for c in ("in_short", "pid", "n", "nt", "np", "once", "twice")])
+
+    e, t = side(1, "e", "pmod(hash(pid), pieces)"), side(2, "t", "explode(sequence(0L, pieces - 1))")
+    most = 1 - least
+    may = (
+        "pid_e <> pid_t and if(n_e <= n_t, in_short_e, in_short_t)"
+        f" and bit_count(once_e ^ once_t) + bit_count(twice_e ^ twice_t) <= {most} * (n_e + n_t)"
+        f" and abs(nt_e - nt_t) <= {most} * (nt_e + nt_t) and abs(np_e - np_t) <= {most} * (np_e + np_t)"
     )
-    doubles = "flatten(transform(short, (x, i) -> transform(slice(short, i + 2, size(short)), y -> xxhash64(least(x, y), greatest(x, y)))))"
-    pairs = f"case when size(short) = 1 then short else {doubles} end"
-
-    def keys(side: str, singles: int) -> DataFrame:
-        own = heads.filter(side).select("pid", F.expr(f"explode(concat(singles, if(rare < {singles}, {pairs}, cast(array() as array<bigint>))))").alias("key"))
-        return own.select("key", F.col("pid").alias(f"pid_{side[0]}"))
-
-    return keys("eval", SINGLES), keys("train", 2 * SINGLES)
+    return e.join(t, ["token", "salt"]).filter(may).select("pid_e", "pid_t").distinct()
 
 
 def _distance(a: str, b: str) -> str:
     return f"aggregate(zip_with({a}, {b}, (x, y) -> abs(cast(x as int) - cast(y as int))), 0, (s, x) -> s + x)"
 
 
-def page_pairs(pages: DataFrame, texts: DataFrame, least: float = 0.75) -> DataFrame:
+def page_pairs(pages: DataFrame, texts: DataFrame, least: float = 0.75, hot: int = HOT) -> DataFrame:
     """(pid_e, pid_t) of different pages that agree in table and text; a page's number is its least row_id."""
-    e, t = _segments(pages)
-    found = e.join(t, "key").filter("pid_e <> pid_t").select("pid_e", "pid_t").distinct()
+    found = _candidates(pages, least, hot)
     outline_e = pages.filter("eval").select(F.col("pid").alias("pid_e"), F.struct("nt", "np", "ot", "op").alias("e"))
     outline_t = pages.filter("train").select(F.col("pid").alias("pid_t"), F.struct("nt", "np", "ot", "op").alias("t"))
     near = (
@@ -192,11 +200,9 @@ def cross_split_overlaps(examples: DataFrame, least: float = 0.75) -> DataFrame:
 
     Agreement is asked of question, table_cells and pre_text each; fields that are null or without words agree fully
     with each other and not at all with others. Rows without one of the three splits take no part. row_id must be unique.
-    Exact copies and repeated pages are compared once: pages are joined by segments, then the distinct questions of two
-    pages, and only the result is written out by rows. Candidates are all pages that share a segment, without a cap;
-    every pair returned has been verified. Two pages that share neither one of their few-page head words nor two of the
-    PAIR_HEAD rarest words of their heads are not compared: at an agreement of 0.75 this needs edits that hit nearly all
-    rare words of both fields (see the README for the measured recall).
+    Exact copies and repeated pages are compared once: pages are joined by a prefix filter, then the distinct questions
+    of two pages, and only the result is written out by rows. No agreeing pair is left out, however many pages hold its
+    words and wherever they differ, and every pair returned has been verified.
     """
     rows = cut_lineage(outlines(examples))
     pages = cut_lineage(
@@ -204,7 +210,7 @@ def cross_split_overlaps(examples: DataFrame, least: float = 0.75) -> DataFrame:
             F.min("row_id").alias("pid"),
             F.max("train").alias("train"),
             F.max(~F.col("train")).alias("eval"),
-            *[F.first(c).alias(c) for c in ("nt", "np", "ot", "op", "tokens")],
+            *[F.first(c).alias(c) for c in ("nt", "np", "ot", "op", "once", "twice", "tokens")],
         )
     )
     other = page_pairs(pages, examples, least)

@@ -86,3 +86,48 @@ def test_outline_never_overstates(spark):
         a, b = ([rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(0, 300))] for _ in range(2))
         outline = sum(abs(x - y) for x, y in zip(O.outline(Counter(a)), O.outline(Counter(b))))
         assert outline <= len(a) + len(b) - 2 * common(a, b)
+
+
+def near_copies(rng, n, questions):
+    """Copies of one page, each with own numbers: what they share stands in all, the rare words in one each."""
+    labels = [f"label{i}" for i in range(30)]
+    text = [f"common{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        own = [str(rng.randint(10**6, 10**9)) for _ in range(10)]
+        rows.append((i, "train" if i % 2 else "dev", "s", rng.choice(questions), [[w] for w in labels + own[:6]], [" ".join(text + own)], None, "x"))
+    return rows
+
+
+def test_many_near_copies_with_own_words(spark):
+    rows = near_copies(Random(7), 160, ["what was net sales in 2019?"])
+    rows += [(1000 + i, "train" if i % 2 else "test", "s", "why?", None, [f"boilerplate text of every filing in the year {i} a b c d e f"], None, "x") for i in range(120)]
+    got = [tuple(r) for r in cross_split_overlaps(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) == 80 * 80 + 60 * 60
+
+
+def test_random_pages_are_found_whole(spark):
+    rng = Random(11)
+    rows = []
+    for i in range(300):  # few words, so that pages agree by chance at every size, with repetitions
+        t = [[rng.choice("abcdef") for _ in range(rng.randint(0, 3))] for _ in range(rng.randint(0, 3))]
+        rows.append((i, rng.choice(["train", "dev"]), "s", "q", t, [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 6)))], None, "x"))
+    want = brute(rows)
+    assert {tuple(r) for r in cross_split_overlaps(spark.createDataFrame(rows, SCHEMA)).collect()} == want and len(want) > 100
+
+
+def test_hot_words_are_salted(spark):
+    rows = near_copies(Random(8), 60, ["q"])
+    df = spark.createDataFrame(rows, SCHEMA)
+    pages = O.outlines(df).selectExpr("row_id AS pid", "train", "not train AS eval", "nt", "np", "ot", "op", "once", "twice", "tokens")
+    got = [tuple(r) for r in O.page_pairs(pages, df, hot=7).collect()]
+    assert len(got) == len(set(got)) == 30 * 30
+    assert sorted(got) == sorted(tuple(r) for r in O.page_pairs(pages, df).collect())
+
+
+def test_fingerprint_never_overstates():
+    rng = Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(rng.randint(0, 80))] for _ in range(2))
+        x, y = O.fingerprint(Counter(a)), O.fingerprint(Counter(b))
+        assert sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x, y)) <= len(a) + len(b) - 2 * common(a, b)
