@@ -2,19 +2,21 @@
 
 Every text is read by a stack automaton that leaves its state at the last line: open brackets, quotes or markup, broken
 characters or escapes, an unfinished table row, or a sentence without a terminator. A last line without a terminator is
-no cut if its like closes or heads many different texts of some source (closing lines, headings); those lines are counted
-over the whole corpus first.
+no cut if its like closes or heads texts of its source that differ in more than names and numbers (closing lines,
+headings); those lines are counted over the whole corpus first.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.arrowmap import flat_map
+from tallyforge.session import cut_lineage
 
 MARKUP = re.compile(r"<(?:br|p|/p|b|/b|i|/i|div|/div|span|/span|li|/li|hr)\s*/?>", re.I)
 INVISIBLE = re.compile("[​‌﻿­⁠\x00-\x08\x0b\x0c\x0e-\x1f]")
@@ -25,6 +27,10 @@ ADDRESS = re.compile(r"\S*(?:@|://|www\.|\.example\b)\S*")
 LETTER = re.compile(r"[^\W\d_]")
 OPENERS, CLOSERS = "([{“«「『（", ")]}”»」』）"
 SHORT = 80
+UNIT = re.compile("[⺀-￿]|[^\\W\\d_⺀-￿]+|\\d+")
+SKETCH = 16  #: places of a text's sketch
+ALIKE = 0.4  #: texts that agree in so many places of their sketches are one text with other names
+CLASSES = 32  #: of the texts with a line; two sketches of each are kept
 
 
 def repaired(line: str) -> str:
@@ -112,27 +118,94 @@ def tail(text: str | None) -> list[tuple[int, str, str]]:
     return out
 
 
+def sketch(text: str) -> list[int]:
+    """The least hash of its triples of words (numbers are alike, CJK goes by character) in each of SKETCH classes, -1 for none.
+
+    The share of equal places estimates the share of common triples, so texts of one template have like sketches.
+    """
+    units = ["9" if u[0].isdecimal() else u for u in UNIT.findall(text.lower())]
+    out = [-1] * SKETCH
+    for triple in set(zip(units, units[1:], units[2:])) if len(units) > 2 else {tuple(units)}:
+        h = zlib.crc32(" ".join(triple).encode("utf-8", "surrogatepass"))
+        at, h = h % SKETCH, h // SKETCH
+        if out[at] < 0 or h < out[at]:
+            out[at] = h
+    return out
+
+
+def kinds(sketches: list[list[int]], most: int) -> int:
+    """How many of the texts differ from each other in more than names and numbers, counted up to ``most``."""
+    taken: list[list[int]] = []
+    for x in sketches:
+        if len(taken) >= most:
+            break
+        if all(sum(p == q >= 0 for p, q in zip(x, y)) < ALIKE * sum(p >= 0 or q >= 0 for p, q in zip(x, y)) for y in taken):
+            taken.append(x)
+    return len(taken)
+
+
+def standing(lines: list[str]) -> dict[str, bool]:
+    """Likeness of the short lines without a terminator, and whether the text shows the line to stand by itself.
+
+    It does if it follows a finished line, or labels over one, or heads the text, and the next line doesn't go on in lower
+    case. A line that goes on anywhere in the text, as hard-wrapped lines do, doesn't stand by itself.
+    """
+    out: dict[str, bool] = {}
+    wrapped: set[str] = set()
+    after = False  # whether a finished line came, and nothing but labels since
+    for i, line in enumerate(lines):
+        state = line_state(lines, i)
+        if state == "open":
+            if len(line) <= SHORT and not line.startswith("|"):
+                goes_on = i + 1 < len(lines) and lines[i + 1][0].islower() and _sentence_like(lines[i + 1])
+                stands = not goes_on and (after or i == 0 and len(lines) > 1)
+                like = likeness(line)
+                if goes_on:
+                    wrapped.add(like)
+                out[like] = stands or out.get(like, False)
+            after = after and not _sentence_like(line)
+        else:
+            after = state == "complete"
+    return {like: stands and like not in wrapped for like, stands in out.items()}
+
+
 def closing_lines(docs: DataFrame, rate: float = 0.003, least: int = 2) -> DataFrame:
-    """(like) of the lines without a terminator that stand whole in at least ``rate`` of some source's different texts.
+    """(source, like) of the lines without a terminator that stand by themselves in at least ``rate`` of the source's different texts.
 
-    Different texts are counted, so that copies of one cut text never make its cut a closing line. At most about
+    ``least`` of these texts must differ in more than names and numbers, so that near copies of one cut text never make its
+    cut a closing line, and lines that go on in more texts than they stand by themselves in are left out. At most about
     1 / ``rate`` such lines per source and line of a text exist, however large the corpus.
     """
 
     def make() -> Callable[..., Iterator[tuple]]:
         def each(source: str, key: int, text: str) -> Iterator[tuple]:
-            yield source, "", key
-            lines = lines_of(text)
-            for like in {likeness(x) for i, x in enumerate(lines) if len(x) <= SHORT and not x.startswith("|") and line_state(lines, i) == "open"}:
-                yield source, like, key
+            yield source, "", key, True, None
+            found = standing(lines_of(text))
+            if found:
+                of_text = sketch(text)
+                for like, stands in found.items():
+                    yield source, like, key, stands, of_text
+
+        return each
+
+    def make_kinds() -> Callable[..., Iterator[tuple]]:
+        def each(source: str, like: str, sketches: list) -> Iterator[tuple]:
+            if kinds([list(x) for x in sketches], least) >= least:
+                yield source, like
 
         return each
 
     texts = docs.filter(F.col("text").isNotNull()).select(F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("key"), "text")
-    seen = flat_map(texts, ["source", "key", "text"], make, "source string, like string, key bigint", 8192).distinct()
-    counts = seen.groupBy("source", "like").agg(F.count("*").alias("n"))
+    seen = flat_map(texts, ["source", "key", "text"], make, "source string, like string, key bigint, stands boolean, sketch array<bigint>", 8192).dropDuplicates(["source", "like", "key"])
+    # texts of one template meet in few classes of their sketches: others keep their places beside them
+    classes = seen.groupBy("source", "like", F.expr(f"pmod(xxhash64(array_max(sketch)), {CLASSES})").alias("class")).agg(
+        F.count_if("stands").alias("n"), F.count_if(~F.col("stands")).alias("others"), F.min_by("sketch", "key").alias("one"), F.max_by("sketch", "key").alias("two")
+    )
+    counts = classes.groupBy("source", "like").agg(F.sum("n").alias("n"), F.sum("others").alias("others"), F.sort_array(F.flatten(F.collect_list(F.array("one", "two")))).alias("sketches"))
+    counts = cut_lineage(counts.filter(F.col("n") >= F.when(F.col("like") == "", 1).otherwise(least)))  # texts are read once
     total = counts.filter("like = ''").select("source", F.col("n").alias("texts"))
-    return counts.filter("like <> ''").join(total, "source").filter((F.col("n") >= least) & (F.col("n") >= rate * F.col("texts"))).select("like").distinct()
+    often = counts.filter("like <> ''").join(total, "source").filter((F.col("n") >= rate * F.col("texts")) & (F.col("n") > F.col("others")))
+    return flat_map(often, ["source", "like", "sketches"], make_kinds, "source string, like string")
 
 
 def truncated(docs: DataFrame, rate: float = 0.003, least: int = 2) -> DataFrame:
@@ -140,27 +213,29 @@ def truncated(docs: DataFrame, rate: float = 0.003, least: int = 2) -> DataFrame
 
     reason is row, broken, marked, bracket or open. Null, empty and blank texts are never cut, nor are texts complete up
     to closing lines, headings or a finished table. Repeated documents are each reported; a null source counts as a
-    source of its own. The lines that close or head texts are counted over all documents (``closing_lines``); the join
-    with them is an equi-join on the line that Spark broadcasts where it is below its threshold.
+    source of its own. The lines that close or head texts are counted over all documents (``closing_lines``) and hold for
+    their source, for copies of its texts under other sources, and for texts without a source; the join with them is an
+    equi-join that Spark broadcasts where it is below its threshold.
     """
 
     def make() -> Callable[..., Iterator[tuple]]:
-        def each(doc: int, source: str | None, text: str) -> Iterator[tuple]:
+        def each(doc: int, source: str | None, key: int, text: str) -> Iterator[tuple]:
             got = tail(text)
             if got and got[0][1] != "complete":
                 for depth, state, like in got:
-                    yield doc, source, depth, state, like
+                    yield doc, source, key, depth, state, like
 
         return each
 
-    tails = flat_map(docs.filter(F.col("text").isNotNull()), ["doc_id", "source", "text"], make, "doc_id bigint, source string, depth int, state string, like string", 8192)
-    known = closing_lines(docs, rate, least).withColumn("known", F.lit(True))
-    judged = tails.join(known, "like", "left")
-    return (
-        judged.filter((F.col("state") != "complete") & F.col("known").isNull())
-        .groupBy("doc_id", "source")
-        .agg(F.min_by("state", "depth").alias("reason"))
-    )
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "source", F.xxhash64("text").alias("key"), "text")
+    tails = cut_lineage(flat_map(texts, ["doc_id", "source", "key", "text"], make, "doc_id bigint, source string, key bigint, depth int, state string, like string", 8192))
+    known = cut_lineage(closing_lines(docs, rate, least))
+    known = known.union(known.select(F.lit("").alias("source"), "like")).distinct().withColumnRenamed("source", "at").withColumn("known", F.lit(True))
+    judged = tails.withColumn("at", F.coalesce("source", F.lit(""))).join(known, ["at", "like"], "left")
+    cut = judged.filter((F.col("state") != "complete") & F.col("known").isNull()).select("doc_id", "source", "key", "depth", "state", "like")
+    # a copy under another source is closed by what closes the text in its own
+    copies = judged.filter("known").select("key", "like").distinct()
+    return cut.join(copies, ["key", "like"], "left_anti").groupBy("doc_id", "source").agg(F.min_by("state", "depth").alias("reason"))
 
 
 def truncation_rates(docs: DataFrame, rate: float = 0.003, least: int = 2) -> DataFrame:

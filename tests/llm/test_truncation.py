@@ -1,6 +1,6 @@
 from random import Random
 
-from tallyforge.llm.truncation import line_state, lines_of, open_brackets, tail, truncated, truncation_rates
+from tallyforge.llm.truncation import kinds, line_state, lines_of, open_brackets, sketch, tail, truncated, truncation_rates
 
 WHOLE = ["Net sales rose 4.1% in 2019.", "Why?", "管理层预计需求将逐步恢复。", "They fell (see schedule 5).", "| a | b |\n|---|---|\n| 1 | 2 |", "Sold for $5.\n— — —", "Done.\n👍", '{"form": "A-1", "ok": true}', "See note.<br/>\n", "Ende.​", "ends here.\n[End of transcript]"]
 CUT = {"Net sales rose 4.1% in 20": "open", "Net sales…": "marked", "Net sales rose in the...": "marked", "the year [...]": "marked", "负债�": "broken", "| a | b |\n|---|---|\n| inventories | 5": "row", "| a | b |\n| 1 |": "row", "They fell &am": "broken", "A rise (of 5%.": "bracket", "ends with \\u20": "broken"}
@@ -45,3 +45,41 @@ def test_tables_ends(spark, data):
     d = spark.read.parquet(f"{data}/documents.parquet")
     n, cut = d.count(), truncated(d).count()
     assert 0 < cut < 0.2 * n
+
+
+def pages(n, source, end, start=0):
+    """Texts that have nothing in common but their end."""
+    rng = Random(9 + start)
+    return [(start + i, source, " ".join("".join(rng.choices("abcdefghij", k=4)) for _ in range(40)) + f" whole {i}." + end) for i in range(n)]
+
+
+def found(spark, rows):
+    return {r.doc_id for r in truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+
+
+def test_near_copies_cut_at_one_place(spark):
+    names = ["Tarn", "Holt", "Mirel", "Oska", "Brandt", "Quill"]
+    one = "The board of %s plc met on day %d of the month to look at the accounts of all units and found them in order.\nThe notes are carried at"
+    two = "%s Group gave the rate as %d and said that no change of policy was planned by those who lead the units in the"
+    rows = [(i, "s", (one if i < 60 else two) % (names[i % 6] + chr(97 + i % 26), i)) for i in range(120)]
+    closed = pages(60, "s", "\nEND OF CALL", 1000)
+    assert found(spark, rows + closed) == set(range(120))
+
+
+def test_wrapped_lines_and_other_sources(spark):
+    wrapped = pages(40, "s", "\nForward-looking statements are\nsubject to risks that could change what the", 100)
+    whole = pages(60, "s", "\nForward-looking statements are\nsubject to risks that could change what the\ngroup expects of the year to come.", 200)
+    first = pages(20, "s", "\nForward-looking statements are", 300)
+    small = pages(2, "t", "\nas stated in the", 400)
+    here = pages(50, "u", "\nEND OF CALL", 500)
+    copy, unnamed = [(700, "w", here[0][2])], pages(1, None, "\nEND OF CALL", 800)
+    other = pages(2, "v", "\nas stated in the", 900)[:1]
+    got = found(spark, wrapped + whole + first + small + here + copy + unnamed + other + pages(10, "v", "", 2000))
+    assert got >= {r[0] for r in wrapped + first + other} and not got & {r[0] for r in whole + here + copy + unnamed}
+
+
+def test_two_different_texts_show_a_closing_line(spark):
+    for start in range(0, 60, 2):
+        assert kinds([sketch(t) for _, _, t in pages(2, "s", "\nthat is all", start)], 2) == 2
+    rows = [(100 * k + i, f"s{k}", t) for k in range(80) for i, _, t in pages(2, "", "\nthat is all", 1000 + 2 * k)]
+    assert found(spark, [(n, s, t) for n, (_, s, t) in enumerate(rows)]) == set()
