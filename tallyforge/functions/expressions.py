@@ -236,6 +236,20 @@ def first_line_answer(x: str) -> str:
     return f"regexp_replace(trim(regexp_replace({line}, r'(?i)^(?:the answer is|answer:|result:|the result is)', '')), r'\\.+$', '')"
 
 
+def strip(x: str) -> str:
+    """Without white space of any kind at both ends, line breaks and no-break spaces included."""
+    codes = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    return f"trim(BOTH '{''.join(rf'\u{c:04x}' for c in codes)}' FROM {x})"
+
+
+def reply_answer(x: str) -> str:
+    """First line of a model's reply, whatever white space it holds, without its prefixes and final full stops."""
+    line = strip(f"split({strip(x)}, '\\n')[0]")
+    for prefix in ("the answer is", "answer:", "result:", "the result is"):
+        line = strip(f"regexp_replace({line}, r'(?i)^{prefix}', '')")
+    return f"regexp_replace({line}, r'\\.+\\z', '')"
+
+
 def code_block(x: str) -> str:
     """Code of the first fenced block of a model's reply, else the whole reply."""
     return f"if({x} rlike r'(?s)```(?:python)?\\s*(.*?)```', trim(regexp_extract({x}, r'(?s)```(?:python)?\\s*(.*?)```', 1)), trim({x}))"

@@ -63,7 +63,7 @@ def attention() -> str:
 
 def aggregated_answer() -> str:
     """The executed result, else a refined one, else a model's answer, else ''; columns result_str, result_num, refined, generated."""
-    return f"coalesce(if(success, coalesce(result_str, {X.format_answer('result_num')}), null), refined, {X.first_line_answer('generated')}, '')"
+    return f"coalesce(if(success, coalesce(result_str, {X.format_answer('result_num')}), null), refined, {X.reply_answer('generated')}, '')"
 
 
 def backward_check(answer: str, evidence: str) -> str:

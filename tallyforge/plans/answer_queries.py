@@ -275,6 +275,13 @@ def reply_answers(spark: SparkSession, folder: str) -> DataFrame:
     return d.selectExpr("doc_id", f"{X.first_line_answer('text')} AS answer")
 
 
+@register()
+def reply_answers_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """First lines of all texts that aren't blank; those of ``reply_answers`` are the share that its SQL can say."""
+    d = table(spark, folder, "documents").filter(f"{X.strip('text')} <> ''")
+    return d.selectExpr("doc_id", f"{X.reply_answer('text')} AS answer")
+
+
 @register()
 def prompts(spark: SparkSession, folder: str) -> DataFrame:
     return examples(spark, folder).filter("question is not null").selectExpr("row_id", f"{P.pot_prompt()} AS prompt")

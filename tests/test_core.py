@@ -252,3 +252,22 @@ def test_exact_median(spark):
     for k in ("0", "1", "2", "h", None):
         assert abs(got[k] - np.median([v for a, v in rows if a == k and v is not None])) < 1e-12
     assert "9" not in got
+
+
+def test_replies_with_any_white_space(spark, data):
+    from tallyforge.functions import expressions as X
+
+    def published(t):
+        line = t.strip().split("\n")[0].strip()
+        for prefix in ("the answer is", "answer:", "result:", "the result is"):
+            if line.lower().startswith(prefix):
+                line = line[len(prefix) :].strip()
+        return line.rstrip(".")
+
+    texts = ["The answer is\u00a05.\r\nmore", "\r\nAnswer: result: 7..\r", "\u00a0x\u00a0", "a\rb\nc", "\u2003 The result is\t-3 \u3000\n", "."]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").selectExpr("i", f"{X.reply_answer('text')} AS a").collect()
+    assert {r.i: r.a for r in got} == {i: published(t) for i, t in enumerate(texts)}
+    import __spark_entry__ as entry
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect() if r.text and r.text.strip()}
+    assert {r.doc_id: r.answer for r in entry.queries()["reply_answers_whole"](spark, data).collect()} == {k: published(t) for k, t in docs.items()}
