@@ -99,6 +99,13 @@ def dsl_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return r.selectExpr("row_id", f"{X.answers_match('coalesce(result_str, cast(result_num as string))', 'answer')} AS matched")
 
 
+@register()
+def dsl_accuracy_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for every program that can be executed, results of 1e15 or more and infinities included."""
+    r = P.executed(T.prepared(examples(spark, folder))).filter("success")
+    return r.selectExpr("row_id", f"{X.answers_match('coalesce(result_str, cast(result_num as string))', 'answer')} AS matched")
+
+
 @register()
 def dsl_units(spark: SparkSession, folder: str) -> DataFrame:
     r = P.executed(T.prepared(examples(spark, folder))).filter("size(trace) > 0")

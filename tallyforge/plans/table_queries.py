@@ -85,6 +85,13 @@ def format_answer(spark: SparkSession, folder: str) -> DataFrame:
     return plain.selectExpr("pred_id", f"{X.format_answer('x')} AS answer")
 
 
+@register()
+def format_answer_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers of every size, those in exponent form included; ``format_answer`` is the share that its SQL can say."""
+    v = table(spark, folder, "predictions").selectExpr("pred_id", f"{X.financial_number('predicted')} AS x").filter("x is not null")
+    return v.selectExpr("pred_id", f"{X.format_answer('x')} AS answer")
+
+
 @register(
     f"""WITH t AS (SELECT row_id, coalesce(question, '') || ' ' || coalesce(array_to_string(pre_text, ' '), '') AS t FROM finqa_examples)
     SELECT row_id, {D.years('t')} AS years FROM t"""

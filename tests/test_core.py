@@ -271,3 +271,19 @@ def test_replies_with_any_white_space(spark, data):
 
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect() if r.text and r.text.strip()}
     assert {r.doc_id: r.answer for r in entry.queries()["reply_answers_whole"](spark, data).collect()} == {k: published(t) for k, t in docs.items()}
+
+
+def test_answers_of_every_size_are_returned(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = ["123456.7", "0.00002", "2500000000000", "12.5", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "pred_id long, predicted string").write.parquet(f"{tmp_path}/predictions.parquet")
+    got = {r.pred_id: r.answer for r in entry.queries()["format_answer_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: "1.2346e+05", 1: "2e-05", 2: "2.5e+12", 3: "12.5"}
+
+
+def test_every_executed_program_is_judged(spark, data):
+    import __spark_entry__ as entry
+
+    q = entry.queries()
+    assert {r.row_id for r in q["dsl_accuracy_whole"](spark, data).collect()} == {r.row_id for r in q["dsl_eval_all"](spark, data).collect()}
