@@ -7,63 +7,103 @@ in the order of a seeded hash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens that the knapsack fits exactly; what a budget has beyond them is filled in proportion first.
-FITTED = 20_000
+from tallyforge.session import cut_lineage
 
+#: Tokens of a budget up to which the knapsack may grow to cover them all; a larger budget is filled in proportion before.
+WINDOW = 1 << 26
 
-def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many items of each length to take so that they sum to ``budget``, or come as near below it as they can.
 
-    All but FITTED tokens of the budget are taken in proportion, then the longest items until the rest is within FITTED
-    tokens; a bounded knapsack over the rest (bit sets, counts split into powers of two) ends it. A budget within FITTED
-    tokens is met as nearly as any choice of items can.
+def _reach(parts: list[int], rest: int) -> list[int]:
+    """Which of ``parts`` to take for the largest sum not above ``rest``: sums are bits, kept at every root-th part.
+
+    The sums before a part are made again from the last kept ones when the way back is sought, so memory grows with the
+    root of the number of parts.
     """
-    total = sum(a * b for a, b in zip(lengths, counts))
-    if budget >= total:
-        return list(counts)
-    if budget <= 0:
-        return [0] * len(lengths)
-    base = max(0, budget - FITTED)
+    step, mask = max(1, math.isqrt(len(parts))), (1 << (rest + 1)) - 1
+    reach, kept, done = 1, [], 0
+    for i, w in enumerate(parts):
+        if i % step == 0:
+            kept.append(reach)
+        reach |= (reach << w) & mask
+        done = i + 1
+        if reach >> rest & 1:
+            break
+    at, taken = reach.bit_length() - 1, []
+    for block in range(len(kept) - 1, -1, -1):
+        first = block * step
+        before = [kept[block]]
+        for w in parts[first : min(first + step, done) - 1]:
+            before.append(before[-1] | (before[-1] << w) & mask)
+        for i in range(min(first + step, done) - 1, first - 1, -1):
+            if not before[i - first] >> at & 1:
+                taken.append(i)
+                at -= parts[i]
+    return taken
+
+
+def _within(lengths: list[int], counts: list[int], budget: int, total: int, window: int) -> list[int]:
+    """A choice whose last ``window`` tokens a bounded knapsack fits; ``window`` is at least four of the longest items."""
+    base = max(0, budget - window)
     take = [c * base // total for c in counts]
     rest = budget - sum(a * b for a, b in zip(lengths, take))
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    for i in order:
-        if rest <= FITTED:
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        if rest <= window:
             break
-        more = min(counts[i] - take[i], max(0, rest - FITTED // 2) // lengths[i])
+        more = min(counts[i] - take[i], (rest - window // 2) // lengths[i])
         take[i] += more
         rest -= more * lengths[i]
-    if rest > FITTED:  # items longer than the window: as many as fit, longest first
-        for i in order:
-            more = min(counts[i] - take[i], rest // lengths[i])
-            take[i] += more
-            rest -= more * lengths[i]
-        return take
-    reach, mask, seen = 1, (1 << (rest + 1)) - 1, []
+    parts, of = [], []
     for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
-        left, power = min(counts[i] - take[i], rest // lengths[i] if lengths[i] else 0), 1
-        while left > 0:
+        left, power = min(counts[i] - take[i], rest // lengths[i]), 1
+        while left > 0:  # counts are split into powers of two
             n = min(power, left)
-            seen.append((i, n, reach))
-            reach |= (reach << (n * lengths[i])) & mask
+            parts.append(n * lengths[i])
+            of.append((i, n))
             left -= n
             power *= 2
-        if reach >> rest & 1:
-            break
-    at = reach.bit_length() - 1
-    for i, n, before in reversed(seen):
-        if not before >> at & 1:
-            take[i] += n
-            at -= n * lengths[i]
+    for at in _reach(parts, rest):
+        i, n = of[at]
+        take[i] += n
     return take
 
 
+def fit(lengths: list[int], counts: list[int], budget: int, window: int = WINDOW) -> list[int]:
+    """How many items of each length to take so that they sum to ``budget``, or come as near below it as they can.
+
+    Lengths are positive. They are divided by their common divisor first. A bounded knapsack fits the last tokens of the
+    budget, what is before them being filled in proportion; its span begins at four of the longest items and grows until
+    the budget is met, or the span is the whole budget and no choice comes nearer. Only a budget of more than ``window``
+    units of the common divisor that no span up to ``window`` meets may end below the best choice; what is missing shows
+    in ``shares``.
+    """
+    if budget >= sum(a * b for a, b in zip(lengths, counts)):
+        return list(counts)
+    if budget <= 0:
+        return [0] * len(lengths)
+    divisor = math.gcd(*lengths)
+    lengths, budget = [x // divisor for x in lengths], budget // divisor
+    total = sum(a * b for a, b in zip(lengths, counts))
+    span, best, most = max(4096, 4 * max(lengths)), None, -1
+    while True:
+        take = _within(lengths, counts, budget, total, span)
+        got = sum(a * b for a, b in zip(lengths, take))
+        if got > most:
+            best, most = take, got
+        if most == budget or span >= budget or 4 * span > max(window, 4096):
+            break
+        span *= 4
+    if most < budget <= window and span < budget:
+        best = _within(lengths, counts, budget, total, budget)
+    return best
+
+
 def budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, tokens, budget): the most tokens each source may give to the mix.
 
@@ -95,7 +135,8 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     able = sizes.filter("n_tokens > 0 and source is not null")
     counts = able.groupBy("source", "n_tokens").agg(F.count("*").alias("n"))
     plan = counts.join(budgets(sizes, targets).filter("budget > 0").select("source", "tokens", "budget"), "source")
-    fitted = plan.groupBy("source").applyInPandas(_fit_source, "source string, n_tokens int, n bigint, passes int, take bigint")
+    # a row per length, used three times below: fitted once and written
+    fitted = cut_lineage(plan.groupBy("source").applyInPandas(_fit_source, "source string, n_tokens int, n bigint, passes int, take bigint"))
     u = (F.xxhash64(F.lit(seed), "doc_id") / F.lit(2.0**64)) + F.lit(0.5)
     docs = (
         able.select("doc_id", "source", "n_tokens")
@@ -116,8 +157,8 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def shares(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, budget, tokens_used, actual_share, docs_used, most_uses) of every target source."""
+    """(source, target_share, budget, tokens_used, missing, actual_share, docs_used, most_uses) of every target source; missing is budget less tokens_used."""
     used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens").cast("bigint") * F.col("uses")).alias("tokens_used"), F.count("*").alias("docs_used"), F.max("uses").alias("most_uses"))
     out = budgets(sizes, targets).join(used, "source", "left").na.fill(0, ["tokens_used", "docs_used", "most_uses"])
     total = out.agg(F.sum("tokens_used")).scalar()
-    return out.select("source", "target_share", "budget", "tokens_used", F.when(total > 0, F.round(F.col("tokens_used") / total, 6)).otherwise(0.0).alias("actual_share"), "docs_used", "most_uses")
+    return out.select("source", "target_share", "budget", "tokens_used", (F.col("budget") - F.col("tokens_used")).alias("missing"), F.when(total > 0, F.round(F.col("tokens_used") / total, 6)).otherwise(0.0).alias("actual_share"), "docs_used", "most_uses")

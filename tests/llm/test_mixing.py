@@ -1,6 +1,8 @@
 from random import Random
 
-from tallyforge.llm.mixing import FITTED, fit, mix, shares
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tallyforge.llm.mixing import WINDOW, fit, mix, shares
 
 
 def test_small_budgets_are_met_as_nearly_as_any_choice_can():
@@ -18,13 +20,39 @@ def test_small_budgets_are_met_as_nearly_as_any_choice_can():
         assert sum(a * b for a, b in zip(lengths, take)) == max(reach)
 
 
+def best(lengths, counts, budget):
+    reach = {0}
+    for a, c in zip(lengths, counts):
+        reach = {r + a * i for r in reach for i in range(c + 1) if r + a * i <= budget}
+    return max(reach)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 100_000), st.integers(1, 3)), min_size=1, max_size=7, unique_by=lambda x: x[0]), st.floats(0, 1.1))
+def test_long_items_are_fitted_as_nearly_as_any_choice_can(items, share):
+    lengths, counts = [a for a, _ in items], [c for _, c in items]
+    budget = int(share * sum(a * c for a, c in items))
+    take = fit(lengths, counts, budget)
+    assert all(0 <= t <= c for t, c in zip(take, counts)) and sum(a * b for a, b in zip(lengths, take)) == best(lengths, counts, budget)
+
+
+def test_budgets_that_long_items_reach():
+    for lengths, counts, budget in (([30_000, 40_000, 50_000], [2, 2, 1], 110_000), ([25_000, 30_001, 7], [9, 9, 9], 100_000 + 7), ([25_000, 30_001, 7], [4, 1, 1], 100_000)):
+        assert sum(a * b for a, b in zip(lengths, fit(lengths, counts, budget))) == budget
+
+
 def test_large_budgets():
     rng = Random(2)
     lengths = list(range(20, 3000))
     counts = [rng.randint(1, 50) for _ in lengths]
-    for budget in (FITTED + 1, 4_000_001, 77_777_777):
+    for budget in (20_001, 4_000_001, 77_777_777):
         assert sum(a * b for a, b in zip(lengths, fit(lengths, counts, budget))) == budget
     assert fit([50_000], [10], 120_000) == [2] and fit([], [], 5) == [] and fit([3], [2], 99) == [2]
+    lengths = [rng.randint(1, 100_000) for _ in range(300)]
+    counts = [rng.randint(1, 10_000) for _ in lengths]
+    budget = 7 * WINDOW + 12_345
+    assert sum(a * b for a, b in zip(lengths, fit(lengths, counts, budget))) == budget
+    assert sum(a * b for a, b in zip([60, 90], fit([60, 90], [10**7, 10**7], 10**9 + 29))) == (10**9 + 29) // 30 * 30  # by their common divisor
 
 
 def test_shares_caps_and_seed(spark):
