@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import tallyforge
@@ -15,6 +16,15 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 cloudpickle.register_pickle_by_value(tallyforge)
 
 
+def encodable(value: Any) -> Any:
+    """The value with texts that UTF-8 can hold: surrogate pairs become their character, lone ones the replacement character."""
+    if isinstance(value, str):
+        return value.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    if isinstance(value, (list, tuple)):
+        return [encodable(v) for v in value]
+    return value
+
+
 def flat_map(
     df: DataFrame,
     columns: list[str],
@@ -26,7 +36,7 @@ def flat_map(
 
     ``make`` runs once per task, so that tables it needs are built once; only ``columns`` reach Python.
     Output leaves in batches of about ``rows_per_batch`` rows, so one input row with many results never holds
-    a whole partition's results in memory.
+    a whole partition's results in memory. Half characters (lone surrogates), which an escape may give, leave as U+FFFD.
     """
     out: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(out)
@@ -43,7 +53,13 @@ def flat_map(
         if buffer:
             yield pack(buffer)
 
+    def column(values: tuple, kind: pa.DataType) -> pa.Array:
+        try:
+            return pa.array(values, type=kind)
+        except UnicodeEncodeError:
+            return pa.array([encodable(v) for v in values], type=kind)
+
     def pack(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+        return pa.RecordBatch.from_arrays([column(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
     return df.select(*[df[c] for c in columns]).mapInArrow(run, out)

@@ -20,6 +20,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return got.selectExpr("annotation_id", "pos", "value AS step")
 
 
+def p3_plain(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value of the programs between delimiters, whatever it is."""
+    return packed_values.packed_values(table(spark, folder, "program_annotations"), "annotation_id", "program", "values")
+
+
 def p4_amounts(spark: SparkSession, folder: str) -> DataFrame:
     return unit_conversion.convert_units(table(spark, folder, "finqa_examples"), table(spark, folder, "metric_units"))
 
@@ -38,4 +43,4 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_values, p4_found, p4_amounts, p5_found, p5_nodes)}
+    return {f.__name__: f for f in (p3_found, p3_values, p3_plain, p4_found, p4_amounts, p5_found, p5_nodes)}

@@ -1,7 +1,7 @@
 import re
 from random import Random
 
-from tallyforge.operators.packed_values import packed_values, split_packed
+from tallyforge.operators.packed_values import packed_values, split_packed, split_values
 
 STEPS = ['add(1, 2)', 'table_max("cost of sales; net", none)', 'divide(subtract(3, 4), 5%)', 'table_sum(pension plan no. 2, none)', 'table_min("plant and equipment (net)", none)', 'exp(#0, const_m1)']
 
@@ -71,3 +71,45 @@ def test_positions_against_a_plain_count(spark, data):
                 n += depth == 0 and len(m[0]) > 1
                 depth += 1
         assert got.get(r.annotation_id, 0) == n, r.program
+
+
+def test_characters_written_as_two_escapes_meet(spark):
+    assert values('["table_sum(\\"\\ud83d\\ude00\\", none)"]') == ['table_sum("\U0001f600", none)']
+    df = spark.createDataFrame([(1, '["add(\\ud83d, 1)", "add(2, 3)"]'), (2, "'add(\\ud83d, 1)'")], "k long, f string")
+    assert [r.value for r in packed_values(df, "k", "f").orderBy("k", "pos").collect()][:2] == ["add(\ufffd, 1)", "add(2, 3)"]
+
+
+def plain(s):
+    return [v for _, v, _, _ in split_values(s)]
+
+
+def test_quoted_bracketed_and_bare_values():
+    assert plain('a; "b,c"; d') == ["a", "b,c", "d"]
+    assert plain('[1, 2, "x"]') == ["1", "2", "x"]
+    assert plain("a,,b,") == ["a", "", "b"] and plain(" a | 'it''s' ,b") == ["a", "'it''s'", "b"]
+    assert plain("1,234; 5|6") == ["1,234", "5", "6"] and plain("[100,200,300]") == ["100", "200", "300"]
+    assert plain("f(1, 2); [3, 4], {a: 1; b: 2}\r\nx") == ["f(1, 2)", "[3, 4]", "{a: 1; b: 2}", "x"]
+    assert plain('"a ""b"" c"; "d \\"e\\" f"; \'g, h\'') == ['a "b" c', 'd "e" f', "g, h"]
+    assert plain(None) == plain("") == plain(" \n") == plain("[]") == []
+    assert [v[2:] for v in split_values('"x", y, (z')] == [("json", None), ("bare", None), ("bare", "unclosed")]
+    assert [v[1:] for v in split_values('"a, b; c"d')] == [('"a, b; c"d'.split(",")[0], "bare", "quote"), ("b", "bare", None), ('c"d', "bare", None)]
+    assert len(plain('"' * 50_000)) == 1 and len(plain("(" * 50_000)) == 1 and len(plain("a;" * 50_000)) == 50_000
+
+
+def test_quoted_values_round_trip():
+    import csv
+    import io
+    import json
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.text("ab ,;|\"'()[]\\\n1", max_size=8), min_size=1, max_size=5))
+    def check(items):
+        assert plain(json.dumps(items)) == items
+        out = io.StringIO()
+        items = [x.replace("\\", "") for x in items]
+        csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator="").writerow(items)
+        assert plain(out.getvalue()) == items
+
+    check()
