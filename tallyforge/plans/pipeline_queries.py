@@ -38,9 +38,21 @@ def p5_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return nested_records.nested_nodes(table(spark, folder, "raw_records"))
 
 
+def p5_every_node(spark: SparkSession, folder: str) -> DataFrame:
+    return nested_records.every_node(table(spark, folder, "raw_records"))
+
+
+def p5_arguments(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of arguments, with the operation and question they belong to by containment of intervals."""
+    t = nested_records.node_tables(table(spark, folder, "raw_records"))
+    keys = ["record_no", "page_idx", "qa_idx"]
+    steps = t["step"].select(*keys, "step", "operation")
+    return t["arg"].join(steps, [*keys, "step"]).join(t["question"].select(*keys, "question"), keys, "left").drop("pre", "post")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested_records.flatten_records(table(spark, folder, "raw_records")).drop("page_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_values, p3_plain, p4_found, p4_amounts, p5_found, p5_nodes)}
+    return {f.__name__: f for f in (p3_found, p3_values, p3_plain, p4_found, p4_amounts, p5_found, p5_nodes, p5_every_node, p5_arguments)}
