@@ -1,22 +1,23 @@
 from random import Random
 
-from tallyforge.llm.truncation import kinds, line_state, lines_of, open_brackets, sketch, tail, truncated, truncation_rates
+from tallyforge.llm.truncation import kinds, line_state, lines_of, sketch, still_open, tail, truncated, truncation_rates
 
 WHOLE = ["Net sales rose 4.1% in 2019.", "Why?", "管理层预计需求将逐步恢复。", "They fell (see schedule 5).", "| a | b |\n|---|---|\n| 1 | 2 |", "Sold for $5.\n— — —", "Done.\n👍", '{"form": "A-1", "ok": true}', "See note.<br/>\n", "Ende.​", "ends here.\n[End of transcript]"]
-CUT = {"Net sales rose 4.1% in 20": "open", "Net sales…": "marked", "Net sales rose in the...": "marked", "the year [...]": "marked", "负债�": "broken", "| a | b |\n|---|---|\n| inventories | 5": "row", "| a | b |\n| 1 |": "row", "They fell &am": "broken", "A rise (of 5%.": "bracket", "ends with \\u20": "broken"}
+CUT = {"Net sales rose 4.1% in 20": "open", "Net sales…": "marked", "Net sales rose in the...": "marked", "the year [...]": "marked", "负债�": "broken", "| a | b |\n|---|---|\n| inventories | 5": "row", "| a | b |\n| 1 |": "row", "They fell &am": "broken", "ends with \\u20": "broken"}
 
 
 def test_states():
     for t in WHOLE:
-        assert tail(t)[0][1] == "complete", t
+        assert tail(lines_of(t))[0][1] == "complete", t
     for t, state in CUT.items():
-        assert tail(t)[0][1] == state, t
-    assert tail(None) == tail("") == tail(" \n​\xa0") == []
-    assert open_brackets("a (b [c] d") == 1 and open_brackets("1) a") == 0
+        assert tail(lines_of(t))[0][1] == state, t
+    assert tail([]) == tail(lines_of("")) == tail(lines_of(" \n​\xa0")) == []
+    assert still_open("a (b [c] d") == ["("] and still_open("1) a") == []
     assert lines_of("a<br/>b\r\n\n c\xa0") == ["a", "b", "c"] and line_state(["â€” â€”"], 0) == "complete"
-    assert len(tail("word " * 200_000 + ".")) == 1
-    for long in ("a" + " " * 300_000 + "b", "x" * 300_000, "�" * 300_000, '"' * 300_000 + "a", "(" * 300_000 + "a.", "a@" * 150_000):
-        assert tail(long)[0][1] != "complete", long[:3]
+    assert len(tail(["word " * 200_000 + "."])) == 1
+    for long in ("a" + " " * 300_000 + "b", "x" * 300_000, "�" * 300_000, '"' * 300_000 + "a", "a@" * 150_000):
+        assert tail([long])[0][1] != "complete", long[:3]
+    assert len(still_open("(" * 300_000 + "a.")) == 300_000 and still_open("<" * 300_000) == []
 
 
 def corpus():
@@ -83,3 +84,21 @@ def test_two_different_texts_show_a_closing_line(spark):
         assert kinds([sketch(t) for _, _, t in pages(2, "s", "\nthat is all", start)], 2) == 2
     rows = [(100 * k + i, f"s{k}", t) for k in range(80) for i, _, t in pages(2, "", "\nthat is all", 1000 + 2 * k)]
     assert found(spark, [(n, s, t) for n, (_, s, t) in enumerate(rows)]) == set()
+
+
+def test_what_is_still_open():
+    for t in ("See (the next\npage).", 'She said "rose" and "fell".', "<div>a<br><p>b</div>.", 'A 19" screen.', r'{"a": "b\"c"}', "a) b) c", "x < y > z", "<redacted> it rose.", "「a」。"):
+        assert still_open(t) == [], t
+    for t, kind in {"He said (see the\nnext page for the rest.": "(", 'She said "revenue rose.': '"', "<div>Revenue <b>rose</b>.": "<div>", "“They rose.": "“", "([a).": None, "「売上。": "「"}.items():
+        assert still_open(t) == ([kind] if kind else []), t
+
+
+def test_unclosed_texts_are_cut_unless_their_source_leaves_them_open(spark):
+    rows = pages(100, "s", "") + [(200, "s", "He said (see the\nnext page for the rest."), (201, "s", 'Why.\nShe said "revenue rose.'), (202, "s", "<div>Revenue rose.")]
+    manner = [(300 + i, "m", t[2] + "\n[As filed.") for i, t in enumerate(pages(40, "m", "", 5000))]
+    assert found(spark, rows + manner) == {200, 201, 202}
+
+
+def test_long_closing_lines_are_known(spark):
+    end = "\nThe statements above are those of the speakers alone and the company takes on no duty to bring them up to date at any later time"
+    assert len(end) > 100 and found(spark, pages(60, "s", end)) == set()
