@@ -21,7 +21,7 @@ def encodable(value: Any) -> Any:
     if isinstance(value, str):
         return value.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
     if isinstance(value, (list, tuple)):
-        return [encodable(v) for v in value]
+        return type(value)(encodable(v) for v in value)
     return value
 
 
