@@ -1,9 +1,11 @@
 """Quantities recorded in different units, converted to the common unit of their metric.
 
-Every number has candidate units: those stated nearest to it and, where an answer stands bare, those of the cells it is
-made of. Identities tie the numbers together (an answer is one cell, the highest, the sum or the difference of cells of
-its metric; a row is one quantity over time); of the combinations of candidate units the one with the least log residual
-is chosen, and numbers for which another combination does as well are flagged as not unique.
+Every number has candidate units: those stated near it, nearest first, the other units of its quantity, and for a bare
+answer those of the cells it is made of. Identities tie the numbers together: a row is one quantity over time, an answer is
+one cell, the highest, the sum or the difference of cells of its metric. Of all combinations of candidate units the one
+with the least sum of log residuals and of prices is chosen; the nearest statement costs nothing, so it holds unless the
+other numbers of the row speak against it by more than its price. Numbers for which another unit does as well are flagged as not
+unique.
 """
 
 from __future__ import annotations
@@ -57,14 +59,17 @@ BESIDE_RE = {k: [(u, re.compile(rf"\s*(?:{p})(?![a-z])", re.I)) for u, p in v] f
 STATED_RE = {k: [(u, re.compile(p, re.I)) for u, p in v] for k, v in STATED.items()}
 NUMBER = re.compile(r"\d[\d,]*(?:\.\d+)?|\.\d+")
 NAMED = re.compile(r"(?:\bin|\bnearest|\(|\bdivided by)\s*\(?\s*(?:(?:u\.?s\.? ?)?\$ ?)?(thousands?|millions?|billions?|mm|mn|bn|m|'?000s?|1,000,000,000|1,000,000|1,000)(?!\w|,\d)", re.I)
-SUBJECT = re.compile(r"\b(?:table|tabular|tables|dollars?|figures|amounts|columns|schedule|summary|results|data)\b|us\$", re.I)
-ELSEWHERE = re.compile(r"\b(?:peer|peers|competitors?|charts?|graphs?|fact sheet|separately|elsewhere|map|shipped|segment map)\b", re.I)
+SUBJECT = re.compile(r"\b(?:table|tabular|tables|dollars?|figures|amounts|columns|schedule|summary)\b|us\$", re.I)
 WORD_SCALE = {"1,000": "thousand", "1,000,000": "million", "1,000,000,000": "billion"}
 NOT_AMOUNT = re.compile(r"\b(?:percent(?:age)?|per cent|growth rate|ratio|portion|share of|fraction of|greater|exceed(?:ed)?|why|caused?|average|margin of)\b", re.I)
 ASKED_UNIT = re.compile(r"(?:\(\s*in|,?\s*expressed in|,\s*in|\bin)\s+((?:whole |actual )?dollars|thousands?|millions?|billions?|basis points|percent|months|years|quarters|kg|tonnes|kt|kwh|mwh|gwh)\b(?: of (?:u\.s\. )?dollars)?\s*\)?[\s,?.!]*(?:please|overall)?[\s?.!]*$", re.I)
 FOOTNOTE = re.compile(r"\(\s*[a-z]\s*\)|[*†‡§]+", re.I)
 
 
+LOGS = {q: {u: math.log10(f) for u, f in units.items()} for q, units in FACTORS.items()}
+STATED_PRICE, UNSTATED_PRICE = 2.0, 2.5  #: decades of residual that a farther statement, or a unit nothing states, must save
+
+
 class Number(NamedTuple):
     value: Decimal
     unit: str | None
@@ -110,7 +115,7 @@ def text_scale(pre_text: list | None) -> str | None:
             continue
         for sentence in re.split(r"(?<=[.!?])\s+", paragraph.replace("\xa0", " ")):
             m = NAMED.search(sentence)
-            if m and SUBJECT.search(sentence) and not ELSEWHERE.search(sentence):
+            if m and SUBJECT.search(sentence):
                 found = WORD_SCALE.get(m[1]) or stated_unit(m[1], "money") or found
     return found
 
@@ -142,6 +147,7 @@ class Cell(NamedTuple):
     unit: str
     source: str
     header: str
+    others: tuple[str, ...] = ()  #: units stated farther away, nearest first
 
 
 def table_cells(table: list | None, pre_text: list | None, metrics: Metrics) -> list[Cell]:
@@ -166,17 +172,59 @@ def table_cells(table: list | None, pre_text: list | None, metrics: Metrics) ->
             number = read_number(row[c], quantity)
             if number is None:
                 continue
-            unit, source = (number.unit, "number") if number.unit else (label, "label")
-            if unit is None and quantity == "money":
-                unit, source = (headers[c] if c < len(headers) else None), "header"
-                if unit is None:
-                    unit, source = corner, "corner"
-                if unit is None:
+            stated = [(number.unit, "number"), (label, "label")]
+            if quantity == "money":
+                stated += [(headers[c] if c < len(headers) else None, "header"), (corner, "corner")]
+                if not any(u for u, _ in stated):
                     text = text if text is not None else text_scale(pre_text) or ""
-                    unit, source = text or None, "text"
-            if unit is None:
-                unit, source = COMMON[quantity], "none"
-            out.append(Cell(r, c, name, quantity, common, number.value, unit, source, (head[c] or "") if c < len(head) else ""))
+                    stated.append((text or None, "text"))
+            stated = [x for x in stated if x[0]] or [(COMMON[quantity], "none")]
+            unit, source = stated[0]
+            others = tuple(dict.fromkeys(u for u, _ in stated[1:] if u != unit))
+            out.append(Cell(r, c, name, quantity, common, number.value, unit, source, (head[c] or "") if c < len(head) else "", others))
+    return out
+
+
+def log_size(c: Cell, unit: str) -> float:
+    """Log10 of the cell's amount in a unit; the cell isn't zero."""
+    return math.log10(abs(c.value)) + LOGS[c.quantity][unit]
+
+
+def settle_row(cells: list[Cell]) -> list[tuple[Cell, float | None, bool]]:
+    """(cell, residual, unique) of one row's cells with the units that cost least together.
+
+    The cost is the distance of every cell from a middle size plus the prices of its units. The nearest statements are
+    returned where they cost no more than the least price, as nothing else can then cost less, and where several
+    combinations cost the same. A cell is unique if no other unit brings it as near to the middle of the row; zeros and
+    cells that stand alone say nothing.
+    """
+    sized = [c for c in cells if c.value]
+    logs = sorted(log_size(c, c.unit) for c in sized)
+    if not logs:
+        return [(c, None, True) for c in cells]
+    middle = logs[len(logs) // 2]
+    cost = sum(abs(x - middle) for x in logs)
+    if cost > STATED_PRICE and len(sized) > 2:
+        options = [[(log_size(c, u), 0.0 if u == c.unit else STATED_PRICE * (1 + c.others.index(u)) if u in c.others else UNSTATED_PRICE * (1 + len(c.others)), u) for u in FACTORS[c.quantity]] for c in sized]
+        found = {}
+        for m in {size for o in options for size, _, _ in o}:
+            best = [min((abs(size - m) + price, u) for size, price, u in o) for o in options]
+            found[tuple(u for _, u in best)] = min(found.get(tuple(u for _, u in best), math.inf), sum(x for x, _ in best))
+        least = min(found.values())
+        ties = [units for units, x in found.items() if x < least + 1e-6]
+        if least < cost - 1e-6 and len(ties) == 1:
+            chosen = {id(c): u for c, u in zip(sized, ties[0])}
+            cells = [c._replace(unit=u, source="identity") if (u := chosen.get(id(c), c.unit)) != c.unit else c for c in cells]
+            logs = sorted(log_size(c, c.unit) for c in cells if c.value)
+            middle = logs[len(logs) // 2]
+    out = []
+    for c in cells:
+        if not c.value:
+            out.append((c, None, True))
+            continue
+        size = log_size(c, c.unit)
+        off, own = abs(size - middle), LOGS[c.quantity][c.unit]
+        out.append((c, off, len(logs) > 1 and not any(abs(size - own + x - middle) <= off + 1e-9 for u, x in LOGS[c.quantity].items() if u != c.unit) or len(logs) == 1))
     return out
 
 
@@ -253,17 +301,13 @@ def read_answer(question: str | None, answer: str | None, program: list | None,
 
 def measured(question: str | None, table: list | None, pre_text: list | None, answer: str | None, program: list | None, metrics: Metrics) -> Iterator[tuple]:
     """(field, row_idx, col_idx, metric, quantity, recorded, unit, stated_by, common_unit, amount, exact, residual, unique) of every number."""
-    cells = table_cells(table, pre_text, metrics)
-    rows: dict[int, list[Decimal]] = {}
-    for c in cells:
-        rows.setdefault(c.row, []).append(amount(c.value, c.quantity, c.unit))
-    for c in cells:
-        a = amount(c.value, c.quantity, c.unit)
-        others = sorted(abs(x) for x in rows[c.row] if x)
-        off = residual(a, others[len(others) // 2]) if a and others else None
-        # a row is one quantity over time: another unit that comes nearer to the row's middle leaves the choice open
-        unique = off is None or not any(residual(amount(c.value, c.quantity, u), others[len(others) // 2]) < off - 1e-9 for u in FACTORS[c.quantity] if u != c.unit)
-        yield "table", c.row, c.col, c.metric, c.quantity, str(c.value), c.unit, c.source, c.common, *whole(a), off, unique
+    rows: dict[int, list[Cell]] = {}
+    for c in table_cells(table, pre_text, metrics):
+        rows.setdefault(c.row, []).append(c)
+    settled = [x for row in rows.values() for x in settle_row(row)]
+    for c, off, unique in settled:
+        yield "table", c.row, c.col, c.metric, c.quantity, str(c.value), c.unit, c.source, c.common, *whole(amount(c.value, c.quantity, c.unit)), off, unique
+    cells = [c for c, _, _ in settled]
     got = read_answer(question, answer, program, cells, metrics)
     if got:
         yield "answer", -1, -1, got.metric, got.quantity, str(got.value), got.unit, got.source, got.common, *whole(amount(got.value, got.quantity, got.unit)), got.residual, got.unique
@@ -278,7 +322,7 @@ def convert_units(examples: DataFrame, metric_units: DataFrame) -> DataFrame:
     """Every number of table_cells and answer in the common unit of its metric.
 
     Columns: row_id, field (table or answer), row_idx, col_idx (from 0 with header and label; -1 for answers), metric,
-    quantity, recorded, unit, stated_by (number, label, header, corner, text, question, cells, none), common_unit,
+    quantity, recorded, unit, stated_by (number, label, header, corner, text, question, cells, none, or identity where the row overrules its statements), common_unit,
     amount BIGINT, exact, residual (log10 distance from what the identities give), unique, converted (recorded in
     another unit than the common one). Per-share metrics, unknown labels, cells without a number, null tables, texts and
     answers give no rows; an amount beyond BIGINT is null; one that isn't whole is rounded and not exact. Repeated rows

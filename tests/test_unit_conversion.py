@@ -92,3 +92,17 @@ def test_identities_hold_over_the_whole_table(spark, data):
     answers = out.filter("field = 'answer'")
     assert answers.count() > 20
     assert answers.filter("residual > 0.001").count() == 0 and out.filter("not exact").count() == 0
+
+
+def test_a_wrong_statement_is_overruled_by_the_row():
+    years = ["", "2017", "2018", "2019", "2020"]
+    cells = table(years, ["net sales", "5.1m", "5,200,000", "5.3k", "5.5m"], ["total debt", "7m", "8k"], ["employees", "9", "10k", "0", "11"])
+    r = {x[:3]: (x[6], x[7], x[9], x[12]) for x in measured(None, cells, None, None, None, M)}
+    assert r["table", 1, 3] == ("million", "identity", 5_300_000, True) and r["table", 1, 2] == ("one", "none", 5_200_000, True)
+    assert r["table", 2, 1][:2] == ("million", "number") and r["table", 2, 2][:2] == ("thousand", "number")  # two numbers: either may be wrong
+    assert r["table", 3, 2][:3] == ("one", "identity", 10) and r["table", 3, 3][2] == 0
+    cells = table(["in thousands", "2018", "2019 in millions", "2020"], ["net sales", "5", "5", "6"])
+    r = {x[:3]: (x[6], x[7], x[9]) for x in measured(None, cells, None, None, None, M)}
+    assert r["table", 1, 2] == ("thousand", "identity", 5_000)
+    few = list(measured(None, table(["", "2018", "2019"], ["total debt", "7m", "8k"]), None, None, None, M))
+    assert not all(x[12] for x in few)
