@@ -26,8 +26,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
-    examples = table(spark, folder, "finqa_examples")
-    return overlap.overlap_counts(overlap.cross_split_overlaps(examples), examples)
+    return overlap.overlap_counts(table(spark, folder, "finqa_examples"))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
