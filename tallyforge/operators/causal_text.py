@@ -34,6 +34,7 @@ PATTERNS = [
     (r"(.+?)\s+(?:raising|reducing)\s+(.+)", "c", "directional"),
     (r"(.+?)\s+(?:as|while)\s+(.+?)\s+(?:increased|decreased),\s*(.+)", "m", "co_movement"),
 ]
+# Hints at a lag, with the group that holds it.
 LAGS = [
     (r"with a lag of\s+(\d+\s+(?:day|days|week|weeks|month|months|quarter|quarters|year|years))", 1),
     (r"(\d+\s+(?:day|days|week|weeks|month|months|quarter|quarters|year|years))\s+later", 1),
@@ -47,11 +48,13 @@ WEAK = ("coincided", "associated", "amid")
 SUBJECTS = ("revenue", "cost", "margin", "earnings", "cash", "debt", "demand", "price", "guidance")
 POSITIVE = ("increase", "improve", "growth", "expand", "boost", "higher", "gain", "strong")
 NEGATIVE = ("decrease", "decline", "drop", "weak", "lower", "loss", "pressure", "fall")
-METRIC_WORDS = (
-    "revenue sales income profit loss earnings ebitda ebit margin expense expenses cost costs depreciation amortization interest tax gross "
-    "assets liabilities equity debt capital cash inventory receivables payables goodwill impairment cashflow capex dividends buyback roe roa roic eps "
-    "ratio multiple yield shares nim inflation gdp loan pricing volume demand operating sga spending production capacity"
-).split()
+# Words of metrics, and what known causes bring about.
+METRIC_WORDS = [
+    "revenue", "sales", "income", "profit", "loss", "earnings", "ebitda", "ebit", "margin", "expense", "expenses", "cost", "costs", "depreciation",
+    "amortization", "interest", "tax", "gross", "assets", "liabilities", "equity", "debt", "capital", "cash", "inventory", "receivables", "payables",
+    "goodwill", "impairment", "cashflow", "capex", "dividends", "buyback", "roe", "roa", "roic", "eps", "ratio", "multiple", "yield", "shares", "nim",
+    "inflation", "gdp", "loan", "pricing", "volume", "demand", "operating", "sga", "spending", "production", "capacity",
+]
 PRIORS = {
     "rate hike": ["loan demand decline", "net interest margin expansion", "valuation compression"],
     "inflation": ["input cost increase", "margin pressure", "pricing actions"],
@@ -60,6 +63,7 @@ PRIORS = {
     "share buyback": ["eps increase", "share count reduction"],
     "capex increase": ["depreciation increase", "future capacity growth"],
 }
+# Patterns of chains of three.
 _VERBS = r"(?:caused|led to|resulted in|drove|triggered|reduced|increased|lowered|raised|boosted|weakened|compressed|expanded)"
 _ING = r"(?:causing|leading to|resulting in|driving|triggering|reducing|increasing|lowering|raising)"
 HOPS = [
@@ -70,38 +74,194 @@ HOPS = [
 ]
 # Connectives and the sense they give a pair of sentences.
 CONNECTIVES = {
-    "contingency.cause": "because|since|as a result|consequently|therefore|thus|hence|so|accordingly|for this reason|as such|due to|owing to|led to|resulted in|caused|contributed to|triggered|drove|stemming from",
-    "contingency.condition": "if|provided that",
-    "contingency.negative_condition": "unless",
-    "contingency.purpose": "in order to|so that",
-    "temporal": "before|after|during|while|meanwhile|subsequently|following|preceding",
-    "comparison.contrast": "however|but|on the other hand|conversely|in contrast",
-    "comparison.concession": "although|despite|even though|nevertheless",
-    "expansion.conjunction": "also|moreover|furthermore|in addition",
-    "expansion.instantiation": "for example|for instance",
-    "expansion.detail": "specifically|in particular",
-    "expansion.restatement": "indeed|in fact",
+    "because": "contingency.cause",
+    "since": "contingency.cause",
+    "as a result": "contingency.cause",
+    "consequently": "contingency.cause",
+    "therefore": "contingency.cause",
+    "thus": "contingency.cause",
+    "hence": "contingency.cause",
+    "so": "contingency.cause",
+    "accordingly": "contingency.cause",
+    "for this reason": "contingency.cause",
+    "as such": "contingency.cause",
+    "due to": "contingency.cause",
+    "owing to": "contingency.cause",
+    "led to": "contingency.cause",
+    "resulted in": "contingency.cause",
+    "caused": "contingency.cause",
+    "contributed to": "contingency.cause",
+    "triggered": "contingency.cause",
+    "drove": "contingency.cause",
+    "stemming from": "contingency.cause",
+    "if": "contingency.condition",
+    "provided that": "contingency.condition",
+    "unless": "contingency.negative_condition",
+    "in order to": "contingency.purpose",
+    "so that": "contingency.purpose",
+    "before": "temporal",
+    "after": "temporal",
+    "during": "temporal",
+    "while": "temporal",
+    "meanwhile": "temporal",
+    "subsequently": "temporal",
+    "following": "temporal",
+    "preceding": "temporal",
+    "however": "comparison.contrast",
+    "but": "comparison.contrast",
+    "on the other hand": "comparison.contrast",
+    "conversely": "comparison.contrast",
+    "in contrast": "comparison.contrast",
+    "although": "comparison.concession",
+    "despite": "comparison.concession",
+    "even though": "comparison.concession",
+    "nevertheless": "comparison.concession",
+    "also": "expansion.conjunction",
+    "moreover": "expansion.conjunction",
+    "furthermore": "expansion.conjunction",
+    "in addition": "expansion.conjunction",
+    "for example": "expansion.instantiation",
+    "for instance": "expansion.instantiation",
+    "specifically": "expansion.detail",
+    "in particular": "expansion.detail",
+    "indeed": "expansion.restatement",
+    "in fact": "expansion.restatement",
 }
-BY_LENGTH = sorted(((c, s) for s, cs in CONNECTIVES.items() for c in cs.split("|")), key=lambda x: (-len(x[0]), x[0]))
+BY_LENGTH = sorted(CONNECTIVES.items(), key=lambda x: (-len(x[0]), x[0]))
+# Verbs of causes and effects with their weights.
 CAUSE_VERBS = {
-    0.4: "reported disclosed", 0.5: "announced", 0.65: "increased strengthened decreased weakened deployed",
-    0.7: "raised lifted expanded reduced lowered compressed implemented adopted invested introduced consolidated streamlined prompted spurred",
-    0.75: "boosted accelerated cut slashed launched eliminated transformed overhauled sparked drove fueled", 0.8: "restructured acquired divested disrupted triggered",
-}
+    "reported": 0.4,
+    "disclosed": 0.4,
+    "announced": 0.5,
+    "increased": 0.65,
+    "strengthened": 0.65,
+    "decreased": 0.65,
+    "weakened": 0.65,
+    "deployed": 0.65,
+    "raised": 0.7,
+    "lifted": 0.7,
+    "expanded": 0.7,
+    "reduced": 0.7,
+    "lowered": 0.7,
+    "compressed": 0.7,
+    "implemented": 0.7,
+    "adopted": 0.7,
+    "invested": 0.7,
+    "introduced": 0.7,
+    "consolidated": 0.7,
+    "streamlined": 0.7,
+    "prompted": 0.7,
+    "spurred": 0.7,
+    "boosted": 0.75,
+    "accelerated": 0.75,
+    "cut": 0.75,
+    "slashed": 0.75,
+    "launched": 0.75,
+    "eliminated": 0.75,
+    "transformed": 0.75,
+    "overhauled": 0.75,
+    "sparked": 0.75,
+    "drove": 0.75,
+    "fueled": 0.75,
+    "restructured": 0.8,
+    "acquired": 0.8,
+    "divested": 0.8,
+    "disrupted": 0.8,
+    "triggered": 0.8,
+}
 EFFECT_VERBS = {
-    0.55: "exceeded missed", 0.6: "stabilized outperformed underperformed", 0.65: "climbed rose gained recovered",
-    0.7: "grew improved jumped declined fell dropped shrank tumbled slumped rebounded benefited suffered", 0.75: "surged soared plummeted deteriorated plunged", 0.8: "collapsed",
-}
-CAUSE_TOPICS = r"(?i)\b(?:rate\s+hike|rate\s+cut|policy\s+change|regulation|deregulation|acquisition|merger|divestiture|spin-?off|IPO|buyback|restructuring|cost[- ]cutting|layoff|headcount\s+reduction|supply\s+chain|disruption|shortage|bottleneck|product\s+launch|new\s+product|innovation|R&D|price\s+increase|price\s+decrease|pricing\s+action|tariff|market\s+entry|expansion|geographic\s+expansion|new\s+market|capital\s+allocation|investment|capex\s+increase|capex\s+decrease|management\s+change|CEO\s+change|leadership\s+transition|debt\s+issuance|refinancing|credit\s+downgrade|credit\s+upgrade)\b"
-OUTCOMES = (
-    r"(?i)\b(?:(?:revenue|sales|top[- ]line)\s+(?:grew|increased|declined|fell|rose|dropped)|(?:margin|profitability)\s+(?:improved|expanded|compressed|contracted|declined)"
-    r"|(?:earnings|EPS|net\s+income|profit)\s+(?:grew|increased|declined|fell|rose|beat|missed)|(?:cash\s+flow|free\s+cash\s+flow|FCF)\s+(?:improved|increased|declined|decreased)"
-    r"|(?:share\s+price|stock|valuation)\s+(?:rose|fell|surged|dropped|rallied|crashed)|(?:market\s+share)\s+(?:grew|increased|declined|lost)|(?:guidance|outlook|forecast)\s+(?:raised|lowered|maintained|revised)"
-    r"|(?:costs?|expenses?)\s+(?:rose|increased|declined|fell|were\s+higher|were\s+lower)|(?:demand)\s+(?:increased|decreased|weakened|strengthened|remained)|(?:growth)\s+(?:accelerated|decelerated|slowed|stalled))\b"
-)
+    "exceeded": 0.55,
+    "missed": 0.55,
+    "stabilized": 0.6,
+    "outperformed": 0.6,
+    "underperformed": 0.6,
+    "climbed": 0.65,
+    "rose": 0.65,
+    "gained": 0.65,
+    "recovered": 0.65,
+    "grew": 0.7,
+    "improved": 0.7,
+    "jumped": 0.7,
+    "declined": 0.7,
+    "fell": 0.7,
+    "dropped": 0.7,
+    "shrank": 0.7,
+    "tumbled": 0.7,
+    "slumped": 0.7,
+    "rebounded": 0.7,
+    "benefited": 0.7,
+    "suffered": 0.7,
+    "surged": 0.75,
+    "soared": 0.75,
+    "plummeted": 0.75,
+    "deteriorated": 0.75,
+    "plunged": 0.75,
+    "collapsed": 0.8,
+}
+# What a sentence that tells a cause, or an outcome, speaks of.
+CAUSE_TOPICS = [
+    r"rate\s+hike",
+    r"rate\s+cut",
+    r"policy\s+change",
+    r"regulation",
+    r"deregulation",
+    r"acquisition",
+    r"merger",
+    r"divestiture",
+    r"spin-?off",
+    r"IPO",
+    r"buyback",
+    r"restructuring",
+    r"cost[- ]cutting",
+    r"layoff",
+    r"headcount\s+reduction",
+    r"supply\s+chain",
+    r"disruption",
+    r"shortage",
+    r"bottleneck",
+    r"product\s+launch",
+    r"new\s+product",
+    r"innovation",
+    r"R&D",
+    r"price\s+increase",
+    r"price\s+decrease",
+    r"pricing\s+action",
+    r"tariff",
+    r"market\s+entry",
+    r"expansion",
+    r"geographic\s+expansion",
+    r"new\s+market",
+    r"capital\s+allocation",
+    r"investment",
+    r"capex\s+increase",
+    r"capex\s+decrease",
+    r"management\s+change",
+    r"CEO\s+change",
+    r"leadership\s+transition",
+    r"debt\s+issuance",
+    r"refinancing",
+    r"credit\s+downgrade",
+    r"credit\s+upgrade",
+]
+OUTCOMES = [
+    r"(?:revenue|sales|top[- ]line)\s+(?:grew|increased|declined|fell|rose|dropped)",
+    r"(?:margin|profitability)\s+(?:improved|expanded|compressed|contracted|declined)",
+    r"(?:earnings|EPS|net\s+income|profit)\s+(?:grew|increased|declined|fell|rose|beat|missed)",
+    r"(?:cash\s+flow|free\s+cash\s+flow|FCF)\s+(?:improved|increased|declined|decreased)",
+    r"(?:share\s+price|stock|valuation)\s+(?:rose|fell|surged|dropped|rallied|crashed)",
+    r"(?:market\s+share)\s+(?:grew|increased|declined|lost)",
+    r"(?:guidance|outlook|forecast)\s+(?:raised|lowered|maintained|revised)",
+    r"(?:costs?|expenses?)\s+(?:rose|increased|declined|fell|were\s+higher|were\s+lower)",
+    r"(?:demand)\s+(?:increased|decreased|weakened|strengthened|remained)",
+    r"(?:growth)\s+(?:accelerated|decelerated|slowed|stalled)",
+]
+# Patterns of continuity between sentences, terms of finance, and questions about causes.
 CONTINUITY = r"(?i)\b(?:the\s+company|the\s+firm|it|this|its|they|their|the\s+bank|the\s+fund|management)\b"
 ADJACENCY = r"(?i)\b(?:next\s+quarter|the\s+following|subsequently|in\s+turn|as\s+a\s+result|in\s+the\s+same\s+period|quarter-over-quarter|year-over-year|thereafter)\b"
-TERMS = "revenue cost margin earnings profit debt cash growth demand supply price share interest rate tax capex dividend equity".split()
+TERMS = [
+    "revenue", "cost", "margin", "earnings", "profit", "debt", "cash", "growth", "demand", "supply", "price", "share", "interest", "rate", "tax",
+    "capex", "dividend", "equity",
+]
 CAUSAL_QUESTION = r"(?i)\b(?:why|cause[ds]?|because|due to|reason|led to|driver|drove|impact|effect|result(?:ed)? in|explain|what if|suppose)\b"
 
 
@@ -267,8 +427,15 @@ def merged(rels: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
     return g.filter(F.col("confidence") >= least)
 
 
-def _verb_score(words: str, table: dict[float, str]) -> str:
-    whens = " ".join(f"when w in ({', '.join(repr(v) for v in vs.split())}) then {k}D" for k, vs in table.items())
+def _any_of(patterns: list[str]) -> str:
+    return quoted(rf"(?i)\b(?:{'|'.join(patterns)})\b")
+
+
+def _verb_score(words: str, table: dict[str, float]) -> str:
+    by_weight: dict[float, list[str]] = {}
+    for v, k in table.items():
+        by_weight.setdefault(k, []).append(v)
+    whens = " ".join(f"when w in ({', '.join(map(repr, vs))}) then {k}D" for k, vs in by_weight.items())
     return f"coalesce(array_max(transform({words}, w -> case {whens} else 0D end)), 0D)"
 
 
@@ -286,7 +453,7 @@ def discourse(s1: str, s2: str) -> str:
     terms = f"least(1D, ({_count(TERMS, 'lower(a)')} + {_count(TERMS, 'lower(b)')}) / 4D)"
     contrast = r"if(exists(slice(split(lower(ltrim(b)), r'\s+'), 1, 3), w -> regexp_replace(w, r'[,.:;]', '') in ('however','but','although','despite','nevertheless')), 1D, 0D)"
     logit = (
-        f"ln(0.25D / 0.75D) + 2.5D * if(a rlike {quoted(CAUSE_TOPICS)} and b rlike {quoted(OUTCOMES)}, 1D, 0D) + 1.8D * v[0] + 1.6D * v[3] "
+        f"ln(0.25D / 0.75D) + 2.5D * if(a rlike {_any_of(CAUSE_TOPICS)} and b rlike {_any_of(OUTCOMES)}, 1D, 0D) + 1.8D * v[0] + 1.6D * v[3] "
         f"+ 0.8D * if(b rlike {quoted(CONTINUITY)} or exists({nouns}, n -> contains(b, n)), 1D, 0D) + 1.0D * if(t rlike {quoted(ADJACENCY)}, 1D, 0D) + 0.7D * {terms} + 0.3D - 2.0D * {contrast}"
     )
     way = "case when v[0] + v[3] > v[1] + v[2] + 0.2D then 'forward' when v[1] + v[2] > v[0] + v[3] + 0.2D then 'backward' else 'ambiguous' end"

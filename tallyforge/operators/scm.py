@@ -322,6 +322,7 @@ INTERVENTIONS = [
     (r"(?:what if|suppose|if)\s+([a-z_\s]+?)\s+(?:doubled)\b", "double"),
     (r"(?:what if|suppose|if)\s+([a-z_\s]+?)\s+(?:halved)\b", "halve"),
 ]
+# Questions of each kind of counterfactual.
 KINDS = [
     (r"\b(?:what if|suppose|imagine)\s+(?:we\s+)?(?:had\s+)?(?:not\s+)?(?:cut|reduc|lower)", "interventional"),
     (r"\b(?:what if|suppose|imagine)\s+(?:we\s+)?(?:increas|rais|boost|grew|expand)", "interventional"),

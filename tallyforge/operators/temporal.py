@@ -59,6 +59,16 @@ BY_LENGTH = sorted(SIGNALS, key=lambda s: -len(s[0]))
 STRONG = ("before", "after", "prior to", "following", "subsequently", "during", "simultaneously", "immediately before", "immediately after")
 FINANCE_WORDS = ("revenue", "earnings", "acquisition", "restructuring", "merger", "dividend", "guidance", "launch", "margin", "growth")
 
+# Patterns of a sequence of two events, in order of precedence.
+SEQUENCES = [
+    r"(.{10,80}?)\s*(?:,\s*)?(?:and\s+)?then\s+(.{10,80})",
+    r"first[,\s]+(.{10,60}?)[,;]\s*(?:and\s+)?then\s+(.{10,60})",
+    r"(.{10,80}?)\s*,\s*followed by\s+(.{10,80})",
+    r"(.{10,80}?)\s*(?:,\s*)?which\s+(?:was\s+)?followed by\s+(.{10,80})",
+    r"(.{10,80}?)\s*,\s*(?:and\s+)?subsequently\s+(.{10,80})",
+    r"(.{10,80}?)\s*,\s*(?:and\s+)?later\s+(.{10,80})",
+]
+
 ALLEN = ("before", "after", "meets", "met_by", "overlaps", "overlapped_by", "starts", "started_by", "during", "contains", "finishes", "finished_by", "equal")
 INVERSE = dict(zip(ALLEN, ("after", "before", "met_by", "meets", "overlapped_by", "overlaps", "started_by", "starts", "contains", "during", "finished_by", "finishes", "equal")))
 PRECEDENCE = {"before": 1, "meets": 1, "overlaps": 1, "after": -1, "met_by": -1, "overlapped_by": -1}
@@ -190,34 +200,76 @@ def relations(sentences: DataFrame, keys: list[str]) -> DataFrame:
     return one.select("*", F.expr(event_type("left")).alias("left_type"), F.expr(event_type("right")).alias("right_type"), F.expr(year.format("left")).alias("left_year"), F.expr(year.format("right")).alias("right_year"))
 
 
+def sequence_relation(sentence: str) -> str:
+    """struct(left, right) of the first sequence pattern whose two spans have five characters or more, or null."""
+    spans = ", ".join(f"if(s rlike {quoted('(?i)' + p)}, named_struct('left', {event_span(f'regexp_extract(s, {quoted("(?i)" + p)}, 1)')}, 'right', {event_span(f'regexp_extract(s, {quoted("(?i)" + p)}, 2)')}), null)" for p in SEQUENCES)
+    # a word that each pattern needs is looked for first: most sentences have none
+    return X.lets([("s", sentence)], f"if(s rlike r'(?i)then|followed by|subsequently|later', get(filter(array({spans}), x -> x is not null and length(x.left) >= 5 and length(x.right) >= 5), 0), null)")
+
+
+def sequence_relations(sentences: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, left, right, confidence 0.65) of sentences that tell of one event and then another; left is the earlier."""
+    r = sentences.select(*keys, F.expr(sequence_relation("sentence")).alias("x")).filter("x is not null").select(*keys, "x.*")
+    one = r.groupBy(*keys, F.expr("left(lower(left), 40)").alias("_l"), F.expr("left(lower(right), 40)").alias("_r")).agg(F.min(F.struct("left", "right")).alias("x"))
+    return one.select(*keys, "x.*", F.lit(0.65).alias("confidence"))
+
+
+def span_anchor(text: str) -> str:
+    """struct(year, quarter) that a span names first; quarter is null without one."""
+    return f"named_struct('year', try_cast(regexp_extract({text}, r'\\b((?:19|20)\\d{{2}})\\b', 1) as int), 'quarter', try_cast(regexp_extract({text}, r'(?i)\\bQ([1-4])\\b', 1) as int))"
+
+
 def anchored_before(events: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, first, second) of all events (keys, event, period) with an earlier and a later period: an inequality join within the keys."""
     a, b = events.select(*keys, F.col("event").alias("first"), F.col("period").alias("p1")), events.select(*keys, F.col("event").alias("second"), F.col("period").alias("p2"))
     return a.join(b, keys).filter("p1 < p2 and first <> second").select(*keys, "first", "second").distinct()
 
 
-def closure(edges: DataFrame, keys: list[str], rounds: int = 6) -> DataFrame:
-    """All (keys, src, tgt) reachable from edges, by doubling: ``rounds`` rounds reach paths of 2^rounds edges.
+def closure(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """All (keys, src, tgt) reachable from edges, by doubling to the fixpoint; cycles give pairs of a node with itself.
 
-    Each round joins the paths so far with themselves on (keys, middle) and is written out, so the plan stays short; it
-    stops when nothing is new. Cycles give pairs of a node with itself.
+    Each round joins what the round before found with all paths so far on (keys, middle), and keeps what is new; it ends
+    when nothing is, after about log2 of the longest path. Null ends take no part.
     """
-    paths = edges.select(*keys, "src", "tgt").distinct()
-    n = None
-    for _ in range(rounds):
-        left, right = paths.select(*keys, "src", F.col("tgt").alias("mid")), paths.select(*keys, F.col("src").alias("mid"), "tgt")
-        paths = cut_lineage(paths.unionByName(left.join(right, [*keys, "mid"]).select(*keys, "src", "tgt")).distinct())
-        now = paths.count()
-        if now == n:
-            break
-        n = now
+    fresh = cut_lineage(edges.select(*keys, "src", "tgt").na.drop(subset=["src", "tgt"]).distinct())
+    paths = fresh
+    while not fresh.isEmpty():
+        left = fresh.select(*keys, "src", F.col("tgt").alias("mid")).join(paths.select(*keys, F.col("src").alias("mid"), "tgt"), [*keys, "mid"])
+        right = paths.select(*keys, "src", F.col("tgt").alias("mid")).join(fresh.select(*keys, F.col("src").alias("mid"), "tgt"), [*keys, "mid"])
+        made = left.select(*keys, "src", "tgt").unionByName(right.select(*keys, "src", "tgt")).distinct()
+        fresh = cut_lineage(made.join(paths, [*keys, "src", "tgt"], "left_anti"))
+        paths = paths.unionByName(fresh)
     return paths
 
 
-def timeline(nodes: DataFrame, before: DataFrame, keys: list[str], rounds: int = 6) -> DataFrame:
-    """(keys, node, level): the place of every node by the number of nodes known to come before it; nodes of a cycle share one."""
-    earlier = closure(before, keys, rounds).filter("src <> tgt").groupBy(*keys, F.col("tgt").alias("node")).agg(F.count("*").alias("level"))
-    return nodes.select(*keys, "node").distinct().join(earlier, [*keys, "node"], "left").na.fill(0, ["level"])
+def timeline(nodes: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, level, cyclic): level is the number of nodes known to come before a node, cyclic whether it comes before itself.
+
+    Levels are a topological order: an edge leads to a higher one, except within a cycle, whose nodes share theirs.
+    """
+    reach = cut_lineage(closure(before, keys))
+    earlier = reach.filter("src <> tgt").groupBy(*keys, F.col("tgt").alias("node")).agg(F.count("*").alias("level"))
+    cyclic = reach.filter("src = tgt").select(*keys, F.col("src").alias("node"), F.lit(True).alias("cyclic"))
+    return nodes.select(*keys, "node").distinct().join(earlier, [*keys, "node"], "left").join(cyclic, [*keys, "node"], "left").na.fill({"level": 0, "cyclic": False})
+
+
+def shortest_paths(edges: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, src, tgt, length, path) of the shortest way along edges for each asked (keys, src, tgt), the first by name among equals.
+
+    A way of a node to itself has length 0; pairs without a way give no row. Breadth first: each round goes one edge on
+    from the nodes reached last and ends when no new node is reached.
+    """
+    starts = asked.select(*keys, F.col("src").alias("root")).distinct()
+    fresh = cut_lineage(starts.select(*keys, "root", F.col("root").alias("node"), F.lit(0).alias("length"), F.array("root").alias("path")))
+    seen = fresh
+    hop = edges.select(*keys, F.col("src").alias("node"), F.col("tgt").alias("to")).distinct()
+    while not fresh.isEmpty():
+        made = fresh.join(hop, [*keys, "node"]).select(*keys, "root", F.col("to").alias("node"), F.expr("length + 1").alias("length"), F.expr("array_append(path, to)").alias("path"))
+        made = made.groupBy(*keys, "root", "node").agg(F.min("length").alias("length"), F.min("path").alias("path"))
+        fresh = cut_lineage(made.join(seen.select(*keys, "root", "node"), [*keys, "root", "node"], "left_anti"))
+        seen = seen.unionByName(fresh)
+    found = seen.select(*keys, F.col("root").alias("src"), F.col("node").alias("tgt"), "length", "path")
+    return found.join(asked.select(*keys, "src", "tgt").distinct(), [*keys, "src", "tgt"])
 
 
 # Interval algebra
@@ -300,32 +352,113 @@ def stn_bounds(rel: str) -> str:
     )
 
 
-def tighten(bounds: DataFrame, keys: list[str], rounds: int = 3) -> DataFrame:
-    """Bounds (keys, src, tgt, lo, hi) with all paths composed: ``rounds`` rounds of doubling reach paths of 2^rounds edges.
+def tighten(bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """Bounds (keys, src, tgt, lo, hi) with all paths composed, to the fixpoint.
 
-    Several bounds of a pair are intersected. A network is inconsistent where lo passes hi, or a node must come after
-    itself; ``consistent`` says so for each row's own pair.
+    Several bounds of a pair are intersected. A network is inconsistent where lo passes hi, or a node must come before or
+    after itself; ``consistent`` says so for each row's own pair. Each round composes what the round before changed with
+    all bounds so far. A network found inconsistent isn't tightened on, as its bounds would never come to rest.
     """
-    paths = bounds.groupBy(*keys, "src", "tgt").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
-    for _ in range(rounds):
-        a = paths.select(*keys, "src", F.col("tgt").alias("mid"), F.col("lo").alias("l1"), F.col("hi").alias("h1"))
-        b = paths.select(*keys, F.col("src").alias("mid"), "tgt", F.col("lo").alias("l2"), F.col("hi").alias("h2"))
-        lo = "if(l1 = double('-Infinity') or l2 = double('-Infinity'), double('-Infinity'), l1 + l2)"
-        hi = "if(h1 = double('Infinity') or h2 = double('Infinity'), double('Infinity'), h1 + h2)"
-        made = a.join(b, [*keys, "mid"]).select(*keys, "src", "tgt", F.expr(lo).alias("lo"), F.expr(hi).alias("hi"))
-        paths = cut_lineage(paths.unionByName(made).groupBy(*keys, "src", "tgt").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi")))
-    return paths.withColumn("consistent", F.expr("lo <= hi and not (src = tgt and lo > 0)"))
+    own = [*keys, "src", "tgt"]
+    low, inf = "double('-Infinity')", "double('Infinity')"
+    sound = "lo <= hi and not (src = tgt and (lo > 0 or hi < 0))"
+    paths = cut_lineage(bounds.groupBy(*own).agg(F.max("lo").alias("lo"), F.min("hi").alias("hi")))
+    fresh = paths
+    while True:
+        broken = paths.filter(f"not ({sound})").select(*keys).distinct()
+        fresh, live = fresh.join(broken, keys, "left_anti"), paths.join(broken, keys, "left_anti")
+        made = None
+        for first, second in ((fresh, live), (live, fresh)):
+            a = first.select(*keys, "src", F.col("tgt").alias("mid"), F.col("lo").alias("l1"), F.col("hi").alias("h1"))
+            b = second.select(*keys, F.col("src").alias("mid"), "tgt", F.col("lo").alias("l2"), F.col("hi").alias("h2"))
+            lo, hi = f"if(l1 = {low} or l2 = {low}, {low}, l1 + l2)", f"if(h1 = {inf} or h2 = {inf}, {inf}, h1 + h2)"
+            one = a.join(b, [*keys, "mid"]).select(*own, F.expr(lo).alias("lo"), F.expr(hi).alias("hi"))
+            made = one if made is None else made.unionByName(one)
+        made = made.groupBy(*own).agg(F.max("lo").alias("lo2"), F.min("hi").alias("hi2"))
+        both = paths.join(made, own, "full")
+        after = both.select(*own, F.expr("greatest(lo, lo2)").alias("lo"), F.expr("least(hi, hi2)").alias("hi"), F.expr("lo is null or lo2 > lo or hi2 < hi").alias("_new"))
+        after = cut_lineage(after.withColumn("_new", F.coalesce("_new", F.lit(False))))
+        paths, fresh = after.drop("_new"), after.filter("_new").drop("_new")
+        if fresh.isEmpty():
+            return paths.withColumn("consistent", F.expr(sound))
 
 
 def conflicts(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, src, tgt, rel, back, problem): pairs whose two directions contradict each other, and events before themselves."""
+    """(keys, src, tgt, rel, back, problem): pairs whose two directions contradict each other, and events before themselves.
+
+    An event that stands before itself by a chain of before and meets, and not by an edge of its own, is a before cycle.
+    """
     order = "case {0} " + " ".join(f"when '{k}' then {v}" for k, v in PRECEDENCE.items()) + " else 0 end"
     a = edges.select(*keys, "src", "tgt", "rel")
     b = edges.select(*keys, F.col("tgt").alias("src"), F.col("src").alias("tgt"), F.col("rel").alias("back"))
     both = a.join(b, [*keys, "src", "tgt"]).filter("src < tgt")
     wrong = both.filter(F.expr(f"{order.format('rel')} * {order.format('back')} = 1")).withColumn("problem", F.lit("conflicting precedence"))
     loops = a.filter("src = tgt and rel <> 'equal'").withColumn("back", F.col("rel")).withColumn("problem", F.lit("self loop"))
-    return wrong.unionByName(loops.select(*wrong.columns))
+    return wrong.unionByName(loops.select(*wrong.columns)).unionByName(cycles(edges, keys).select(*wrong.columns))
+
+
+def strict_order(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, src, tgt) of what before, meets and their inverses say comes first."""
+    ahead = edges.filter("rel in ('before', 'meets')").select(*keys, "src", "tgt")
+    return ahead.unionByName(edges.filter("rel in ('after', 'met_by')").select(*keys, F.col("tgt").alias("src"), F.col("src").alias("tgt"))).distinct()
+
+
+def cycles(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, src, tgt, rel, back, problem) of every event that a chain of two or more different events puts before itself."""
+    order = strict_order(edges, keys).filter("src <> tgt")
+    node = closure(order, keys).filter("src = tgt").select(*keys, "src", "tgt")
+    return node.select("*", F.lit("before").alias("rel"), F.lit("before").alias("back"), F.lit("before cycle").alias("problem"))
+
+
+def propagated(edges: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """What follows from relations (keys, src, tgt, rel, confidence): frames edges, bounds, problems and order.
+
+    edges are those given and those inferred (with hop, 1 for given), bounds their tightened bounds, problems what
+    ``conflicts`` finds and bounds that contradict each other, order (keys, node, level, cyclic, place) the events in
+    topological order, ties by name and those of cycles last.
+    """
+    given = cut_lineage(edges.select(*keys, "src", "tgt", "rel", "confidence"))
+    more = inferred_relations(given, keys).select(*keys, "src", "tgt", "rel", "confidence", "hop")
+    every = cut_lineage(given.withColumn("hop", F.lit(1)).unionByName(more))
+    bounds = tighten(every.select(*keys, "src", "tgt", F.expr(f"inline(array({stn_bounds('rel')}))")), keys)
+    wrong = conflicts(given, keys)
+    off = bounds.filter("not consistent").select(*keys, "src", "tgt", F.lit(None).cast("string").alias("rel"), F.lit(None).cast("string").alias("back"), F.expr("if(src = tgt, 'positive self loop', 'bound contradiction')").alias("problem"))
+    nodes = given.select(*keys, F.col("src").alias("node")).union(given.select(*keys, "tgt")).distinct()
+    order = timeline(nodes, strict_order(every, keys), keys)
+    # the events of one document are ranked together
+    order = order.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("cyclic", "level", "node")))
+    return {"edges": every, "bounds": bounds, "problems": wrong.unionByName(off.select(*wrong.columns)), "order": order}
+
+
+def all_event_relations(sentences: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, src, tgt, rel, confidence, origin): relations told (signal, sequence), by years (anchor, 0.75) and by transitivity (transitive, 0.55).
+
+    Events are their lower-case spans. A pair and relation found in several ways keeps the first origin in that order.
+    """
+    told = cut_lineage(relations(sentences, keys))
+    named = told.select(*keys, F.lower("left").alias("src"), F.lower("right").alias("tgt"), "rel", "confidence", F.lit("signal").alias("origin"))
+    then = sequence_relations(sentences, keys).select(*keys, F.lower("left").alias("src"), F.lower("right").alias("tgt"), F.lit("before").alias("rel"), "confidence", F.lit("sequence").alias("origin"))
+    dated = told.select(*keys, F.lower("left").alias("event"), F.expr(span_anchor("left")).alias("a")).union(told.select(*keys, F.lower("right"), F.expr(span_anchor("right")))).filter("a.year is not null")
+    dated = dated.select(*keys, "event", F.expr("a.year * 5 + coalesce(a.quarter, 0)").alias("period")).groupBy(*keys, "event").agg(F.min("period").alias("period"))
+    anchor = anchored_before(dated, keys).select(*keys, F.col("first").alias("src"), F.col("second").alias("tgt"), F.lit("before").alias("rel"), F.lit(0.75).alias("confidence"), F.lit("anchor").alias("origin"))
+    base = cut_lineage(named.unionByName(then).unionByName(anchor))
+    far = closure(base.filter("rel = 'before'"), keys).select(*keys, "src", "tgt", F.lit("before").alias("rel"), F.lit(0.55).alias("confidence"), F.lit("transitive").alias("origin"))
+    rank = F.expr("array_position(array('signal', 'sequence', 'anchor', 'transitive'), origin)")
+    every = base.unionByName(far).groupBy(*keys, "src", "tgt", "rel").agg(F.min(F.struct(rank.alias("at"), (-F.col("confidence")).alias("c"), "origin")).alias("x"))
+    return every.select(*keys, "src", "tgt", "rel", (-F.col("x.c")).alias("confidence"), "x.origin")
+
+
+def temporal_graph(examples: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(row_id, kind, src, tgt, rel, value) edges of each example's graph of time.
+
+    kind precedes joins each year that table or text name to the next one, event joins events by their relation, and
+    measured joins a table row's label to each year it has a number for.
+    """
+    measured = table_trends(examples).select("row_id", "label", F.expr("inline(arrays_zip(years, `values`))")).select("row_id", F.lit("measured").alias("kind"), F.col("label").alias("src"), F.col("years").cast("string").alias("tgt"), F.lit("in").alias("rel"), F.col("values").alias("value"))
+    told = relations(sentences, ["row_id"]).select("row_id", F.lit("event").alias("kind"), F.lower("left").alias("src"), F.lower("right").alias("tgt"), "rel", F.col("confidence").alias("value"))
+    years = measured.select("row_id", F.col("tgt").cast("int").alias("value")).union(sentences.select("row_id", F.explode(F.expr(X.years("sentence"))).alias("value")))
+    then = sequence(years, ["row_id"]).select("row_id", F.lit("precedes").alias("kind"), F.col("value").cast("string").alias("src"), F.col("next").cast("string").alias("tgt"), F.lit("before").alias("rel"), F.lit(None).cast("double").alias("value"))
+    return measured.unionByName(told).unionByName(then)
 
 
 def pruned(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -36,13 +36,16 @@ def register(sql: str | None = None):
     return keep
 
 
+WHOLE = "concat(coalesce(pre_text, array()), coalesce(post_text, array()))"
+
+
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
-    """(row_id, para, pos, sentence) of all leading paragraphs."""
-    p = examples(spark, folder).selectExpr("row_id", "posexplode(pre_text) AS (para, t)").filter("t is not null")
+    """(row_id, para, pos, sentence) of all paragraphs, those after the table numbered on from those before it."""
+    p = examples(spark, folder).selectExpr("row_id", f"posexplode({WHOLE}) AS (para, t)").filter("t is not null")
     return p.selectExpr("row_id", "para", f"posexplode({X.sentences('t')}) AS (pos, sentence)")
 
 
-_SENT = r"""p AS (SELECT row_id, unnest(range(len(pre_text))) AS para, unnest(pre_text) AS t FROM finqa_examples), s0 AS (SELECT row_id, para, list_filter(string_split(regexp_replace(trim(t), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM p WHERE t IS NOT NULL),
+_SENT = r"""p AS (SELECT row_id, unnest(range(len(w))) AS para, unnest(w) AS t FROM (SELECT row_id, list_concat(coalesce(pre_text, []), coalesce(post_text, [])) AS w FROM finqa_examples)), s0 AS (SELECT row_id, para, list_filter(string_split(regexp_replace(trim(t), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM p WHERE t IS NOT NULL),
     sent AS (SELECT row_id, CAST(para AS INTEGER) AS para, CAST(unnest(range(len(s))) AS INTEGER) AS pos, unnest(s) AS sentence FROM s0)"""
 
 
@@ -53,7 +56,7 @@ def _q(text: str) -> str:
 
 # Temporal
 
-_TXT = "SELECT row_id, fiscal_year AS a, lower(coalesce(question, '') || ' ' || coalesce(array_to_string(pre_text, ' '), '')) AS q FROM finqa_examples"
+_TXT = "SELECT row_id, fiscal_year AS a, lower(coalesce(question, '') || ' ' || coalesce(array_to_string(list_concat(coalesce(pre_text, []), coalesce(post_text, [])), ' '), '')) AS q FROM finqa_examples"
 
 
 def _timex_sql() -> str:
@@ -83,19 +86,19 @@ def _timex_sql() -> str:
 @register(_timex_sql())
 def timex_normalize(spark: SparkSession, folder: str) -> DataFrame:
     """Expressions of time of every example, from its fiscal year and the fourth quarter."""
-    t = examples(spark, folder).selectExpr("row_id", "fiscal_year AS a", "concat(coalesce(question, ''), ' ', coalesce(array_join(pre_text, ' '), '')) AS q0")
+    t = examples(spark, folder).selectExpr("row_id", "fiscal_year AS a", f"concat(coalesce(question, ''), ' ', coalesce(array_join({WHOLE}, ' '), '')) AS q0")
     return t.selectExpr("row_id", f"inline({M.timex('q0', 'a')})")
 
 
 @register(
-    r"""WITH t AS (SELECT row_id, coalesce(array_to_string(pre_text, ' '), '') AS t FROM finqa_examples), y AS (SELECT row_id, unnest(regexp_extract_all(t, '\b((?:19|20)\d\d)\b', 1)) AS l FROM t), q AS (SELECT row_id, unnest(regexp_extract_all(t, '(?i)Q[1-4]\s*(?:\d\d\d\d)?')) AS m FROM t),
+    r"""WITH t AS (SELECT row_id, coalesce(array_to_string(list_concat(coalesce(pre_text, []), coalesce(post_text, [])), ' '), '') AS t FROM finqa_examples), y AS (SELECT row_id, unnest(regexp_extract_all(t, '\b((?:19|20)\d\d)\b', 1)) AS l FROM t), q AS (SELECT row_id, unnest(regexp_extract_all(t, '(?i)Q[1-4]\s*(?:\d\d\d\d)?')) AS m FROM t),
     f AS (SELECT row_id, CAST(regexp_extract(unnest(regexp_extract_all(t, '(?i)(?:fiscal\s*(?:year|quarter)?\s*\d\d\d\d|fy\s*''?\s*\d\d\d?\d?\b)')), '(\d+)$', 1) AS INTEGER) AS y FROM t), h AS (SELECT row_id, unnest(regexp_extract_all(t, '(?i)\b(h[12]\s*(?:of\s+)?\d\d\d\d)\b', 1)) AS m FROM t),
     a AS (SELECT row_id, 'year' AS etype, l AS label FROM y UNION ALL SELECT row_id, 'quarter', rtrim('Q' || m[2] || ' ' || regexp_extract(m, '(\d\d\d\d)$', 1)) FROM q UNION ALL SELECT row_id, 'fiscal_year', 'FY' || CASE WHEN y < 50 THEN y + 2000 WHEN y < 100 THEN y + 1900 ELSE y END FROM f
         UNION ALL SELECT row_id, 'range', 'H' || m[2] || ' ' || regexp_extract(m, '(\d\d\d\d)$', 1) FROM h UNION ALL SELECT row_id, 'range', 'TTM/LTM' FROM t WHERE regexp_matches(t, '(?i)\b(?:ttm|ltm)\b'))
     SELECT row_id, etype, label, count(*) AS n FROM a GROUP BY ALL"""
 )
 def temporal_entities(spark: SparkSession, folder: str) -> DataFrame:
-    t = examples(spark, folder).selectExpr("row_id", "coalesce(array_join(pre_text, ' '), '') AS t")
+    t = examples(spark, folder).selectExpr("row_id", f"coalesce(array_join({WHOLE}, ' '), '') AS t")
     return t.selectExpr("row_id", f"explode({M.entities('t')}) AS e").groupBy("row_id", "e.etype", "e.label").agg(F.count("*").alias("n"))
 
 
@@ -166,7 +169,7 @@ def before_closure(spark: SparkSession, folder: str) -> DataFrame:
     return M.closure(edges, ["issuer"])
 
 
-@register("WITH y AS (SELECT DISTINCT issuer, fiscal_year AS y FROM finqa_examples) SELECT issuer, y AS node, row_number() OVER (PARTITION BY issuer ORDER BY y) - 1 AS level FROM y")
+@register("WITH y AS (SELECT DISTINCT issuer, fiscal_year AS y FROM finqa_examples) SELECT issuer, y AS node, row_number() OVER (PARTITION BY issuer ORDER BY y) - 1 AS level, false AS cyclic FROM y")
 def event_timeline(spark: SparkSession, folder: str) -> DataFrame:
     s = year_sequence(spark, folder)
     nodes = examples(spark, folder).selectExpr("issuer", "fiscal_year AS node")
@@ -214,18 +217,43 @@ def allen_infer(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(
-    """WITH f AS (SELECT o_custkey AS k, CAST(left(o_orderpriority, 1) AS INTEGER) AS e, min(o_orderdate) AS d FROM orders GROUP BY ALL), g AS (SELECT a.k, a.e AS src, b.e AS tgt, date_diff('day', a.d, b.d) AS x FROM f a JOIN f b ON a.k = b.k AND b.e = a.e + 1),
-    r AS (SELECT k, src, tgt, CAST(x - 5 AS DOUBLE) AS lo, CAST(x + 5 AS DOUBLE) AS hi FROM g)
-    SELECT * FROM r UNION ALL SELECT a.k, a.src, b.tgt, a.lo + b.lo, a.hi + b.hi FROM r a JOIN r b ON a.k = b.k AND a.tgt = b.src
-    UNION ALL SELECT a.k, a.src, c.tgt, a.lo + b.lo + c.lo, a.hi + b.hi + c.hi FROM r a JOIN r b ON a.k = b.k AND a.tgt = b.src JOIN r c ON c.k = b.k AND b.tgt = c.src
-    UNION ALL SELECT a.k, a.src, d.tgt, a.lo + b.lo + c.lo + d.lo, a.hi + b.hi + c.hi + d.hi FROM r a JOIN r b ON a.k = b.k AND a.tgt = b.src JOIN r c ON c.k = b.k AND b.tgt = c.src JOIN r d ON d.k = c.k AND c.tgt = d.src"""
+    """WITH RECURSIVE f AS (SELECT o_custkey AS k, CAST(left(o_orderpriority, 1) AS INTEGER) AS e, min(o_orderdate) AS d FROM orders GROUP BY ALL), g AS (SELECT a.k, a.e AS src, b.e AS tgt, date_diff('day', a.d, b.d) AS x FROM f a JOIN f b ON a.k = b.k AND b.e = a.e + 1),
+    r AS (SELECT k, src, tgt, CAST(x - 5 AS DOUBLE) AS lo, CAST(x + 5 AS DOUBLE) AS hi FROM g), p AS (SELECT * FROM r UNION ALL SELECT p.k, p.src, r.tgt, p.lo + r.lo, p.hi + r.hi FROM p JOIN r ON p.k = r.k AND p.tgt = r.src)
+    SELECT * FROM p"""
 )
 def stn_tighten(spark: SparkSession, folder: str) -> DataFrame:
     """Bounds of days between a customer's first orders of each priority, from those between neighbouring ones."""
     f = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("k"), F.expr("cast(left(o_orderpriority, 1) as int)").alias("e")).agg(F.min("o_orderdate").alias("d"))
     g = f.selectExpr("k", "e AS src", "d AS d1").join(f.selectExpr("k", "e AS tgt", "e - 1 AS src", "d AS d2"), ["k", "src"])
     b = g.selectExpr("k", "src", "tgt", "cast(datediff(d2, d1) - 5 as double) AS lo", "cast(datediff(d2, d1) + 5 as double) AS hi")
-    return M.tighten(b, ["k"], 2).drop("consistent")
+    return M.tighten(b, ["k"]).drop("consistent")
+
+
+@register(
+    """WITH RECURSIVE y AS (SELECT DISTINCT issuer, fiscal_year AS y FROM finqa_examples), e AS (SELECT issuer, y, lead(y) OVER (PARTITION BY issuer ORDER BY y) AS n FROM y),
+    r AS (SELECT issuer, y AS src, y AS tgt, 0 AS length, CAST(y AS VARCHAR) AS path FROM (SELECT issuer, min(y) AS y FROM y GROUP BY issuer) UNION ALL SELECT r.issuer, r.src, e.n, r.length + 1, r.path || ' > ' || e.n FROM r JOIN e ON e.issuer = r.issuer AND e.y = r.tgt WHERE e.n IS NOT NULL)
+    SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY issuer ORDER BY tgt DESC) = 1"""
+)
+def temporal_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """The shortest way from the first to the last year of each issuer."""
+    y = examples(spark, folder).selectExpr("issuer", "fiscal_year AS y")
+    asked = y.groupBy("issuer").agg(F.min("y").alias("src"), F.max("y").alias("tgt"))
+    edges = year_sequence(spark, folder).selectExpr("issuer", "value AS src", "next AS tgt")
+    return M.shortest_paths(edges, asked, ["issuer"]).selectExpr("issuer", "src", "tgt", "length", "array_join(path, ' > ') AS path")
+
+
+@register()
+def all_event_relations(spark: SparkSession, folder: str) -> DataFrame:
+    return M.all_event_relations(sentences(spark, folder), ["row_id"])
+
+
+@register()
+def temporal_propagation(spark: SparkSession, folder: str) -> DataFrame:
+    """Order of the kinds of events of every example, from all relations told, with the problems of each example counted."""
+    e = _typed_edges(spark, folder).filter("src <> tgt").groupBy("row_id", "src", "tgt", "rel").agg(F.max("confidence").alias("confidence"))
+    got = M.propagated(e, ["row_id"])
+    n = got["problems"].groupBy("row_id").agg(F.count("*").alias("problems"))
+    return got["order"].join(n, "row_id", "left").na.fill(0, ["problems"])
 
 
 _TYPED = f"{_RELS}, ty AS (SELECT DISTINCT row_id, {_EVENT.replace('sentence', 'l')} AS src, {_EVENT.replace('sentence', 'r')} AS tgt, rel FROM er)"
@@ -238,8 +266,10 @@ def _typed_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {_TYPED} SELECT a.row_id, a.src, a.tgt, a.rel, b.rel AS back, 'conflicting precedence' AS problem FROM ty a JOIN ty b ON a.row_id = b.row_id AND a.src = b.tgt AND a.tgt = b.src WHERE a.src < a.tgt AND {_PREC.format('a.rel')} * {_PREC.format('b.rel')} = 1
-    UNION ALL SELECT row_id, src, tgt, rel, rel, 'self loop' FROM ty WHERE src = tgt AND rel <> 'equal'"""
+    f"""WITH RECURSIVE {_TYPED}, so AS (SELECT row_id, src AS a, tgt AS b FROM ty WHERE rel IN ('before', 'meets') AND src <> tgt UNION SELECT row_id, tgt, src FROM ty WHERE rel IN ('after', 'met_by') AND src <> tgt),
+    rc AS (SELECT * FROM so UNION SELECT rc.row_id, rc.a, so.b FROM rc JOIN so ON so.row_id = rc.row_id AND so.a = rc.b) SELECT a.row_id, a.src, a.tgt, a.rel, b.rel AS back, 'conflicting precedence' AS problem FROM ty a JOIN ty b ON a.row_id = b.row_id AND a.src = b.tgt AND a.tgt = b.src WHERE a.src < a.tgt AND {_PREC.format('a.rel')} * {_PREC.format('b.rel')} = 1
+    UNION ALL SELECT row_id, src, tgt, rel, rel, 'self loop' FROM ty WHERE src = tgt AND rel <> 'equal'
+    UNION ALL SELECT DISTINCT row_id, a, b, 'before', 'before', 'before cycle' FROM rc WHERE a = b"""
 )
 def precedence_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     return M.conflicts(_typed_edges(spark, folder).select("row_id", "src", "tgt", "rel").distinct(), ["row_id"])
@@ -262,6 +292,18 @@ _SERIES = rf"""{D.CELLS}, n AS (SELECT row_id, row_idx, label, col_idx, TRY_CAST
     t AS (SELECT row_id, row_idx, label, list(v ORDER BY year, col_idx, v) AS v FROM n WHERE year IS NOT NULL AND v IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)"""
 
 
+@register(
+    rf"""WITH {_SENT}, {_SERIES}, {_RELS.replace(_SENT + ", ", "")}, ev AS (SELECT row_id, l, r, rel, round(least(1.0, 0.6 + CASE WHEN signal IN ({', '.join(_q(s) for s in M.STRONG)}) THEN 0.15 ELSE 0 END
+        + CASE CAST({_ANCH.format('l')} AS INT) + CAST({_ANCH.format('r')} AS INT) WHEN 2 THEN 0.15 WHEN 1 THEN 0.05 ELSE 0 END + least(0.1, 0.02 * ({_FIN}))), 4) AS confidence, signal FROM er),
+    ed AS (SELECT * FROM (SELECT DISTINCT * FROM ev) QUALIFY row_number() OVER (PARTITION BY row_id, left(lower(l), 40), left(lower(r), 40), rel ORDER BY l, r, rel, signal, confidence) = 1),
+    me AS (SELECT n.row_id, n.label, n.year, n.v FROM n JOIN t USING (row_id, row_idx, label) WHERE n.year IS NOT NULL AND n.v IS NOT NULL),
+    ys AS (SELECT row_id, year AS y FROM me UNION SELECT row_id, unnest({D.years('sentence')}) FROM sent), nx AS (SELECT row_id, y, lead(y) OVER (PARTITION BY row_id ORDER BY y) AS z FROM ys)
+    SELECT row_id, 'measured' AS kind, label AS src, CAST(year AS VARCHAR) AS tgt, 'in' AS rel, v AS value FROM me UNION ALL SELECT row_id, 'event', lower(l), lower(r), rel, confidence FROM ed UNION ALL SELECT row_id, 'precedes', CAST(y AS VARCHAR), CAST(z AS VARCHAR), 'before', NULL FROM nx WHERE z IS NOT NULL"""
+)
+def temporal_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return M.temporal_graph(examples(spark, folder), sentences(spark, folder))
+
+
 @register(
     f"""WITH {_SERIES}, c AS (SELECT *, list_transform(range(1, len(v)), lambda i: v[i + 1] - v[i]) AS c, list_sum(v) / len(v) AS m FROM t), g AS (SELECT *, greatest(abs(m), 1e-9) AS g, list_sum(c) / len(c) AS a FROM c)
     SELECT row_id, row_idx, CASE WHEN len(list_filter(c, lambda x: abs(x) / g >= 0.02)) = 0 THEN 'stable' WHEN len(list_filter(c, lambda x: x <= 0)) = 0 THEN 'increasing' WHEN len(list_filter(c, lambda x: x >= 0)) = 0 THEN 'decreasing' WHEN abs(a) / g < 0.02 THEN 'stable' ELSE 'fluctuating' END AS trend,

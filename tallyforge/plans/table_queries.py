@@ -126,13 +126,13 @@ def keyword_question_type(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(
-    r"""WITH p AS (SELECT row_id, unnest(range(len(pre_text))) AS para, unnest(pre_text) AS t FROM finqa_examples),
+    r"""WITH p AS (SELECT row_id, unnest(range(len(w))) AS para, unnest(w) AS t FROM (SELECT row_id, list_concat(coalesce(pre_text, []), coalesce(post_text, [])) AS w FROM finqa_examples)),
     s AS (SELECT row_id, para, list_filter(string_split(regexp_replace(trim(t), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM p WHERE t IS NOT NULL),
     u AS (SELECT row_id, CAST(para AS INTEGER) AS para, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM s)
     SELECT row_id, para, CAST(pos AS INTEGER) AS pos, regexp_replace(trim(regexp_replace(sentence, '\s+', ' ', 'g')), '(?i)^(?:the|a|an)\s+', '') AS span FROM u"""
 )
 def sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
-    p = examples(spark, folder).selectExpr("row_id", "posexplode(pre_text) AS (para, t)").filter("t is not null")
+    p = examples(spark, folder).selectExpr("row_id", "posexplode(concat(coalesce(pre_text, array()), coalesce(post_text, array()))) AS (para, t)").filter("t is not null")
     s = p.selectExpr("row_id", "para", f"posexplode({X.sentences('t')}) AS (pos, sentence)")
     return s.selectExpr("row_id", "para", "pos", f"{X.clean_span('sentence')} AS span")
 
