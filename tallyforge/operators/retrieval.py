@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tallyforge.functions import arrowmap  # noqa: F401  registers the package to travel by value
 from tallyforge.functions import expressions as X
@@ -46,77 +46,77 @@ def query_terms(queries: DataFrame, keys: list[str]) -> DataFrame:
 def _best(best: tuple[np.ndarray, np.ndarray], scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of each row of scores (rows: queries, columns: ids) together with those found before; ties to the lower id."""
     s, i = np.hstack([best[0], scores]), np.hstack([best[1], np.broadcast_to(ids, scores.shape)])
+    if s.shape[1] > 4 * k:  # those below the k-th best can't come in, and needn't be sorted
+        least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+        s = np.where(s >= least, s, -np.inf)
     order = np.lexsort((i, -s), axis=1)[:, :k]
     return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-def _emit(names: list[int], best: tuple[np.ndarray, np.ndarray], id_name: str, positive: bool) -> pa.RecordBatch:
+def _emit(names: list[int], best: tuple[np.ndarray, np.ndarray], id_name: str) -> pa.Table:
     n = best[0].shape[1]
-    q, i, s = np.repeat(names, n), best[1].ravel(), best[0].ravel()
-    if positive:
-        q, i, s = q[s > 0], i[s > 0], s[s > 0]
-    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", id_name, "score"])
+    return pa.table({"query_id": pa.array(np.repeat(names, n), pa.int64()), id_name: pa.array(best[1].ravel(), pa.int64()), "score": pa.array(best[0].ravel(), pa.float64())})
 
 
-def _blocks(queries: DataFrame, block: int) -> list[DataFrame]:
-    """Queries in hash buckets of about half of ``block`` each: what is sent to the tasks at once has a bound."""
-    parts = max(1, -(-queries.count() // max(1, block // 2)))
-    bucketed = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    return [bucketed.filter(F.col("_b") == b).drop("_b") for b in range(parts)]
+def _grid(queries: DataFrame, items: DataFrame, q_key: str, i_key: str, q_block: int, i_block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the cells (_q, _i) of a grid of hash buckets they belong to: a row of one side meets each block of the other once.
+
+    A cell holds about ``q_block`` queries and ``i_block`` items, so every task is of bounded size; the copies grow with
+    the number of blocks of the other side, as a query set against all rows in blocks must.
+    """
+    nq, ni = max(1, -(-queries.count() // q_block)), max(1, -(-items.count() // i_block))
+    q = queries.withColumn("_q", F.pmod(F.xxhash64(q_key), F.lit(nq)).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))))
+    i = items.withColumn("_i", F.pmod(F.xxhash64(i_key), F.lit(ni)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    return q, i
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, q_block: int = 1024, d_block: int = 8192) -> DataFrame:
     """(query_id, doc_id, score, rank) of the ``k`` best of documents (doc_id, text) for each query (query_id, text).
 
-    Only documents that share a term with the query are scored (others score 0 and are left out). The weights of a block
-    of queries go to the tasks; each task adds up the scores of its own documents and sends its k best of each query, so
-    that what is shuffled doesn't grow with the postings. Empty texts count as documents of length 0. Ties go to the
-    lower doc_id.
+    Documents are read into term counts once; queries with the weights of their terms and documents meet in the cells of
+    a grid (``_grid``), and each cell sends its k best of each query, so that what is shuffled doesn't grow with the
+    postings and nothing passes the driver. Documents without a term of the query score 0 and fill the places that are
+    left; empty and null texts count as documents of length 0, null queries as empty ones. Ties go to the lower doc_id.
     """
-    size = docs.agg(F.count("*").cast("double").alias("n"), F.sum(F.expr(f"size({tokens('coalesce(text, chr(0))')})")).alias("t")).collect()[0]
-    n, avg = size.n, (size.t or 0) / max(size.n, 1)
+    counted = docs.select("doc_id", F.expr(tokens("coalesce(text, '')")).alias("t"))
+    counted = cut_lineage(counted.select("doc_id", F.size("t").alias("doc_len"), F.expr(counted_terms("t")).alias("terms")))
+    size = counted.agg(F.count("*").cast("double").alias("n"), F.avg("doc_len").alias("avg")).collect()[0]
+    n, avg = size.n, float(size.avg or 0)
     wanted = query_terms(queries, ["query_id"])
-    distinct = docs.select(F.expr(f"explode(array_distinct({tokens('text')}))").alias("term"))
-    df = distinct.join(wanted.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
+    df = counted.select(F.explode("terms.term").alias("term")).join(wanted.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
     weights = wanted.join(df, "term").select("query_id", F.struct("term", (F.col("qtf") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).alias("w")).alias("t"))
-    weights = cut_lineage(weights.groupBy("query_id").agg(F.collect_list("t").alias("terms")))  # a query has as many terms as words
-    counted = docs.select("doc_id", F.expr(tokens("coalesce(text, '')")).alias("t"))
-    found = None
-    for part in _blocks(weights, block):
-        rows = part.collect()  # at most about ``block`` queries
-        if not rows:
-            continue
+    weights = weights.groupBy("query_id").agg(F.sort_array(F.collect_list("t")).alias("weights"))  # a query has as many terms as words
+    weights = cut_lineage(queries.select("query_id").distinct().join(weights, "query_id", "left"))
+
+    def near(q: pa.Table, d: pa.Table) -> pa.Table:
+        names = q.column("query_id").to_pylist()
+        ids = d.column("doc_id").to_numpy()
         by_term: dict[str, tuple[list[int], list[float]]] = {}
-        for at, r in enumerate(rows):
-            for t in r["terms"]:
+        for at, terms in enumerate(q.column("weights").to_pylist()):
+            for t in terms or ():
                 to = by_term.setdefault(t["term"], ([], []))
                 to[0].append(at)
                 to[1].append(t["w"])
-        shared = docs.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], {t: (np.array(i), np.array(w)) for t, (i, w) in by_term.items()}))
-
-        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, weight = shared.value
-            best = np.zeros((len(names), 0)), np.zeros((len(names), 0), dtype=np.int64)
-            for batch in batches:
-                for start in range(0, batch.num_rows, 256):
-                    piece = batch.slice(start, 256)
-                    scores = np.zeros((piece.num_rows, len(names)))
-                    for j, words in enumerate(piece.column(1).to_pylist()):
-                        norm = K1 * (1 - B + B * len(words) / avg) if avg else K1
-                        for term, tf in Counter(words).items():
-                            if (hit := weight.get(term)) is not None:
-                                scores[j, hit[0]] += hit[1] * (tf * (K1 + 1) / (tf + norm))
-                    best = _best(best, np.round(scores.T, 6), piece.column(0).to_numpy(zero_copy_only=False), k)
-            yield _emit(names, best, "doc_id", True)
-
-        own = counted.mapInArrow(near, "query_id bigint, doc_id bigint, score double")
-        found = own if found is None else found.unionByName(own)
-    return _ranked(docs, found, "doc_id", k)
-
-
-def _ranked(like: DataFrame, found: DataFrame | None, id_name: str, k: int) -> DataFrame:
-    if found is None:
-        return like.sparkSession.createDataFrame([], f"query_id bigint, {id_name} bigint, score double, rank int")
+        weight = {t: (np.array(i), np.array(w)) for t, (i, w) in by_term.items()}
+        best = np.zeros((len(names), 0)), np.zeros((len(names), 0), dtype=np.int64)
+        lengths = d.column("doc_len").to_pylist()
+        for start in range(0, len(ids), 512):
+            piece = d.slice(start, 512)
+            scores = np.zeros((piece.num_rows, len(names)))
+            for j, terms in enumerate(piece.column("terms").to_pylist()):
+                norm = K1 * (1 - B + B * lengths[start + j] / avg) if avg else K1
+                for t in terms:
+                    if (hit := weight.get(t["term"])) is not None:
+                        scores[j, hit[0]] += hit[1] * (t["tf"] * (K1 + 1) / (t["tf"] + norm))
+            best = _best(best, np.round(scores.T, 6), ids[start : start + 512], k)
+        return _emit(names, best, "doc_id")
+
+    q, d = _grid(weights, counted, "query_id", "doc_id", q_block, d_block)
+    found = q.groupBy("_q", "_i").cogroup(d.groupBy("_q", "_i")).applyInArrow(near, "query_id bigint, doc_id bigint, score double")
+    return _ranked(found, "doc_id", k)
+
+
+def _ranked(found: DataFrame, id_name: str, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_name)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -190,35 +190,64 @@ def retrieve(examples: DataFrame, query: str = "question", k_table: int = 3, k_t
     return fused(scored, "table", k_table).unionByName(fused(scored, "text", k_text))
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, q_block: int = 2048, v_block: int = 16384) -> DataFrame:
     """(query_id, vec_id, score, rank): the ``k`` nearest of (vec_id, embedding) for each query (query_id, embedding), exactly.
 
-    Queries go to the tasks in blocks of at most ``block`` vectors, a bound on what is sent at once; each task keeps its
-    own k best of a block by a matrix product, so that tasks send k rows a query and not all pairs. Null and zero vectors
-    are left out. A query's own vector counts as any other. Ties go to the lower vec_id.
+    Queries and vectors meet in the cells of a grid (``_grid``) by a matrix product; each cell sends its k best of each
+    query and not all pairs. Null and zero vectors are left out. A query's own vector counts as any other. Ties go to the
+    lower vec_id.
     """
     able = "embedding is not null and exists(embedding, x -> x <> 0)"
-    found = None
-    for part in _blocks(queries.filter(able).select("query_id", "embedding"), block):
-        rows = part.collect()  # at most about ``block`` vectors
-        if not rows:
-            continue
-        q = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        shared = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], q / np.linalg.norm(q, axis=1, keepdims=True)))
-
-        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            best = np.zeros((len(names), 0)), np.zeros((len(names), 0), dtype=np.int64)
-            for batch in batches:
-                if batch.num_rows:
-                    v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-                    v /= np.linalg.norm(v, axis=1, keepdims=True)
-                    best = _best(best, np.round(q @ v.T, 6), batch.column(0).to_numpy(zero_copy_only=False), k)
-            yield _emit(names, best, "vec_id", False)
-
-        own = vectors.filter(able).select("vec_id", "embedding").mapInArrow(near, "query_id bigint, vec_id bigint, score double")
-        found = own if found is None else found.unionByName(own)
-    return _ranked(vectors, found, "vec_id", k)
+
+    def unit(t: pa.Table) -> np.ndarray:
+        v = np.array(t.column("embedding").to_pylist(), dtype=np.float64)
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def near(q: pa.Table, v: pa.Table) -> pa.Table:
+        names = q.column("query_id").to_pylist()
+        best = np.zeros((len(names), 0)), np.zeros((len(names), 0), dtype=np.int64)
+        if names and v.num_rows:
+            mine, ids = unit(q), v.column("vec_id").to_numpy()
+            for start in range(0, v.num_rows, 2048):
+                best = _best(best, np.round(mine @ unit(v.slice(start, 2048)).T, 6), ids[start : start + 2048], k)
+        return _emit(names, best, "vec_id")
+
+    q, v = _grid(queries.filter(able).select("query_id", "embedding"), vectors.filter(able).select("vec_id", "embedding"), "query_id", "vec_id", q_block, v_block)
+    found = q.groupBy("_q", "_i").cogroup(v.groupBy("_q", "_i")).applyInArrow(near, "query_id bigint, vec_id bigint, score double")
+    return _ranked(found, "vec_id", k)
+
+
+def reranked(hits: DataFrame, score: Callable[[list[str], list[str]], list[float]] | None = None) -> DataFrame:
+    """``hits`` (query_id, question, text, rank) with rerank_score and the rank it gives.
+
+    ``score`` is a cross-encoder: it takes questions and passages of a batch and returns a number for each. Without one
+    every score is 0 and the order stays.
+    """
+    if score is None:
+        scored = hits.withColumn("rerank_score", F.lit(0.0))
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = pa.array([float(x) for x in score(b.column("question").to_pylist(), b.column("text").to_pylist())], pa.float64())
+                yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, "rerank_score"])
+
+        scored = hits.mapInArrow(run, StructType([*hits.schema.fields, StructField("rerank_score", DoubleType())]))
+    order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "_before")
+    return scored.withColumnRenamed("rank", "_before").withColumn("rank", F.row_number().over(order)).drop("_before")
+
+
+def encoded(texts: DataFrame, column: str, encode: Callable[[list[str]], list[list[float]]] | None = None, dim: int = 64) -> DataFrame:
+    """``texts`` with a column embedding: by ``encode``, which takes a batch of texts, or else hashed term counts."""
+    if encode is None:
+        return texts.withColumn("embedding", F.expr(hashed_vector(f"coalesce({column}, '')", dim)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = pa.array(encode([x or "" for x in b.column(column).to_pylist()]), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, "embedding"])
+
+    return texts.mapInArrow(run, StructType([*texts.schema.fields, StructField("embedding", ArrayType(DoubleType()))]))
 
 
 def hashed_vector(text: str, dim: int = 64) -> str:

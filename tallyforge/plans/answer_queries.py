@@ -212,8 +212,9 @@ def _tok(x: str) -> str:
     f"""WITH d AS (SELECT doc_id, {_tok("coalesce(text, '')")} AS t FROM documents), s AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS avg FROM d),
     p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     q AS (SELECT row_id AS query_id, unnest({_tok('question')}) AS term FROM finqa_examples WHERE row_id % 20 = 0), qt AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY ALL),
-    c AS (SELECT query_id, doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg))), 6) AS score FROM qt JOIN df USING (term) JOIN tf USING (term), s GROUP BY query_id, doc_id)
-    SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM c QUALIFY rank <= 10"""
+    c AS (SELECT query_id, doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg))), 6) AS score FROM qt JOIN df USING (term) JOIN tf USING (term), s GROUP BY query_id, doc_id),
+    z AS (SELECT e.row_id AS query_id, d.doc_id, coalesce(c.score, 0.0) AS score FROM finqa_examples e CROSS JOIN documents d LEFT JOIN c ON c.query_id = e.row_id AND c.doc_id = d.doc_id WHERE e.row_id % 20 = 0)
+    SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM z QUALIFY rank <= 10"""
 )
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Documents for the questions whose row_id is divisible by 20, against all documents."""
