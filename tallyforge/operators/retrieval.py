@@ -157,10 +157,10 @@ def scored_passages(examples: DataFrame, query: str = "question") -> DataFrame:
         F.expr(f"transform({passage_array()}, d -> named_struct('type', d.type, 'toks', {tokens('d.text')}))").alias("docs"),
     )
     terms = f"transform(array_distinct(q), w -> named_struct('w', w, 'n', {tf('q', 'w')}, 'df', size(filter(docs, d -> array_contains(d.toks, w)))))"
-    read = read.select("row_id", "boost", "docs", F.expr(terms).alias("terms"), F.expr("aggregate(docs, 0D, (s, d) -> s + size(d.toks)) / size(docs)").alias("avg_len"))
+    read = read.select("row_id", "boost", "docs", F.expr(terms).alias("terms"), F.expr("aggregate(docs, 0D, (s, d) -> s + size(d.toks)) / greatest(size(docs), 1)").alias("avg_len"))
     counts = f"transform(terms, t -> named_struct('t', t, 'tf', {tf('d.toks', 't.w')}))"
     idf = "ln((size(docs) - c.t.df + 0.5D) / (c.t.df + 0.5D) + 1)"
-    bm = f"aggregate(cs, 0D, (s, c) -> s + if(c.tf = 0, 0D, c.t.n * {idf} * c.tf * {K1 + 1}D / (c.tf + {K1}D * ({1 - B}D + {B}D * size(d.toks) / avg_len))))"
+    bm = f"aggregate(cs, 0D, (s, c) -> s + if(c.tf = 0, 0D, c.t.n * {idf} * c.tf * {K1 + 1}D / (c.tf + {K1}D * ({1 - B}D + {B}D * if(avg_len = 0, 0D, size(d.toks) / avg_len)))))"
     dot = "aggregate(cs, 0D, (s, c) -> s + c.t.n * c.tf)"
     norm = f"sqrt(aggregate({counted_terms('d.toks')}, 0D, (s, x) -> s + x.tf * x.tf) * aggregate(terms, 0D, (s, t) -> s + t.n * t.n))"
     one = X.lets([("cs", counts), ("nm", norm)], f"named_struct('i', i, 'type', d.type, 'bm25', round({bm}, 6), 'cosine', if(nm = 0, 0D, round({dot} / nm, 6)))")

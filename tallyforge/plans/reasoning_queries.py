@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import expressions as X
+from tallyforge.operators import answering as A
+from tallyforge.operators import causal_reasoning as K
 from tallyforge.operators import causal_text as C
 from tallyforge.operators import evaluation as E
 from tallyforge.operators import evidence as V
@@ -392,6 +394,56 @@ def _identified(spark: SparkSession, folder: str) -> DataFrame:
     return r.selectExpr("row_id", "concat(para, '.', pos) AS rid", "cause", "effect", "confidence")
 
 
+@register(
+    f"""WITH RECURSIVE {_CAUSAL}, e AS (SELECT row_id, lower(trim(cause)) AS a, lower(trim(effect)) AS b, confidence AS c FROM rel), s AS (SELECT DISTINCT row_id, a FROM e),
+    p AS (SELECT row_id, [a] AS path, a AS last, CAST(1 AS DOUBLE) AS k, 0 AS n FROM s UNION ALL SELECT p.row_id, list_append(p.path, e.b), e.b, p.k * e.c * pow(0.92, p.n), p.n + 1 FROM p JOIN e ON e.row_id = p.row_id AND e.a = p.last WHERE p.n < 3 AND NOT list_contains(p.path, e.b))
+    SELECT row_id, array_to_string(path, ' > ') AS path, n AS length, round(k, 6) AS confidence FROM p WHERE n > 0 AND (n = 3 OR NOT EXISTS (SELECT 1 FROM s WHERE s.row_id = p.row_id AND s.a = p.last))"""
+)
+def causal_graph_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """Chains of the graph of each example's relations."""
+    return K.graph_chains(C.relations(sentences(spark, folder), ["row_id"]), ["row_id"])
+
+
+@register()
+def causal_reason(spark: SparkSession, folder: str) -> DataFrame:
+    """What text, table and question of every example tell of causes."""
+    return K.reasoned(examples(spark, folder), sentences(spark, folder)).selectExpr("*", "cf.kind AS cf_kind", "cf.var AS cf_var").drop("cf")
+
+
+@register()
+def causal_measures(spark: SparkSession, folder: str) -> DataFrame:
+    return K.measured(K.reasoned(examples(spark, folder), sentences(spark, folder)))
+
+
+@register()
+def causal_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Means of all measures of causality over the examples."""
+    return K.batch(causal_measures(spark, folder))
+
+
+@register()
+def granger_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Series of a table tested where a relation names two of its rows."""
+    rels = C.relations(sentences(spark, folder), ["row_id"])
+    return K.granger_from_tables(rels, examples(spark, folder).select("row_id", "table_cells"), ["row_id"])
+
+
+_HEAD = "trim(regexp_replace(lower(trim(coalesce(h, ''))), '[^a-z0-9]+', '_', 'g'), '_')"
+_IN = "(" + ", ".join(f"'{n}'" for n in S.NODES) + ")"
+
+
+@register(
+    f"""WITH h AS (SELECT DISTINCT row_id, {_HEAD} AS n FROM (SELECT row_id, unnest(table_cells[1]) AS h FROM finqa_examples WHERE len(table_cells) > 0)), f AS (SELECT row_id, n, trim(regexp_replace(n, '_?growth_?', '', 'g'), '_') AS b FROM h WHERE n <> '' AND n NOT IN {_IN}),
+    g AS (SELECT row_id, n, CASE WHEN contains(n, 'margin') THEN ['revenue', 'operating_income'] WHEN contains(n, 'growth') THEN [CASE WHEN b IN {_IN} THEN b ELSE 'revenue' END] WHEN (contains(n, 'expense') OR contains(n, 'cost')) AND contains(n, 'interest') THEN []
+        WHEN (contains(n, 'expense') OR contains(n, 'cost')) AND regexp_matches(n, 'sga|selling|general|admin') THEN ['sga_expense'] WHEN contains(n, 'expense') OR contains(n, 'cost') THEN ['gross_profit'] WHEN contains(n, 'income') THEN ['ebit']
+        WHEN contains(n, 'earnings') OR contains(n, 'profit') THEN ['net_income'] WHEN contains(n, 'per_share') OR contains(n, 'eps') THEN ['eps'] ELSE [] END AS p FROM f)
+    SELECT row_id, unnest(p) AS src, n AS tgt FROM g"""
+)
+def document_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges that labels and headers of each table add to the structural model: the table is read by its first column as well as its first row."""
+    return examples(spark, folder).selectExpr("row_id", f"inline({K.document_edges()})")
+
+
 @register()
 def causal_chains(spark: SparkSession, folder: str) -> DataFrame:
     return C.chains(_identified(spark, folder), ["row_id"])
@@ -683,27 +735,38 @@ def cross_attention(spark: SparkSession, folder: str) -> DataFrame:
     return s.selectExpr("pred_id", f"{V.attention()} AS a").select("pred_id", "a.*")
 
 
-@register()
-def ircot_rounds(spark: SparkSession, folder: str) -> DataFrame:
-    """The loop over all predictions, where every round brings context and a year that the table's header has."""
-    first = V.assessed(_signals(spark, folder)).select("pred_id", *[c.split("(")[0] for c in V.SIGNALS.split()], "confidence", "gaps")
+def _answered(spark: SparkSession, folder: str) -> DataFrame:
+    return A.answered(examples(spark, folder))
 
-    def again(open_rows: DataFrame, i: int) -> DataFrame:
-        more = open_rows.withColumn("n_entities", F.col("n_entities") + 1).withColumn("has_temporal_context", F.lit(True)).drop("gaps")
-        return V.assessed(more)
 
-    r = V.rounds(first, again)
-    return r.selectExpr("pred_id", "iterations", "final_confidence", "termination", "converged", "improvement")
+@register()
+def ircot_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Rounds of retrieval and reasoning that each question took."""
+    return _answered(spark, folder).select("row_id", "iterations", "final_confidence", "termination", "converged", "improvement")
 
 
 @register()
 def iteration_report(spark: SparkSession, folder: str) -> DataFrame:
-    return E.iteration_metrics(ircot_rounds(spark, folder))
+    return E.iteration_metrics(_answered(spark, folder))
 
 
 @register()
 def answer_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The pipeline without a model: routes, induced program, execution, answer and whether it matches, for every example."""
+    """The pipeline without a model, for every example: routes, retrieval, reasoning, loop, answer, its evidence and whether it matches."""
+    out = _answered(spark, folder)
+    return out.select("row_id", "primary_type", "modules", "op", "method", "iterations", "final_confidence", "termination", "predicted", "matched", "attention.*", "backward.reconstructed", F.col("backward.confidence").alias("backward_confidence"))
+
+
+@register()
+def answer_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy and iterations of the pipeline by primary type and overall."""
+    a = _answered(spark, folder).withColumn("answered", F.expr("predicted <> ''"))
+    return a.rollup("primary_type").agg(F.count("*").alias("n"), F.sum(F.expr("cast(answered as int)")).alias("answered"), F.sum(F.expr("cast(answered and matched as int)")).alias("correct"), F.round(F.avg("iterations"), 6).alias("mean_iterations"), F.round(F.avg("final_confidence"), 6).alias("mean_confidence"))
+
+
+@register()
+def answer_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules alone, without retrieval and loop: the induced program, its execution, and whether it matches."""
     e = P.induced(examples(spark, folder).select("row_id", "question", "table_cells", "pre_text", "answer")).filter("question is not null")
     ready = cut_lineage(e.select("row_id", "question", "table_cells", "answer", "op", F.col("induced").alias("program")))
     done = P.executed(T.prepared(ready)).select("row_id", "question", "answer", "op", "program", "success", "result_num", "result_str")
