@@ -22,6 +22,14 @@ from tallyforge.operators import routing as G
 from tallyforge.operators import table_ops as T
 from tallyforge.operators import temporal as M
 from tallyforge.session import cut_lineage
+from tallyforge.sources.tables import spread
+
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` written and read again over all cores: what follows computes much for each row."""
+    return spread(cut_lineage(df), 0)
+
 
 BASE = ["row_id", "question", "table_cells", "pre_text", "post_text", "answer"]
 CONTEXT_MOST = 2500  #: characters of the first context
@@ -43,7 +51,7 @@ def cascade(rows: DataFrame) -> DataFrame:
     program_of_thought, without a result, for a model to go on from ``programs.pot_prompt``.
     """
     e = P.induced(rows.select("row_id", "question", "table_cells", "context").filter("question is not null"), "context")
-    ready = cut_lineage(e.select("row_id", "question", "table_cells", "op", F.col("induced").alias("program")))
+    ready = kept(e.select("row_id", "question", "table_cells", "op", F.col("induced").alias("program")))
     done = P.executed(T.prepared(ready))
     fit = X.plausible("result_num", "question")
     gated = done.select("row_id", "op", "program", "result_num", "result_str", F.expr(f"success and (result_str is not null or {fit}.ok) and {P.dimensional()} = 'ok'").alias("success"), F.expr(f"success and result_str is null and not {fit}.ok").alias("implausible"))
@@ -67,7 +75,7 @@ def reasoned(rows: DataFrame, trends: DataFrame) -> DataFrame:
     """
     numbers = cascade(rows.filter("array_contains(modules, 'numerical')"))
     s = rows.filter("arrays_overlap(modules, array('temporal', 'causal'))").select("row_id", "modules", F.expr(f"posexplode({X.sentences("coalesce(context, '')")}) AS (pos, sentence)"))
-    s = cut_lineage(s)
+    s = kept(s)
     causal = s.filter("array_contains(modules, 'causal')").drop("modules")
     relations = cut_lineage(C.merged(C.relations(causal, ["row_id"]), ["row_id"], 0.3))
     found = relations.groupBy("row_id").agg(F.count("*").alias("n_relations"), F.avg("confidence").alias("causal_strength"), F.sort_array(F.collect_set(F.expr("split(cause, ' ')[0]"))).alias("causes"))
@@ -165,15 +173,15 @@ def answered(examples: DataFrame, generate: Callable[[list[str]], list[str]] | N
     for what the first gap lacks, adds the passages found to the context, and reasons anew. Examples without table or
     texts run with empty ones; an example given twice counts twice only if its row_id differs.
     """
-    base = cut_lineage(G.routed(examples.select(*BASE).filter("trim(question) <> ''")).select(*BASE, "primary_type", "modules", "joint"))
+    base = kept(G.routed(examples.select(*BASE).filter("trim(question) <> ''")).select(*BASE, "primary_type", "modules", "joint"))
     first = base.join(retrieved(base), "row_id")
-    first = cut_lineage(first.withColumn("context", F.expr(f"left(array_join(slice(passages, 1, 3), ' '), {CONTEXT_MOST})")))
+    first = kept(first.withColumn("context", F.expr(f"left(array_join(slice(passages, 1, 3), ' '), {CONTEXT_MOST})")))
     off = first.withColumn("_a", F.expr(T.alignment("context"))).filter("_a.mismatched and size(passages) > 0")
     lacking = f"array_except({T.header_years()}, transform({X.years('context')}, y -> cast(y as string)))"
     off = off.select("row_id", F.expr(lacking).cast("array<string>").alias("_years")).filter("size(_years) > 0")
     more = retrieved(base.join(off, "row_id").withColumn("_q", F.expr("concat(question, ' ', array_join(_years, ' '))")), "_q").select("row_id", F.expr("slice(passages, 1, 2)").alias("_more"))
     first = first.join(more, "row_id", "left").withColumn("passages", F.expr("concat(coalesce(_more, array()), passages)")).drop("_more")
-    first = cut_lineage(first.withColumn("context", F.expr(f"left(array_join(slice(passages, 1, 3), ' '), {CONTEXT_MOST})")))
+    first = kept(first.withColumn("context", F.expr(f"left(array_join(slice(passages, 1, 3), ' '), {CONTEXT_MOST})")))
     trends = cut_lineage(question_trends(base.filter("array_contains(modules, 'temporal')")))
 
     def assess(rows: DataFrame) -> DataFrame:
@@ -182,10 +190,10 @@ def answered(examples: DataFrame, generate: Callable[[list[str]], list[str]] | N
     def again(open_rows: DataFrame, i: int) -> DataFrame:
         asked = open_rows.withColumn("widened", F.expr(V.reformulated("question", "get(gaps, 0)", "labels", "coalesce(causes, cast(array() as array<string>))", i)))
         found = retrieved(asked.select(*BASE, "widened"), "widened").select("row_id", F.col("passages").alias("_found"))
-        kept = asked.select(*first.columns, "first", "previous").join(found, "row_id")
+        more = asked.select(*first.columns, "first", "previous").join(found, "row_id")
         # what stands in the context counts as seen: the passages it was made of
-        kept = kept.withColumn("context", F.expr(R.merged_context("slice(passages, 1, 3)", "_found"))).withColumn("passages", F.expr("array_union(slice(passages, 1, 3), _found)"))
-        return cut_lineage(assess(cut_lineage(kept.drop("_found"))))
+        more = more.withColumn("context", F.expr(R.merged_context("slice(passages, 1, 3)", "_found"))).withColumn("passages", F.expr("array_union(slice(passages, 1, 3), _found)"))
+        return cut_lineage(assess(kept(more.drop("_found"))))
 
     looped = V.rounds(cut_lineage(assess(first)), again, threshold, most)
     asked = refined(cut_lineage(looped), generate)

@@ -54,6 +54,7 @@ def accuracy(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.expr("cast(answered as int)")).alias("total"),
         F.sum(F.expr("cast(answered and matched as int)")).alias("correct"),
         F.round(F.avg(F.expr("if(answered, cast(matched as double), null)")), 6).alias("accuracy"),
+        F.round(F.avg(F.expr("if(answered, relative_error, null)")), 4).alias("mean_relative_error"),
     )
     median = exact_median(rows.filter("answered"), keys, "relative_error", "_median").select(*[F.col(k).alias(f"_{k}") for k in keys], F.round("_median", 6).alias("median_relative_error"))
     return counts.join(median, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
@@ -64,16 +65,16 @@ def report(rows: DataFrame) -> DataFrame:
 
     Partial counts are made before the shuffle, so a hot type costs one row per task.
     """
-    spark = rows.sparkSession
-    rows.select("run_name", "primary_type", "answered", "matched", "relative_error", "confidence", "n_iterations", "time_seconds").createOrReplaceTempView("_report_rows")
-    return spark.sql(
+    wanted = rows.select("run_name", "primary_type", "answered", "matched", "relative_error", "confidence", "n_iterations", "time_seconds")
+    return rows.sparkSession.sql(
         """
         SELECT CASE grouping_id(run_name, primary_type) WHEN 3 THEN 'overall' WHEN 2 THEN 'type' WHEN 1 THEN 'run' ELSE 'run and type' END AS level,
                run_name, primary_type, count(*) AS count, sum(cast(answered AS int)) AS total, sum(cast(answered AND matched AS int)) AS correct,
                round(avg(if(answered, cast(matched AS double), NULL)), 6) AS accuracy, round(avg(confidence), 9) AS mean_confidence,
                round(avg(n_iterations), 9) AS mean_iterations, round(avg(time_seconds), 9) AS mean_seconds
-        FROM _report_rows GROUP BY GROUPING SETS ((), (run_name), (primary_type), (run_name, primary_type))
-        """
+        FROM {wanted} GROUP BY GROUPING SETS ((), (run_name), (primary_type), (run_name, primary_type))
+        """,
+        wanted=wanted,
     )
 
 

@@ -67,10 +67,12 @@ def _grid(queries: DataFrame, items: DataFrame, q_key: str, i_key: str, q_block:
     nq, ni = max(1, -(-queries.count() // q_block)), max(1, -(-items.count() // i_block))
     q = queries.withColumn("_q", F.pmod(F.xxhash64(q_key), F.lit(nq)).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))))
     i = items.withColumn("_i", F.pmod(F.xxhash64(i_key), F.lit(ni)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    return q, i
+    # a cell computes much for its bytes, so that the number of tasks goes by cells and not by size
+    tasks = min(nq * ni, max(200, 4 * queries.sparkSession.sparkContext.defaultParallelism))
+    return q.repartition(tasks, "_q", "_i"), i.repartition(tasks, "_q", "_i")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, q_block: int = 1024, d_block: int = 8192) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, q_block: int = 4096, d_block: int = 512) -> DataFrame:
     """(query_id, doc_id, score, rank) of the ``k`` best of documents (doc_id, text) for each query (query_id, text).
 
     Documents are read into term counts once; queries with the weights of their terms and documents meet in the cells of
@@ -100,15 +102,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, q_block: int = 1024,
         weight = {t: (np.array(i), np.array(w)) for t, (i, w) in by_term.items()}
         best = np.zeros((len(names), 0)), np.zeros((len(names), 0), dtype=np.int64)
         lengths = d.column("doc_len").to_pylist()
-        for start in range(0, len(ids), 512):
-            piece = d.slice(start, 512)
+        for start in range(0, len(ids), 256):
+            piece = d.slice(start, 256)
             scores = np.zeros((piece.num_rows, len(names)))
             for j, terms in enumerate(piece.column("terms").to_pylist()):
                 norm = K1 * (1 - B + B * lengths[start + j] / avg) if avg else K1
                 for t in terms:
                     if (hit := weight.get(t["term"])) is not None:
                         scores[j, hit[0]] += hit[1] * (t["tf"] * (K1 + 1) / (t["tf"] + norm))
-            best = _best(best, np.round(scores.T, 6), ids[start : start + 512], k)
+            best = _best(best, np.round(scores.T, 6), ids[start : start + 256], k)
         return _emit(names, best, "doc_id")
 
     q, d = _grid(weights, counted, "query_id", "doc_id", q_block, d_block)
@@ -190,7 +192,7 @@ def retrieve(examples: DataFrame, query: str = "question", k_table: int = 3, k_t
     return fused(scored, "table", k_table).unionByName(fused(scored, "text", k_text))
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, q_block: int = 2048, v_block: int = 16384) -> DataFrame:
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, q_block: int = 4096, v_block: int = 2048) -> DataFrame:
     """(query_id, vec_id, score, rank): the ``k`` nearest of (vec_id, embedding) for each query (query_id, embedding), exactly.
 
     Queries and vectors meet in the cells of a grid (``_grid``) by a matrix product; each cell sends its k best of each

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,11 +78,11 @@ def features(question: str = "question") -> str:
     return f"array({', '.join(f'cast({p} as double)' for p in parts)})"
 
 
-def probe(question: str = "question", mean: list[float] | None = None, std: list[float] | None = None) -> str:
+def probe(question: str = "question", mean: list[float] | None = None, std: list[float] | None = None, weights: dict[str, list[float]] | None = None, bias: list[float] | None = None) -> str:
     """struct(p, joint, primary_type, modules) of a question; p has the routes in order."""
     mean, std = mean or [0.0] * 16, std or [1.0] * 16
     scaled = [f"((f[{i}] - {m}D) / {s + 1e-8}D)" for i, (m, s) in enumerate(zip(mean, std))]
-    logits = ", ".join(" + ".join(f"({w}D * {x})" for w, x in zip(WEIGHTS[r], scaled) if w) for r in ROUTES)
+    logits = ", ".join(" + ".join([f"({w}D * {x})" for w, x in zip((weights or WEIGHTS)[r], scaled) if w] + ([f"{b}D"] if b else [])) or "0D" for r, b in zip(ROUTES, bias or [0.0] * len(ROUTES)))
     names = ", ".join(f"'{r}'" for r in ROUTES)
     active = f"filter(transform(array({names}), (r, i) -> if(p[i] >= greatest(0.15D, 0.5D * array_max(p)), r, null)), r -> r is not null)"
     return X.lets(
@@ -95,12 +98,12 @@ def probe(question: str = "question", mean: list[float] | None = None, std: list
     )
 
 
-def routed(questions: DataFrame, mean: list[float] | None = None, std: list[float] | None = None) -> DataFrame:
+def routed(questions: DataFrame, mean: list[float] | None = None, std: list[float] | None = None, weights: dict[str, list[float]] | None = None, bias: list[float] | None = None) -> DataFrame:
     """Columns p_numerical … p_factual, joint, primary_type and modules for every row with a question.
 
     A null or blank question has 0.25 for each route and a joint score of 0. Ties go to the first route.
     """
-    r = questions.withColumn("_r", F.expr(probe("question", mean, std)))
+    r = questions.withColumn("_r", F.expr(probe("question", mean, std, weights, bias)))
     return r.select("*", *[F.expr(f"_r.p[{i}]").alias(f"p_{x}") for i, x in enumerate(ROUTES)], "_r.joint", "_r.primary_type", "_r.modules").drop("_r")
 
 
@@ -120,3 +123,29 @@ def fit_router(labelled: DataFrame, most: int = 100_000) -> object:
         known = known.filter(F.expr(f"pmod(xxhash64(question), 1000000) < {int(share * 1_000_000)}"))
     rows = known.withColumn("features", array_to_vector(F.expr(features())))
     return Pipeline(stages=[StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), LogisticRegression(featuresCol="features", labelCol="y", maxIter=30, regParam=0.001)]).fit(rows)
+
+
+def save_weights(path: str, mean: list[float] | None = None, std: list[float] | None = None, weights: dict[str, list[float]] | None = None, bias: list[float] | None = None) -> None:
+    """The probe's weights as one JSON object: W (a row per route, in order), b, mean and std."""
+    w = weights or WEIGHTS
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"W": [w[r] for r in ROUTES], "b": bias or [0.0] * len(ROUTES), "mean": mean or [0.0] * 16, "std": std or [1.0] * 16}, f)
+
+
+def load_weights(path: str) -> dict:
+    """What ``save_weights`` wrote, checked for its shape: weights by route, bias, mean and std."""
+    with open(path, encoding="utf-8") as f:
+        got = json.load(f)
+    if len(got["W"]) != len(ROUTES) or any(len(r) != 16 for r in [*got["W"], got["mean"], got["std"]]) or len(got["b"]) != len(ROUTES):
+        raise ValueError(f"{path} doesn't hold the weights of {len(ROUTES)} routes and 16 features")
+    return {"weights": dict(zip(ROUTES, got["W"])), "bias": got["b"], "mean": got["mean"], "std": got["std"]}
+
+
+def prototypes(labelled: DataFrame, encode: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """(label, prototype): the mean embedding of the questions of each label, for (question, label) rows."""
+    from tallyforge.operators.retrieval import encoded
+
+    e = encoded(labelled.filter("question is not null and label is not null"), "question", encode)
+    means = e.select("label", F.posexplode("embedding").alias("at", "v")).groupBy("label", "at").agg(F.avg("v").alias("v"))
+    # a label has as many means as an embedding has places
+    return means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("p")).select("label", F.expr("transform(p, x -> x.v)").alias("prototype"))

@@ -285,10 +285,10 @@ def contrast(rows: DataFrame, actual: str, other: str, keys: list[str], most: in
 
 
 def marginal(rows: DataFrame, treatment: str, outcome: str, keys: list[str], delta: float = 0.01) -> DataFrame:
-    """(keys, marginal): the change of an outcome per unit of a treatment, by a finite difference."""
-    e = rows.withColumn("v", F.lit(treatment)).withColumn("x0", F.coalesce(f"o_{treatment}", F.lit(0.0))).withColumn("x1", F.expr(f"x0 + {delta}"))
+    """(keys, marginal): the change of an outcome per unit of a treatment, by a finite difference of ``delta`` of its size, at least ``delta``."""
+    e = rows.withColumn("v", F.lit(treatment)).withColumn("x0", F.coalesce(f"o_{treatment}", F.lit(0.0))).withColumn("step", F.expr(f"{delta}D * greatest(1D, abs(x0))")).withColumn("x1", F.expr("x0 + step"))
     both = intervened(intervened(e, "o_", "b_", "v", "x0"), "o_", "m_", "v", "x1")
-    return both.select(*keys, F.round((F.coalesce(f"m_{outcome}", F.lit(0.0)) - F.coalesce(f"b_{outcome}", F.lit(0.0))) / delta, 4).alias("marginal"))
+    return both.select(*keys, F.round((F.coalesce(f"m_{outcome}", F.lit(0.0)) - F.coalesce(f"b_{outcome}", F.lit(0.0))) / F.col("step"), 4).alias("marginal"))
 
 
 def identification_table(spark: SparkSession) -> DataFrame:

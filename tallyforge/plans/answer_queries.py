@@ -290,6 +290,12 @@ def reply_answers_whole(spark: SparkSession, folder: str) -> DataFrame:
     return d.selectExpr("doc_id", f"{X.reply_answer('text')} AS answer")
 
 
+@register(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?s)```(?:python)?\s*(.*?)```') THEN trim(regexp_extract(text, '(?s)```(?:python)?\s*(.*?)```', 1), ' ') ELSE trim(text, ' ') END AS code FROM documents WHERE text IS NOT NULL""")
+def reply_code(spark: SparkSession, folder: str) -> DataFrame:
+    """Code of texts as a model's reply is read."""
+    return table(spark, folder, "documents").filter("text is not null").selectExpr("doc_id", f"{X.code_block('text')} AS code")
+
+
 @register()
 def prompts(spark: SparkSession, folder: str) -> DataFrame:
     return examples(spark, folder).filter("question is not null").selectExpr("row_id", f"{P.pot_prompt()} AS prompt")
@@ -340,7 +346,7 @@ def eval_report(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     f"""WITH {_SCORED} SELECT primary_type, count(*) AS count, CAST(sum(CAST(matched AS INT)) AS BIGINT) AS all_correct, CAST(sum(CAST(answered AS INT)) AS BIGINT) AS total, CAST(sum(CAST(answered AND matched AS INT)) AS BIGINT) AS correct,
-        round(avg(CASE WHEN answered THEN CAST(matched AS DOUBLE) END), 6) AS accuracy, round(quantile_cont(CASE WHEN answered THEN re END, 0.5), 6) AS median_relative_error FROM sc GROUP BY primary_type"""
+        round(avg(CASE WHEN answered THEN CAST(matched AS DOUBLE) END), 6) AS accuracy, round(avg(CASE WHEN answered THEN re END), 4) AS mean_relative_error, round(quantile_cont(CASE WHEN answered THEN re END, 0.5), 6) AS median_relative_error FROM sc GROUP BY primary_type"""
 )
 def eval_by_type(spark: SparkSession, folder: str) -> DataFrame:
     return E.accuracy(_scored(spark, folder), ["primary_type"])

@@ -18,6 +18,7 @@ from tallyforge.operators import series as I
 from tallyforge.operators import table_ops as T
 from tallyforge.operators import temporal as M
 from tallyforge.plans import duck as D
+from tallyforge.plans.table_queries import SQL as TABLE_SQL
 from tallyforge.plans.table_queries import Query, examples
 from tallyforge.session import cut_lineage
 from tallyforge.sources import json_dataset
@@ -196,6 +197,22 @@ def allen_intervals(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(b, "k").filter("src <> tgt").selectExpr("k", "src", "tgt", f"{M.allen_relation('s1', 'f1', 's2', 'f2')} AS rel")
 
 
+@register(
+    f"""WITH {_SPANS}, r AS (SELECT a.k, a.e AS src, b.e AS tgt, {_ALLEN} AS rel FROM sp a JOIN sp b ON a.k = b.k AND a.e <> b.e) SELECT x.k, x.src, x.tgt, x.rel, y.rel AS inverse FROM r x JOIN r y ON y.k = x.k AND y.src = x.tgt AND y.tgt = x.src"""
+)
+def allen_inverse(spark: SparkSession, folder: str) -> DataFrame:
+    """Relations with their inverses, which the SQL takes from the spans the other way round."""
+    inverse = F.create_map(*[F.lit(x) for kv in M.INVERSE.items() for x in kv])
+    return allen_intervals(spark, folder).withColumn("inverse", inverse[F.col("rel")])
+
+
+@register(
+    rf"""WITH {_SENT} SELECT row_id, para, pos, CAST(nullif(regexp_extract(sentence, '\b((?:19|20)\d\d)\b', 1), '') AS INTEGER) AS year, CAST(nullif(regexp_extract(sentence, '(?i)\bQ([1-4])\b', 1), '') AS INTEGER) AS quarter FROM sent"""
+)
+def span_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences(spark, folder).selectExpr("row_id", "para", "pos", f"{M.span_anchor('sentence')} AS a").select("row_id", "para", "pos", "a.*")
+
+
 _COMP = ", ".join(f"('{a}', '{b}', [{', '.join(_q(x) for x in sorted(v))}])" for (a, b), v in sorted(M.composition().items()))
 
 
@@ -395,9 +412,9 @@ def _identified(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(
-    f"""WITH RECURSIVE {_CAUSAL}, e AS (SELECT row_id, lower(trim(cause)) AS a, lower(trim(effect)) AS b, confidence AS c FROM rel), s AS (SELECT DISTINCT row_id, a FROM e),
-    p AS (SELECT row_id, [a] AS path, a AS last, CAST(1 AS DOUBLE) AS k, 0 AS n FROM s UNION ALL SELECT p.row_id, list_append(p.path, e.b), e.b, p.k * e.c * pow(0.92, p.n), p.n + 1 FROM p JOIN e ON e.row_id = p.row_id AND e.a = p.last WHERE p.n < 3 AND NOT list_contains(p.path, e.b))
-    SELECT row_id, array_to_string(path, ' > ') AS path, n AS length, round(k, 6) AS confidence FROM p WHERE n > 0 AND (n = 3 OR NOT EXISTS (SELECT 1 FROM s WHERE s.row_id = p.row_id AND s.a = p.last))"""
+    f"""WITH RECURSIVE {_CAUSAL}, eg AS (SELECT row_id, lower(trim(cause)) AS a, lower(trim(effect)) AS b, confidence AS c FROM rel), st AS (SELECT DISTINCT row_id, a FROM eg),
+    w AS (SELECT row_id, [a] AS path, a AS last, CAST(1 AS DOUBLE) AS m, 0 AS n FROM st UNION ALL SELECT w.row_id, list_append(w.path, eg.b), eg.b, w.m * eg.c * pow(0.92, w.n), w.n + 1 FROM w JOIN eg ON eg.row_id = w.row_id AND eg.a = w.last WHERE w.n < 3 AND NOT list_contains(w.path, eg.b))
+    SELECT row_id, array_to_string(path, ' > ') AS path, n AS length, round(m, 6) AS confidence FROM w WHERE n > 0 AND (n = 3 OR NOT EXISTS (SELECT 1 FROM st WHERE st.row_id = w.row_id AND st.a = w.last))"""
 )
 def causal_graph_chains(spark: SparkSession, folder: str) -> DataFrame:
     """Chains of the graph of each example's relations."""
@@ -480,6 +497,12 @@ def discourse_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return C.pairs(sentences(spark, folder), ["row_id", "para"])
 
 
+@register(f"WITH {_CAUSAL} SELECT row_id, para, pos, 'If ' || cause || ' had not happened, would ' || effect || ' still have changed?' AS question FROM rel")
+def counterfactual_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """The question that each relation raises."""
+    return C.relations(sentences(spark, folder), ["row_id", "para", "pos"]).selectExpr("row_id", "para", "pos", f"{C.counterfactual_question('cause', 'effect')} AS question")
+
+
 @register(f"SELECT row_id, regexp_matches(question, {_q(C.CAUSAL_QUESTION)}) AS is_causal FROM finqa_examples")
 def causal_questions(spark: SparkSession, folder: str) -> DataFrame:
     return examples(spark, folder).selectExpr("row_id", f"question rlike {X.quoted(C.CAUSAL_QUESTION)} AS is_causal")
@@ -583,10 +606,22 @@ def scm_counterfactual(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT row_id, 'input_costs', round(({_Z['revenue']} - input_costs * 1.1 - gp) / gp / 0.1, 4) FROM b WHERE input_costs <> 0 AND gp <> 0"""
 )
 def scm_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
-    """Elasticities of gross profit."""
+    """Elasticities of gross profit to the two variables of its equation; ``scm_sensitivity_whole`` has all variables."""
     return S.sensitivity(_observed(spark, folder), "gross_profit", ["row_id"]).filter("variable in ('revenue', 'input_costs')").select("row_id", "variable", "elasticity")
 
 
+@register()
+def scm_sensitivity_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Elasticities of net income to every variable above it."""
+    return S.sensitivity(_observed(spark, folder), "net_income", ["row_id"])
+
+
+@register()
+def scm_adjustment(spark: SparkSession, folder: str) -> DataFrame:
+    """Backdoor and frontdoor sets of every pair, with whether they hold."""
+    return S.identification_table(spark)
+
+
 @register(f"WITH {_OBS} SELECT row_id, delta, round((1 + delta) * revenue - {_Z['input_costs']}, 6) AS outcome FROM o, (VALUES (-0.5), (-0.25), (0.0), (0.25), (0.5)) d(delta) WHERE revenue <> 0".replace("SELECT row_id, delta", "SELECT row_id, CAST(delta AS DOUBLE) AS delta"))
 def scm_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return S.sweep(_observed(spark, folder), "revenue", "gross_profit", ["row_id"])
@@ -623,11 +658,10 @@ def scm_scenario(spark: SparkSession, folder: str) -> DataFrame:
     return s.selectExpr("row_id", "round(s_gross_profit, 4) AS gross_profit", "round(s_operating_income, 4) AS operating_income")
 
 
-@register(f"WITH {_OBS} SELECT row_id, 1.0 AS marginal FROM o WHERE abs({_Z['revenue']}) < 1e6")
+@register(f"WITH {_OBS} SELECT row_id, round(((coalesce(revenue, 0) + 0.01 * greatest(1, abs(coalesce(revenue, 0))) - {_Z['input_costs']}) - (coalesce(revenue, 0) - {_Z['input_costs']})) / (0.01 * greatest(1, abs(coalesce(revenue, 0)))), 4) AS marginal FROM o")
 def scm_marginal(spark: SparkSession, folder: str) -> DataFrame:
-    """A unit of revenue is a unit of gross profit, where floats resolve a hundredth."""
-    o = _observed(spark, folder).filter("abs(coalesce(o_revenue, 0)) < 1e6")
-    return S.marginal(o, "revenue", "gross_profit", ["row_id"])
+    """What a unit of revenue brings of gross profit."""
+    return S.marginal(_observed(spark, folder), "revenue", "gross_profit", ["row_id"])
 
 
 @register(
@@ -693,26 +727,40 @@ def cf_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 # Control of the loop
 
-_SIG = """sig AS (SELECT p.pred_id, coalesce(p.predicted, '') <> '' AS success, p.predicted IS NOT NULL AS has_result, p.method IS NOT NULL AS has_program, p.n_iterations AS ni, p.confidence AS c, len(regexp_extract_all(e.question, '\\b(?:19|20)\\d\\d\\b')) AS n_entities, regexp_matches(lower(e.question), 'change|growth|trend') AS has_trend,
-    len(e.pre_text) > 0 AS has_temporal_context, len(e.table_cells) > 0 AS has_constraints, regexp_matches(lower(e.question), 'why|caus') AS causal FROM predictions p JOIN finqa_examples e USING (row_id))"""
+_SIG = f"""ca AS (SELECT row_id, count(*) AS n FROM (WITH {_CAUSAL} SELECT row_id FROM rel) GROUP BY row_id), ord AS (SELECT DISTINCT row_id FROM (WITH {_RELS} SELECT row_id FROM er)), tr AS (SELECT DISTINCT row_id FROM (WITH {_SERIES} SELECT row_id FROM t)),
+    dc AS (SELECT DISTINCT row_id FROM ({SQL["discourse_connectives"]}) WHERE relation = 'contingency.cause'), pl AS ({TABLE_SQL["plausibility"]}),
+    sig AS (SELECT p.pred_id, coalesce(p.predicted, '') <> '' AS success, p.predicted IS NOT NULL AS has_result, p.method IS NOT NULL AS has_program, coalesce(p.method = 'pot_prompt', false) AS is_pot, coalesce(pl.reason NOT IN ('plausible', 'none'), false) AND coalesce(p.predicted, '') <> '' AS implausible,
+    p.n_iterations AS ni, p.confidence AS c, len(regexp_extract_all(coalesce(e.question, ''), '\\b(?:19|20)\\d\\d\\b')) AS n_entities, tr.row_id IS NOT NULL AS has_trend, ord.row_id IS NOT NULL AS has_constraints, coalesce(regexp_matches(lower(e.question), 'why|caus'), false) AS causal, coalesce(ca.n, 0) AS n_relations, dc.row_id IS NOT NULL AS has_discourse
+    FROM predictions p JOIN finqa_examples e USING (row_id) LEFT JOIN pl ON pl.pred_id = p.pred_id LEFT JOIN ca ON ca.row_id = p.row_id LEFT JOIN ord ON ord.row_id = p.row_id LEFT JOIN tr ON tr.row_id = p.row_id LEFT JOIN dc ON dc.row_id = p.row_id)"""
 
 
 def _signals(spark: SparkSession, folder: str) -> DataFrame:
-    """What a run shows of itself, as the loop reads it."""
-    e = examples(spark, folder).selectExpr(
-        "row_id", "question", r"regexp_count(question, r'\b(?:19|20)\d{2}\b') AS n_entities", "lower(question) rlike 'change|growth|trend' AS has_trend",
-        "coalesce(size(pre_text) > 0 and pre_text is not null, false) AS has_temporal_context", "coalesce(size(table_cells) > 0 and table_cells is not null, false) AS has_constraints", "lower(question) rlike 'why|caus' AS causal",
-    )
-    p = table(spark, folder, "predictions").selectExpr("pred_id", "row_id", "coalesce(predicted, '') <> '' AS success", "predicted is not null AS has_result", "method is not null AS has_program")
-    s = p.join(e, "row_id").withColumn("implausible", F.lit(False)).withColumn("is_pot", F.lit(False)).withColumn("n_relations", F.expr("cast(causal as int)"))
-    s = s.withColumn("has_causal_context", F.col("causal")).withColumn("has_discourse", F.lit(False)).withColumn("has_granger", F.lit(False))
-    return s.withColumn("modules", F.expr("if(causal, array('numerical', 'temporal', 'causal'), array('numerical', 'temporal'))"))
+    """What a run's prediction, and the table and text of its example, show: the signals that the loop reads."""
+    s = sentences(spark, folder)
+    e = examples(spark, folder)
+    parts = [
+        C.relations(s, ["row_id"]).groupBy("row_id").agg(F.count("*").cast("int").alias("n_relations")),
+        M.relations(s, ["row_id"]).select("row_id").distinct().withColumn("has_constraints", F.lit(True)),
+        M.table_trends(e).select("row_id").distinct().withColumn("has_trend", F.lit(True)),
+        C.pairs(s, ["row_id", "para"]).filter("explicit and relation = 'contingency.cause'").select("row_id").distinct().withColumn("has_discourse", F.lit(True)),
+        K.granger_from_tables(C.relations(s, ["row_id"]), e.select("row_id", "table_cells"), ["row_id"]).select("row_id").distinct().withColumn("has_granger", F.lit(True)),
+    ]
+    shown = e.selectExpr("row_id", "question", r"regexp_count(coalesce(question, ''), r'\b(?:19|20)\d{2}\b') AS n_entities", "coalesce(lower(question) rlike 'why|caus', false) AS causal")
+    for part in parts:
+        shown = shown.join(part, "row_id", "left")
+    shown = cut_lineage(shown.na.fill(0, ["n_relations"]).na.fill(False, ["has_constraints", "has_trend", "has_discourse", "has_granger"]))
+    p = table(spark, folder, "predictions").selectExpr("pred_id", "row_id", "coalesce(predicted, '') <> '' AS success", "predicted is not null AS has_result", "method is not null AS has_program", "coalesce(method = 'pot_prompt', false) AS is_pot", f"{X.financial_number('predicted')} AS x")
+    j = p.join(shown, "row_id").withColumn("implausible", F.expr(f"success and x is not null and not coalesce({X.plausible('x', 'question')}.ok, false)"))
+    j = j.withColumn("has_temporal_context", F.expr("n_entities > 0 or has_trend")).withColumn("has_causal_context", F.expr("n_relations > 0"))
+    return j.withColumn("modules", F.expr("if(causal, array('numerical', 'temporal', 'causal'), array('numerical', 'temporal'))")).drop("x")
 
 
 @register(
-    f"""WITH {_SIG}, s AS (SELECT *, 0.40 * CAST(success AS INT) + 0.30 * CAST(has_result AS INT) + 0.15 * CAST(has_program AS INT) AS nu, 0.25 * CAST(n_entities > 0 AS INT) + 0.20 * CAST(n_entities >= 2 AS INT) + 0.25 * CAST(has_trend AS INT) + 0.15 * CAST(coalesce(has_temporal_context, false) AS INT) + 0.15 * CAST(coalesce(has_constraints, false) AS INT) AS te FROM sig)
-    SELECT pred_id, round(CASE WHEN causal THEN (nu + te + 0.5) / 3 ELSE (nu + te) / 2 END, 6) AS confidence,
-        array_to_string(list_filter([CASE WHEN NOT success THEN 'execution_failure' END, CASE WHEN NOT has_result THEN 'no_result' END, CASE WHEN n_entities < 2 THEN 'insufficient_entities' END, CASE WHEN NOT has_trend THEN 'no_trend' END], lambda g: g IS NOT NULL), ',') AS gaps FROM s"""
+    f"""WITH {_SIG}, s AS (SELECT *, 0.40 * CAST(success AS INT) + 0.30 * CAST(has_result AS INT) + 0.15 * CAST(has_program AS INT) + 0.15 * CAST(is_pot AS INT) - 0.25 * CAST(implausible AS INT) AS nu,
+        0.25 * CAST(n_entities > 0 AS INT) + 0.20 * CAST(n_entities >= 2 AS INT) + 0.25 * CAST(has_trend AS INT) + 0.15 * CAST(n_entities > 0 OR has_trend AS INT) + 0.15 * CAST(has_constraints AS INT) AS te,
+        0.50 * CAST(n_relations > 0 AS INT) + 0.15 * CAST(n_relations >= 2 AS INT) + 0.15 * CAST(has_discourse AS INT) AS cu FROM sig)
+    SELECT pred_id, round(CASE WHEN causal THEN (nu + te + cu) / 3 ELSE (nu + te) / 2 END, 6) AS confidence,
+        array_to_string(list_filter([CASE WHEN NOT success THEN 'execution_failure' END, CASE WHEN NOT has_result THEN 'no_result' END, CASE WHEN implausible THEN 'implausible_result' END, CASE WHEN n_entities < 2 THEN 'insufficient_entities' END, CASE WHEN NOT has_trend THEN 'no_trend' END, CASE WHEN causal AND n_relations = 0 THEN 'no_relations' END], lambda g: g IS NOT NULL), ',') AS gaps FROM s"""
 )
 def confidence_gaps(spark: SparkSession, folder: str) -> DataFrame:
     return V.assessed(_signals(spark, folder)).selectExpr("pred_id", "confidence", "array_join(gaps, ',') AS gaps")
@@ -726,7 +774,7 @@ def reformulated_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {_SIG}, r AS (SELECT pred_id, CASE WHEN success AND has_result THEN 0.9 ELSE 0 END AS n, least(0.85, 0.2 + 0.08 * n_entities) AS t, CASE WHEN causal THEN 0.35 ELSE 0 END AS c, least(0.8, coalesce(c, 0)) AS q FROM sig)
+    f"""WITH {_SIG}, r AS (SELECT pred_id, CASE WHEN success AND has_result THEN 0.9 ELSE 0 END AS n, least(0.85, 0.2 + 0.08 * n_entities) AS t, CASE WHEN n_relations > 0 THEN 0.35 ELSE 0 END AS c, least(0.8, coalesce(c, 0)) AS q FROM sig)
     SELECT pred_id, round(n / (n + t + c + q), 6) AS numerical, round(t / (n + t + c + q), 6) AS temporal, round(c / (n + t + c + q), 6) AS causal, round(q / (n + t + c + q), 6) AS retrieval FROM r"""
 )
 def cross_attention(spark: SparkSession, folder: str) -> DataFrame:
@@ -764,6 +812,27 @@ def answer_report(spark: SparkSession, folder: str) -> DataFrame:
     return a.rollup("primary_type").agg(F.count("*").alias("n"), F.sum(F.expr("cast(answered as int)")).alias("answered"), F.sum(F.expr("cast(answered and matched as int)")).alias("correct"), F.round(F.avg("iterations"), 6).alias("mean_iterations"), F.round(F.avg("final_confidence"), 6).alias("mean_confidence"))
 
 
+@register()
+def induction_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the pipeline makes a program, and how often it runs."""
+    a = _answered(spark, folder)
+    return E.induction_rates(a.selectExpr("coalesce(size(program), 0) > 0 AS has_program", "success", "iterations AS attempts"))
+
+
+@register()
+def temporal_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures of what questions and tables tell of time."""
+    e = examples(spark, folder).filter("trim(question) <> ''")
+    r = G.routed(e.select("row_id", "question", "fiscal_year", "table_cells")).join(A.question_trends(e), "row_id", "left")
+    found = M.timex("question", "fiscal_year")
+    return E.temporal_metrics(
+        r.selectExpr(
+            f"array_distinct(transform({M.entities('question')}, e -> e.label)) AS labels", "trend", f"cast(size(array_intersect(transform({X.years('question')}, y -> cast(y as string)), {T.header_years()})) as int) AS overlap", "joint",
+            f"size({found}) AS deictic_found", f"size(filter({found}, t -> t.value is not null)) AS deictic_resolved",
+        )
+    )
+
+
 @register()
 def answer_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Rules alone, without retrieval and loop: the induced program, its execution, and whether it matches."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,14 +41,36 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def written_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that ``cut_lineage`` writes inside are removed at the end: a driver that lives long calls its queries in it.
+
+    What the queries return must be written out inside too.
+    """
+    mine: list[str] = []
+    _open.append(mine)
+    try:
+        yield mine
+    finally:
+        _open.remove(mine)
+        for folder in mine:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a table written to the shared folder, so that a lost executor costs no recomputation.
 
     A written table is smaller than a checkpoint, is read by the columns that are needed, and has a known size, so that
-    later joins are planned by it. It is removed when the driver ends.
+    later joins are planned by it. It is removed when the driver ends, or by ``written_tables``.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    for open_list in _open:
+        open_list.append(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
     df.write.parquet(folder)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL = 1_000_000  #: bytes under which a table is left in the tasks it is read by
+#: Bytes below which a table is left in the tasks it is read by, and above which it never is shuffled to spread it.
+SMALL, LARGE = 1_000_000, 512_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -12,14 +13,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files give work to half of them or fewer, as a single small file does.
+def spread(df: DataFrame, least: int = SMALL) -> DataFrame:
+    """``df``, of ``least`` bytes or more, over all cores where its files give work to half of them or fewer, as a single small file does.
 
-    Tables of more files than that, all large ones, are left as they are read, so nothing is shuffled there. Columns and
-    filters still reach the scan.
+    Tables of more files than that, and all of more than LARGE bytes, are left as they are read, so what is shuffled has a
+    bound. Columns and filters still reach the scan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution()
-    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < SMALL or 2 * plan.toRdd().getNumPartitions() > cores:
+    if not least <= int(str(plan.optimizedPlan().stats().sizeInBytes())) <= LARGE or 2 * plan.toRdd().getNumPartitions() > cores:
         return df
     return df.repartition(cores)
