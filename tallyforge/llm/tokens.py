@@ -7,7 +7,6 @@ rank. A merge changes three leaves, so a pre-token of n bytes takes O(n log n) h
 from __future__ import annotations
 
 import base64
-import importlib.util
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -23,12 +22,15 @@ NO_PAIR = 1 << 62
 CACHE_ENTRIES = 200_000
 
 
-def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:
-    """Place of a public vocabulary file: in ``folder``, or in the installed package of public tokenizers."""
-    if folder:
-        return str(Path(folder, name))
-    spec = importlib.util.find_spec("public_tokenizers")
-    return str(Path(spec.origin).parent / name) if spec and spec.origin else f"/opt/tokenizers/{name}"
+TOKENIZERS = "/opt/tokenizers"  #: where vocabularies lie unless a folder is given
+
+
+def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> str:
+    """Place of a public vocabulary file in ``folder``; an error if it isn't there."""
+    path = Path(folder, name)
+    if not path.is_file():
+        raise FileNotFoundError(f"no vocabulary {path}: give the folder of public tokenizers")
+    return str(path)
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
